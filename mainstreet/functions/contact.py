@@ -36,6 +36,12 @@ def norm_url(col):
     return F.nullif(full, F.lit("https://"))
 
 
+def canonical_url(col):
+    """Scheme and host in lower case, with a slash after a bare host."""
+    lowered = F.concat(F.lower(F.regexp_extract(col, r"^([^/]*//[^/?#]*)", 1)), F.regexp_replace(col, r"^[^/]*//[^/?#]*", ""))
+    return F.when(lowered.rlike(r"^https?://[^/?#]+$"), F.concat(lowered, F.lit("/"))).otherwise(lowered)
+
+
 def valid_email(col):
     return col.rlike(fixed.EMAIL_FORMAT)
 

@@ -84,10 +84,11 @@ def validate_businesses(df):
 
 
 def split_valid(df):
-    """Accepted rows with cased names, and rejected rows with their errors."""
+    """Accepted rows with cased names and plain web addresses, and rejected rows with their errors."""
     ok = df.where(F.size("errors") == 0).drop("errors")
     cased = {n: text.title_case(c(n)) for n in ("name", "category", "city", "state")}
-    return ok.withColumns({**cased, "address": text.strip(c("address"))}), df.where(F.size("errors") > 0)
+    kept = {"address": text.strip(c("address")), "website": contact.canonical_url(c("website"))}
+    return ok.withColumns({**cased, **kept}), df.where(F.size("errors") > 0)
 
 
 def first_errors(bad, n=10):
@@ -166,5 +167,9 @@ def success_rate(df):
 
 
 def ingest(raw):
-    """Strip, null, cast, normalise and check one batch of raw text rows."""
-    return validate_businesses(normalise(cast_numeric(nullify(clean_text(raw)))))
+    """Null, strip, cast, normalise and check raw text rows.
+
+    Missing-value texts are those of whole cells as they stand in the file; after stripping, only
+    an empty text and ``nan`` still count as missing.
+    """
+    return validate_businesses(normalise(cast_numeric(nullify(clean_text(nullify(raw)), ["", "nan"]))))
