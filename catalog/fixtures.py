@@ -155,9 +155,17 @@ FROM (SELECT x, '{"slug": "s-' || CAST(x AS STRING) || '", "n":' || CASE WHEN x
       FROM (SELECT doc_id AS x, n_chars, lang FROM documents) d) r"""
 
 
+def _read(spark, sf_dir, name):
+    """A source table. A table in fewer files than there are cores is spread over all cores: the
+    work on a text far outweighs moving it. Tables of many files stay as they are."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if name == "documents" and len(table.inputFiles()) < cores else table
+
+
 def _views(spark, sf_dir, *names):
     for name in names:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        _read(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 def businesses(spark, sf_dir, description=True):

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-# Every character that counts as white space in a Python string.
-_SPACE = r"\s\x0b\x1c-\x1f\x85\xa0  -     　"
-SPACES = f"[{_SPACE}]+"
-EDGE_SPACES = f"^[{_SPACE}]+|[{_SPACE}]+$"
-WORD = f"[^{_SPACE}]+"
+# Every character that counts as white space in a Python string.
+_SPACE_CODES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+SPACE_CHARS = "".join(map(chr, _SPACE_CODES))
+_CONTROL_CHARS = "".join(map(chr, [*range(0x00, 0x20), *range(0x7F, 0xA0)]))
 
 
 def let(value, body):
@@ -14,12 +14,25 @@ def let(value, body):
     return F.transform(F.array(value), body).getItem(0)
 
 
+def _spaced(col, chars=SPACE_CHARS):
+    """Plain spaces in place of all ``chars``. Much cheaper than a pattern of character ranges."""
+    return F.translate(col, chars, " " * len(chars))
+
+
 def strip(col):
-    return F.regexp_replace(col, EDGE_SPACES, "")
+    return F.btrim(col, F.lit(SPACE_CHARS))
+
+
+def words(col):
+    return F.array_remove(F.split(_spaced(col), " "), "")
+
+
+def word_count(col):
+    return F.coalesce(F.when(col.isNotNull(), F.size(words(col))), F.lit(0))
 
 
 def collapse_ws(col):
-    return F.regexp_replace(strip(col), SPACES, " ")
+    return F.array_join(words(col), " ")
 
 
 def title_case(col):
@@ -30,29 +43,27 @@ def title_case(col):
     )
 
 
-def words(col):
-    return F.filter(F.split(col, SPACES), lambda w: w != "")
-
-
-def word_count(col):
-    return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0))
-
-
-def is_blank(col):
-    return ~F.coalesce(col, F.lit("")).rlike(WORD)
-
-
 def occurrences(text, needle):
     """Count non-overlapping matches of ``needle``; an empty needle matches between all characters."""
     hits = ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)).cast("long")
     return F.when(F.length(needle) == 0, F.length(text).cast("long") + 1).otherwise(hits)
 
 
+def density(lowered, n_words, keyword):
+    """Matches of the keyword per word of a lower-cased text, 0 for text without words."""
+    hits = occurrences(lowered, F.lower(keyword)).cast("double")
+    return F.coalesce(F.try_divide(hits, n_words), F.lit(0.0))
+
+
 def keyword_density(text, keyword):
-    """Matches of the keyword per word of text, 0 for text without words."""
-    n = word_count(text)
-    return F.when(n == 0, F.lit(0.0)).otherwise(
-        occurrences(F.lower(text), F.lower(keyword)).cast("double") / F.nullif(n, F.lit(0))
+    return density(F.lower(text), word_count(text), keyword)
+
+
+def keyword_densities(text, keywords, body):
+    """``body(keyword, density)`` for each keyword; the text is lower-cased and counted once."""
+    return let(
+        F.struct(F.lower(text).alias("t"), word_count(text).alias("n")),
+        lambda v: F.transform(keywords, lambda k: let(density(v.t, v.n, k), lambda d: body(k, d))),
     )
 
 
@@ -63,7 +74,8 @@ def clean_keywords(col):
 
 def clean_control_chars(col):
     """Turn control characters into spaces and collapse white space, so that the text parses as JSON."""
-    return F.regexp_replace(F.regexp_replace(col, r"[\x00-\x1F\x7F-\x9F]", " "), SPACES, " ")
+    both = "".join(dict.fromkeys(_CONTROL_CHARS + SPACE_CHARS))
+    return F.regexp_replace(_spaced(col, both), " +", " ")
 
 
 def compact_slug(name, category, city):
@@ -75,8 +87,8 @@ def compact_slug(name, category, city):
 def page_slug(name, category, city):
     """Slug of a page address: hyphens stay; long ones end in dots."""
     s = F.lower(F.concat(name, F.lit("-"), category, F.lit("-"), city))
-    s = F.regexp_replace(s, f"[^a-z0-9{_SPACE}-]", "")
-    s = F.regexp_replace(F.regexp_replace(s, SPACES, "-"), "-+", "-")
+    s = F.regexp_replace(_spaced(s), "[^a-z0-9 -]", "")
+    s = F.regexp_replace(s, "[ -]+", "-")
     s = F.btrim(s, F.lit("-"))
     return let(s, lambda v: F.when(F.length(v) > 60, F.concat(F.left(v, F.lit(57)), F.lit("..."))).otherwise(v))
 

@@ -110,12 +110,8 @@ def violations(p="", seo_results="seo_results", content_results="content_results
 
         return F.when(density > fixed.MAX_DENSITY, said("high")).when(density < fixed.MIN_DENSITY, said("low"))
 
-    def for_text(full):
-        return F.transform(
-            keywords, lambda k: text.let(text.keyword_density(full, k), lambda d: judged(k, d))
-        )
-
-    return F.concat(text.present(*rules), F.array_compact(text.let(checks.joined_content(p), for_text)))
+    dense = text.keyword_densities(checks.joined_content(p), keywords, judged)
+    return F.concat(text.present(*rules), F.array_compact(dense))
 
 
 def seo_compliance(pages, stop_match="substring"):

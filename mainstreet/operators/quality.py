@@ -101,9 +101,10 @@ def content_metrics(pages):
     """Lengths, counts and the density of every keyword in the main text, in percent."""
     main = F.coalesce(c("content.main_content"), F.lit(""))
     keywords = _list(c("seo.keywords"))
-    density = F.transform(
+    density = text.keyword_densities(
+        main,
         F.array_distinct(keywords),
-        lambda k: F.struct(k.alias("key"), F.round(text.keyword_density(main, k) * 100, 2).alias("value")),
+        lambda k, d: F.struct(k.alias("key"), F.round(d * 100, 2).alias("value")),
     )
     return pages.withColumns(
         {
