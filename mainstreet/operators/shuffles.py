@@ -31,14 +31,12 @@ def lookup(facts, table, keys, spread, counted=None):
         # the heavy keys, fewer than 1000, pick their rows out of the table
         heavy = table.join(F.broadcast(_heavy_keys(counts, "_n").drop("_n")), keys, "inner")
     heavy = heavy.select(*keys, F.struct(*values).alias("_heavy"))
-    tagged = facts.join(F.broadcast(heavy), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_heavy").isNull() & _all_set(keys), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*spread), F.lit(65536)).cast("int") + 1
-        ),
-    )
-    light = table.select(*keys, F.struct(*values).alias("_light"), F.lit(0).alias("_salt"))
-    joined = tagged.join(light, [*keys, "_salt"], "left")
+    # light rows meet their table row by the key; heavy ones are already served and go anywhere
+    by_key = F.xxhash64(*keys)
+    route = F.when(F.col("_heavy").isNull() & _all_set(keys), by_key).otherwise(F.xxhash64(*spread))
+    tagged = facts.join(F.broadcast(heavy), keys, "left").withColumn("_route", route)
+    light = table.select(*keys, F.struct(*values).alias("_light"), by_key.alias("_route"))
+    joined = tagged.join(light, [*keys, "_route"], "left")
     picked = F.coalesce("_heavy", "_light")
     return joined.select(*facts.columns, *[picked[v].alias(v) for v in values])
 

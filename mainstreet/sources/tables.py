@@ -130,8 +130,8 @@ def keep_last_spec(df):
 
 
 def write_page_specs(df, path):
-    """Page specs by day, one per business and day."""
-    keep_last_spec(df).write.mode("overwrite").partitionBy("gen_date").parquet(path)
+    """Page specs by day, one per business and day. A day is written by as many tasks as its size asks for."""
+    keep_last_spec(df).hint("rebalance", F.col("gen_date")).write.mode("overwrite").partitionBy("gen_date").parquet(path)
     return path
 
 
