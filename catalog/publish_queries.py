@@ -209,14 +209,20 @@ def _publish_sql(min_score):
     )
 
 
+def _published(spark, sf, **options):
+    # the market is the same listings without their descriptions, so their texts are read once
+    out = publication.publish_list(_listings(spark, sf), market=_listings(spark, sf, False), **options)
+    return out.drop("query_generated_at")
+
+
 @query("publish_list", _publish_sql(30))
 def publish_list(spark, sf):
-    return publication.publish_list(_listings(spark, sf)).drop("query_generated_at")
+    return _published(spark, sf)
 
 
 @query("publish_list_15", _publish_sql(15))
 def publish_list_15(spark, sf):
-    return publication.publish_list(_listings(spark, sf), min_score=15.0).drop("query_generated_at")
+    return _published(spark, sf, min_score=15.0)
 
 
 @query(

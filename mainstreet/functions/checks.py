@@ -80,8 +80,12 @@ def no_repetition(col, stop_match="substring"):
     or as one of its words (``token``). The phrases of one text are sorted within its row; a
     phrase with three copies then equals the entry two places on, so no shuffle is needed.
     """
-    stops = "|".join(fixed.STOP_WORDS)
-    pattern = stops if stop_match == "substring" else f"^(?:{stops})$"
+    stops = fixed.STOP_WORDS
+    if stop_match == "substring":
+        # a word that holds another one adds nothing to a search for either
+        pattern = "|".join(w for w in stops if not any(other != w and other in w for other in stops))
+    else:
+        pattern = f"^(?:{'|'.join(stops)})$"
     tokens = F.transform(text.words(F.lower(col)), lambda w: F.when(~w.rlike(pattern), w))
 
     def phrases(ws):

@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mainstreet.functions import scores
@@ -84,11 +85,12 @@ def eda_priority(df):
 def priority_bins(df):
     """Rows per score band and their share of all rows; scores outside the bands are not listed."""
     band = scores.eda_band(scores.eda_score())
+    # at most five bands meet in one task; the share is taken before scores outside the bands go
     counts = df.groupBy(band.alias("priority_category")).agg(scores.n_rows().alias("n"))
-    total = df.agg(scores.n_rows()).scalar()
+    total = F.sum("n").over(Window.partitionBy())
     return (
-        counts.where(c("priority_category").isNotNull())
-        .withColumn("pct", F.round(F.try_divide(c("n") * F.lit(100.0), total), 1))
+        counts.withColumn("pct", F.round(F.try_divide(c("n") * F.lit(100.0), total), 1))
+        .where(c("priority_category").isNotNull())
         .orderBy(c("n").desc(), "priority_category")
     )
 

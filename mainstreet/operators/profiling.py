@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mainstreet.functions import scores
+from mainstreet.operators.shuffles import checked_broadcast
 
 c = F.col
 
@@ -13,9 +14,15 @@ def percent(part, whole):
 
 
 def _all_rows(b):
+    """Row count as a scalar subquery; on Parquet files it reads footers only."""
     return b.agg(scores.n_rows()).scalar()
 
 
+def share_of_all(name):
+    """Percentage of the column's own total, for results of a few fixed bands: they meet in one task."""
+    return percent(c(name), F.sum(name).over(Window.partitionBy()))
+
+
 def data_summary(b):
     """Row and id counts and the share of usable values per required field.
 
@@ -135,7 +142,7 @@ def content_readiness(b):
             ),
         )
         .agg(scores.n_rows().alias("business_count"))
-        .withColumn("percentage", percent(c("business_count"), _all_rows(b)))
+        .withColumn("percentage", share_of_all("business_count"))
         .orderBy(c("business_count").desc(), "content_ready_status", "contact_status", "description_status")
     )
 
@@ -173,13 +180,15 @@ def rating_distribution(b):
     return (
         b.groupBy(band.alias("band"))
         .agg(scores.n_rows().alias("business_count"), reviews.alias("avg_review_count"))
-        .orderBy(c("band").desc())
         .select(
+            "band",
             names.alias("rating_category"),
             "business_count",
-            percent(c("business_count"), _all_rows(b)).alias("percentage"),
+            share_of_all("business_count").alias("percentage"),
             "avg_review_count",
         )
+        .orderBy(c("band").desc())
+        .drop("band")
     )
 
 
@@ -201,7 +210,7 @@ def top_rated(b, k=5):
         .select("category", "rating", c("review_count").alias("_reviews"), "category_rank")
     )
     r = rated.alias("r")
-    v = ranked.alias("v")
+    v = checked_broadcast(ranked).alias("v")
     same = (
         (c("r.category") == c("v.category"))
         & (c("r.rating") == c("v.rating"))

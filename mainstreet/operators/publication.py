@@ -159,17 +159,20 @@ def with_scores(df):
     )
 
 
-def publish_list(b, min_score=30.0, inline=INLINE_MEMBERS):
+def publish_list(b, min_score=30.0, inline=INLINE_MEMBERS, market=None):
     """Complete candidates that reach ``min_score``, with context, suggestions, rank and batch.
 
     The score filter comes before all joins, so market context is looked up for listed rows only.
+    ``market`` is the table over which that context is taken, ``b`` itself unless given; it needs
+    id, name, category, city and state.
     """
+    market = b if market is None else market
     listed = with_scores(candidates(b)).where(
         (c("data_completeness") == "COMPLETE") & (c("priority_score") >= min_score)
     )
     ranked = processing_batch(publication_rank(listed))
-    placed = city_business_count(local_competition(ranked, b), b)
-    return related_businesses(placed, b, inline).withColumns(
+    placed = city_business_count(local_competition(ranked, market), market)
+    return related_businesses(placed, market, inline).withColumns(
         {**suggestions(), "priority_score": F.round("priority_score", 2), "query_generated_at": F.current_timestamp()}
     )
 

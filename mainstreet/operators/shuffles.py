@@ -7,6 +7,11 @@ from mainstreet.plans.workspace import materialise
 
 # A key is heavy above this share of all rows, so there are fewer than 1000 heavy keys.
 HEAVY_SHARE = 0.001
+
+# A table up to this size may be sent to every task.
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+
 _ROW_BITS = 33
 
 
@@ -15,14 +20,38 @@ def _heavy_keys(counts, n):
     return counts.where(F.col(n) > F.greatest(total * F.lit(HEAVY_SHARE), F.lit(1)))
 
 
+def _fits(stored):
+    """Whether a stored table is small enough to be sent to every task; rows are counted before bytes."""
+    if stored.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return False
+    text = F.to_json(F.struct(*stored.columns))
+    return (stored.agg(F.sum(F.octet_length(text))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def checked_broadcast(table):
+    """The table, stored once, with a broadcast hint if its size allows it."""
+    stored = materialise(table)
+    return F.broadcast(stored) if _fits(stored) else stored
+
+
 def lookup(facts, table, keys, spread, counted=None):
     """Left join ``facts`` to ``table``, which has one row per ``keys``.
 
-    Heavy keys of ``facts`` are served by a broadcast of at most 1000 table rows, and their fact
-    rows are spread over all tasks by a hash of ``spread`` instead of meeting in one. ``counted``
-    names a column of ``table`` that already holds the number of fact rows (or an upper bound
-    that is proportional to it); without it the keys are counted here.
+    The table is stored once and measured. If it fits, it is broadcast and ``facts`` is not
+    shuffled at all. Otherwise heavy keys of ``facts`` are served by a broadcast of fewer than
+    1000 table rows, and their fact rows are spread over all tasks by a hash of ``spread``
+    instead of meeting in one. ``counted`` names a column of ``table`` that already holds the
+    number of fact rows (or a bound in proportion to it); without it the keys are counted here.
     """
+    stored = materialise(table)
+    if _fits(stored):
+        return facts.join(F.broadcast(stored), keys, "left").select(
+            *facts.columns, *[v for v in table.columns if v not in keys]
+        )
+    return _spread_lookup(facts, stored, keys, spread, counted)
+
+
+def _spread_lookup(facts, table, keys, spread, counted):
     values = [v for v in table.columns if v not in keys]
     if counted:
         heavy = _heavy_keys(table, counted)

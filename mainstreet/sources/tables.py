@@ -89,13 +89,13 @@ def write_docs(df, path):
 
 
 def write_pages(df, path, buckets=64):
-    """Page bodies as JSON lines (path, body) in ``buckets`` folders."""
+    """Page bodies as JSON lines (path, body) in ``buckets`` folders, each written by as many tasks as its size asks for."""
     (
         df.select(
             F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int").alias("bucket"),
             F.to_json(F.struct("path", "body")).alias("value"),
         )
-        .repartition(buckets, "bucket")
+        .hint("rebalance", F.col("bucket"))
         .write.mode("overwrite")
         .partitionBy("bucket")
         .text(path)

@@ -5,14 +5,16 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures
 from mainstreet.operators import publication
+from mainstreet.operators import shuffles
 from mainstreet.operators.shuffles import first_rows, global_rank, lookup, number_rows
 
 c = F.col
 
 
 @pytest.fixture
-def shuffled_joins(spark):
-    """No broadcast chosen by size, so that only the explicit ones are left."""
+def shuffled_joins(spark, monkeypatch):
+    """No broadcast because of a small size, so that only those of heavy keys are left."""
+    monkeypatch.setattr(shuffles, "BROADCAST_ROWS", 10)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     yield
@@ -83,6 +85,21 @@ def _related(rows):
     return out
 
 
+def test_small_table_is_broadcast_and_facts_stay_in_place(spark):
+    facts = _facts(spark)
+    table = spark.createDataFrame([(0, "a"), (3, "b")], "key long, label string")
+    got = lookup(facts, table, ["key"], ["id"])
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.where("label = 'a'").count() == 10000 and got.count() == 30000
+
+
+def test_wide_rows_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(shuffles, "BROADCAST_BYTES", 1000)
+    table = spark.range(20).select(c("id").alias("key"), F.repeat(F.lit("x"), 100).alias("label"))
+    assert not shuffles._fits(table)
+    assert shuffles._fits(table.limit(3))
+
+
 @pytest.mark.parametrize("inline", [0, 5, 1000])
 def test_related_lists_are_whole_at_every_limit(spark, sf, inline):
     b = fixtures.businesses(spark, sf, False)
