@@ -94,8 +94,8 @@ for _row in CHECKS:
     over(f"SELECT page_pos, {_repetition('^(' + _STOPS + ')$')} AS passed FROM page_specs", "page_specs"),
 )
 def no_repetition_token(spark, sf):
-    pages = fixtures.page_specs(spark, sf)
-    return pages.select("page_pos", checks.no_repetition(c("content.main_content"), "token").alias("passed"))
+    pages = content.check_columns(fixtures.page_specs(spark, sf), ["no_repetitive_phrases"], stop_match="token")
+    return pages.withColumnRenamed("no_repetitive_phrases", "passed")
 
 
 # One boolean column per check, named as in the results.

@@ -4,6 +4,9 @@ Checks read columns by dotted name, so Spark reads only the nested fields they t
 on a missing value is false.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from mainstreet.functions import fixed, text
@@ -44,12 +47,33 @@ def joined_content(p=""):
     return F.concat_ws(" ", *parts)
 
 
+def content_parts(p=""):
+    """Texts that several checks share: the main text with single spaces, and all sections in lower case.
+
+    Add them as columns before the checks, so that each is made once per page.
+    """
+    return {
+        "_main": text.collapse_ws(c(f"{p}content.main_content")),
+        "_full": F.lower(joined_content(p)),
+    }
+
+
+def full_word_count(p="", main="_main"):
+    """Words of all sections together."""
+    sections = [text.word_count(c(f"{p}content.{n}")) for n in ("introduction", "conclusion")]
+    return sections[0] + text.collapsed_count(c(main)) + sections[1]
+
+
+def _holds_any(col, needles):
+    """Any of the texts occurs; plain searches are several times faster than one pattern of alternatives."""
+    return reduce(or_, [F.contains(col, F.lit(n)) for n in needles])
+
+
 def content_flow(p=""):
     """A transition word, three or more paragraphs, and paragraph lengths in more than one bucket of ten words."""
-    transition = "|".join(fixed.TRANSITION_WORDS)
     linked = F.lit(False)
     for name in ("introduction", "main_content", "conclusion"):
-        linked = linked | _known(F.lower(c(f"{p}content.{name}")).rlike(transition))
+        linked = linked | _known(_holds_any(F.lower(c(f"{p}content.{name}")), fixed.TRANSITION_WORDS))
 
     def varied(paragraphs):
         lengths = F.filter(F.transform(paragraphs, text.word_count), lambda n: n > 0)
@@ -62,31 +86,38 @@ def content_flow(p=""):
 
 
 def sentence_variety(col):
-    """Five or more sentences, one clearly shorter and one clearly longer than the mean."""
-    lengths = F.filter(F.transform(F.split(col, "[.!?]+"), text.word_count), lambda n: n > 0)
+    """Five or more sentences, one clearly shorter and one clearly longer than the mean.
+
+    ``col`` has single spaces, as :func:`content_parts` makes them.
+    """
+    sentences = F.split(col, "[.!?]+")
+    lengths = F.transform(sentences, lambda s: F.size(F.array_remove(F.split(s, " "), "")))
 
     def varied(n):
         mean = F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x).cast("double") / F.size(n)
-        return (F.size(n) >= 5) & (F.array_min(n) < mean * 0.7) & (F.array_max(n) > mean * 1.3)
+        return (F.array_min(n) < mean * 0.7) & (F.array_max(n) > mean * 1.3)
 
     # the mean of an empty list is never asked for: it would divide by zero
-    return _known(text.let(lengths, lambda n: F.when(F.size(n) >= 5, varied(n))))
+    return _known(
+        text.let(F.filter(lengths, lambda n: n > 0), lambda n: F.when(F.size(n) >= 5, varied(n)))
+    )
 
 
 def no_repetition(col, stop_match="substring"):
-    """No three-word phrase occurs more than twice.
+    """No three-word phrase occurs more than twice. ``col`` has single spaces.
 
     A phrase counts only if it is free of stop words: found anywhere inside it (``substring``)
     or as one of its words (``token``). The phrases of one text are sorted within its row; a
     phrase with three copies then equals the entry two places on, so no shuffle is needed.
     """
     stops = fixed.STOP_WORDS
-    if stop_match == "substring":
-        # a word that holds another one adds nothing to a search for either
-        pattern = "|".join(w for w in stops if not any(other != w and other in w for other in stops))
-    else:
-        pattern = f"^(?:{'|'.join(stops)})$"
-    tokens = F.transform(text.words(F.lower(col)), lambda w: F.when(~w.rlike(pattern), w))
+    # a stop word that holds another one adds nothing to a search for either
+    shortest = [w for w in stops if not any(other != w and other in w for other in stops)]
+
+    def plain(w):
+        return ~_holds_any(w, shortest) if stop_match == "substring" else ~w.isin(*stops)
+
+    tokens = F.transform(F.split(F.lower(col), " "), lambda w: F.when((w != "") & plain(w), w))
 
     def phrases(ws):
         trio = F.transform(
@@ -101,15 +132,14 @@ def no_repetition(col, stop_match="substring"):
 
 
 def content_checks(p="", stop_match="substring"):
-    """Name and rule of each content check in report order."""
-    main = c(f"{p}content.main_content")
-    full = F.lower(joined_content(p))
+    """Name and rule of each content check in report order; needs the columns of :func:`content_parts`."""
+    main, full = c("_main"), c("_full")
 
     def mentions(name):
         return _known(F.contains(full, F.lower(c(f"{p}business.{name}"))))
 
     rules = {
-        "word_count": text.word_count(main) >= fixed.MIN_WORDS,
+        "word_count": text.collapsed_count(main) >= fixed.MIN_WORDS,
         "has_introduction": F.length(c(f"{p}content.introduction")) >= fixed.MIN_SECTION_CHARS,
         "has_conclusion": F.length(c(f"{p}content.conclusion")) >= fixed.MIN_SECTION_CHARS,
         "content_flows": content_flow(p),

@@ -35,6 +35,12 @@ def collapse_ws(col):
     return F.array_join(words(col), " ")
 
 
+def collapsed_count(col):
+    """Words of a text that :func:`collapse_ws` made."""
+    spaces = F.length(col) - F.length(F.replace(col, F.lit(" "), F.lit("")))
+    return F.coalesce(F.when(col != "", spaces + 1), F.lit(0))
+
+
 def title_case(col):
     """Upper-case the first letter of every run of letters, lower-case the rest."""
     pieces = F.split(strip(col), r"(?<=\P{L})(?=\p{L})")
@@ -59,10 +65,10 @@ def keyword_density(text, keyword):
     return density(F.lower(text), word_count(text), keyword)
 
 
-def keyword_densities(text, keywords, body):
-    """``body(keyword, density)`` for each keyword; the text is lower-cased and counted once."""
+def keyword_densities(lowered, n_words, keywords, body):
+    """``body(keyword, density)`` for each keyword of a lower-cased text and its number of words."""
     return let(
-        F.struct(F.lower(text).alias("t"), word_count(text).alias("n")),
+        F.struct(lowered.alias("t"), n_words.alias("n")),
         lambda v: F.transform(keywords, lambda k: let(density(v.t, v.n, k), lambda d: body(k, d))),
     )
 

@@ -11,9 +11,21 @@ def _as_map(rules):
     return F.create_map(*[part for name, rule in rules.items() for part in (F.lit(name), rule)])
 
 
+def _rules(stop_match="substring"):
+    return {**checks.metadata_checks(), **checks.content_checks(stop_match=stop_match)}
+
+
+def _prepared(pages):
+    return pages.withColumns(checks.content_parts())
+
+
 def with_checks(pages, stop_match="substring"):
     """Add the metadata and content check results as maps, each check computed once per page."""
-    return pages.withColumns(
+    return _with_checks(_prepared(pages), stop_match).drop("_main", "_full")
+
+
+def _with_checks(prepared, stop_match):
+    return prepared.withColumns(
         {
             "seo_results": _as_map(checks.metadata_checks()),
             "content_results": _as_map(checks.content_checks(stop_match=stop_match)),
@@ -23,25 +35,24 @@ def with_checks(pages, stop_match="substring"):
 
 def check_columns(pages, names=None, stop_match="substring"):
     """One boolean column per check, for the named checks only; the others are not computed."""
-    rules = {**checks.metadata_checks(), **checks.content_checks(stop_match=stop_match)}
-    return pages.select("page_pos", *[rules[n].alias(n) for n in (names or rules)])
+    rules = _rules(stop_match)
+    return _prepared(pages).select("page_pos", *[rules[n].alias(n) for n in (names or rules)])
 
 
 def checks_table(pages):
     """Long form: page, check, result."""
-    rules = {**checks.metadata_checks(), **checks.content_checks()}
-    rows = F.array(*[F.struct(F.lit(n).alias("check"), rule.alias("passed")) for n, rule in rules.items()])
-    return pages.select("page_pos", F.inline(rows))
+    rows = F.array(*[F.struct(F.lit(n).alias("check"), rule.alias("passed")) for n, rule in _rules().items()])
+    return _prepared(pages).select("page_pos", F.inline(rows))
 
 
 def check_rates(pages):
     """Pages, passes and pass rate per check. One pass of counts, turned into rows at the end."""
-    rules = {**checks.metadata_checks(), **checks.content_checks()}
     counts = F.array(
-        *[F.struct(F.lit(n).alias("check"), F.count_if(rule).alias("passed")) for n, rule in rules.items()]
+        *[F.struct(F.lit(n).alias("check"), F.count_if(rule).alias("passed")) for n, rule in _rules().items()]
     )
     return (
-        pages.agg(F.count(F.lit(1)).alias("pages"), counts.alias("counts"))
+        _prepared(pages)
+        .agg(F.count(F.lit(1)).alias("pages"), counts.alias("counts"))
         .select("pages", F.inline("counts"))
         .withColumn("pass_rate", F.round(F.try_divide(c("passed").cast("double"), c("pages")), 4))
     )
@@ -88,19 +99,19 @@ def meta_keywords(pages, k=8):
     return pages.withColumn("meta_keywords", F.slice(usable, 1, k))
 
 
-def violations(p="", seo_results="seo_results", content_results="content_results"):
+def _violations():
     """Ordered texts for failed checks, missing markup and links, and keyword density out of range."""
     rules = []
     for kind, results, names in (
-        ("SEO metadata", seo_results, checks.metadata_checks(p)),
-        ("Content", content_results, checks.content_checks(p)),
+        ("SEO metadata", "seo_results", checks.metadata_checks()),
+        ("Content", "content_results", checks.content_checks()),
     ):
         rules += [F.when(~c(results)[name], F.lit(f"{kind} failed: {name}")) for name in names]
     rules += [
-        F.when(c(f"{p}jsonld").isNull(), F.lit("Missing schema.org markup")),
-        F.when(F.coalesce(F.size(f"{p}internal_links"), F.lit(0)) <= 0, F.lit("No internal links found")),
+        F.when(c("jsonld").isNull(), F.lit("Missing schema.org markup")),
+        F.when(F.coalesce(F.size("internal_links"), F.lit(0)) <= 0, F.lit("No internal links found")),
     ]
-    keywords = F.slice(F.coalesce(c(f"{p}seo.keywords"), F.array().cast("array<string>")), 1, 3)
+    keywords = F.slice(F.coalesce(c("seo.keywords"), F.array().cast("array<string>")), 1, 3)
 
     def judged(keyword, density):
         def said(word):
@@ -110,13 +121,14 @@ def violations(p="", seo_results="seo_results", content_results="content_results
 
         return F.when(density > fixed.MAX_DENSITY, said("high")).when(density < fixed.MIN_DENSITY, said("low"))
 
-    dense = text.keyword_densities(checks.joined_content(p), keywords, judged)
+    dense = text.keyword_densities(c("_full"), checks.full_word_count(), keywords, judged)
     return F.concat(text.present(*rules), F.array_compact(dense))
 
 
 def seo_compliance(pages, stop_match="substring"):
     """Add check results and the list of violations."""
-    return with_checks(pages, stop_match).withColumn("violations", violations())
+    checked = _with_checks(_prepared(pages), stop_match)
+    return checked.withColumn("violations", _violations()).drop("_main", "_full")
 
 
 def improvement_advice(pages):

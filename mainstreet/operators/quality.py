@@ -102,7 +102,8 @@ def content_metrics(pages):
     main = F.coalesce(c("content.main_content"), F.lit(""))
     keywords = _list(c("seo.keywords"))
     density = text.keyword_densities(
-        main,
+        F.lower(main),
+        text.word_count(main),
         F.array_distinct(keywords),
         lambda k, d: F.struct(k.alias("key"), F.round(d * 100, 2).alias("value")),
     )

@@ -57,13 +57,16 @@ def template_page(row):
     )
 
 
-def generate_pages(b, fn=template_page):
+def generate_pages(b, fn=template_page, callers=None):
     """Call ``fn`` for every business and read its answer into a page spec.
 
     ``fn`` gets one row as a dict and returns JSON text or None; an exception counts as a
     failure of that row. This is the one step in Python: the model sits behind it. Batches come
-    through Arrow, and all checks of the answers run as columns.
+    through Arrow, and all checks of the answers run as columns. ``callers`` is the number of
+    tasks that call at the same time; rows are small and calls are slow, so it does not follow
+    the size of the input but, unless given, the session's number of shuffle partitions.
     """
+    callers = callers or int(b.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = b.withColumns(
         {
             "suggested_title": scores.suggested_title(),
@@ -91,7 +94,7 @@ def generate_pages(b, fn=template_page):
             yield batch[["pos", "business_id"]].assign(response=answers, problem=problems)
 
     # the answers are kept by the stage that calls this, so a model is not asked twice
-    answers = ready.mapInPandas(call, "pos long, business_id string, response string, problem string")
+    answers = ready.repartition(callers, "pos").mapInPandas(call, "pos long, business_id string, response string, problem string")
     parsed = parse_responses(answers, schemas.PAGE_SPEC)
     found = parsed.select("pos", "business_id", "problem", "error", "parsed.*", c("parsed").isNotNull().alias("has_spec"))
     broken = cleaning.page_spec_errors()
