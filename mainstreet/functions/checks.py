@@ -4,9 +4,6 @@ Checks read columns by dotted name, so Spark reads only the nested fields they t
 on a missing value is false.
 """
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import functions as F
 
 from mainstreet.functions import fixed, text
@@ -64,16 +61,11 @@ def full_word_count(p="", main="_main"):
     return sections[0] + text.collapsed_count(c(main)) + sections[1]
 
 
-def _holds_any(col, needles):
-    """Any of the texts occurs; plain searches are several times faster than one pattern of alternatives."""
-    return reduce(or_, [F.contains(col, F.lit(n)) for n in needles])
-
-
 def content_flow(p=""):
     """A transition word, three or more paragraphs, and paragraph lengths in more than one bucket of ten words."""
     linked = F.lit(False)
     for name in ("introduction", "main_content", "conclusion"):
-        linked = linked | _known(_holds_any(F.lower(c(f"{p}content.{name}")), fixed.TRANSITION_WORDS))
+        linked = linked | _known(text.holds_any(F.lower(c(f"{p}content.{name}")), fixed.TRANSITION_WORDS))
 
     def varied(paragraphs):
         lengths = F.filter(F.transform(paragraphs, text.word_count), lambda n: n > 0)
@@ -115,7 +107,7 @@ def no_repetition(col, stop_match="substring"):
     shortest = [w for w in stops if not any(other != w and other in w for other in stops)]
 
     def plain(w):
-        return ~_holds_any(w, shortest) if stop_match == "substring" else ~w.isin(*stops)
+        return ~text.holds_any(w, shortest) if stop_match == "substring" else ~w.isin(*stops)
 
     tokens = F.transform(F.split(F.lower(col), " "), lambda w: F.when((w != "") & plain(w), w))
 

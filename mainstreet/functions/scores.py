@@ -5,7 +5,7 @@ from operator import add
 
 from pyspark.sql import functions as F
 
-from mainstreet.functions import fixed
+from mainstreet.functions import fixed, text
 
 c = F.col
 
@@ -30,8 +30,8 @@ def steps(col, ladder):
 def label(ladder, default):
     """First label whose condition holds."""
     out = F
-    for condition, text in ladder:
-        out = out.when(condition, F.lit(text))
+    for condition, name in ladder:
+        out = out.when(condition, F.lit(name))
     return out.otherwise(F.lit(default))
 
 
@@ -95,10 +95,10 @@ def publication_score():
 
 def ladder_match(col, ladder, default):
     """Key of the first group with a term inside the lower-cased text."""
-    text = F.lower(col)
+    lowered = F.lower(col)
     out = F
     for key, terms in ladder:
-        out = out.when(text.rlike("|".join(terms)), F.lit(key))
+        out = out.when(text.holds_any(lowered, terms), F.lit(key))
     return out.otherwise(F.lit(default))
 
 
@@ -135,15 +135,15 @@ def suggested_title():
 
 
 def suggested_meta():
-    text = F.trim(c("description"))
+    about = F.trim(c("description"))
     sentence = F.concat(
         F.lit("Professional "), F.lower(c("category")), F.lit(" services in "), c("city"), F.lit(", "), c("state"),
         # Fixed value: closing sentence of the fallback description.
         F.lit(". Contact us today for quality service and exceptional customer experience."),
     )
     return (
-        F.when(F.length(text).between(1, 160), text)
-        .when(F.length(text) > 160, F.concat(F.left(text, F.lit(157)), F.lit("...")))
+        F.when(F.length(about).between(1, 160), about)
+        .when(F.length(about) > 160, F.concat(F.left(about, F.lit(157)), F.lit("...")))
         .otherwise(F.left(sentence, F.lit(160)))
     )
 

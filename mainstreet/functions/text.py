@@ -1,5 +1,8 @@
 """Text expressions: whitespace, casing, words, counts and slugs."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 # Every character that counts as white space in a Python string.
@@ -37,7 +40,7 @@ def collapse_ws(col):
 
 def collapsed_count(col):
     """Words of a text that :func:`collapse_ws` made."""
-    spaces = F.length(col) - F.length(F.replace(col, F.lit(" "), F.lit("")))
+    spaces = F.octet_length(col) - F.octet_length(F.replace(col, F.lit(" "), F.lit("")))
     return F.coalesce(F.when(col != "", spaces + 1), F.lit(0))
 
 
@@ -50,9 +53,13 @@ def title_case(col):
 
 
 def occurrences(text, needle):
-    """Count non-overlapping matches of ``needle``; an empty needle matches between all characters."""
-    hits = ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)).cast("long")
-    return F.when(F.length(needle) == 0, F.length(text).cast("long") + 1).otherwise(hits)
+    """Count non-overlapping matches of ``needle``; an empty needle matches between all characters.
+
+    Lengths are taken in bytes, which are known without reading the text.
+    """
+    removed = F.octet_length(text) - F.octet_length(F.replace(text, needle, F.lit("")))
+    hits = (removed / F.octet_length(needle)).cast("long")
+    return F.when(needle == "", F.length(text).cast("long") + 1).otherwise(hits)
 
 
 def density(lowered, n_words, keyword):
@@ -61,6 +68,11 @@ def density(lowered, n_words, keyword):
     return F.coalesce(F.try_divide(hits, n_words), F.lit(0.0))
 
 
+def holds_any(col, needles):
+    """Any of the texts occurs; plain searches are several times faster than one pattern of alternatives."""
+    return reduce(or_, [F.contains(col, F.lit(n)) for n in needles])
+
+
 def keyword_density(text, keyword):
     return density(F.lower(text), word_count(text), keyword)
 

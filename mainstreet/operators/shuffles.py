@@ -84,32 +84,36 @@ def first_rows(df, by, order, k=1):
     return df.withColumn("_rn", rank).where(F.col("_rn") <= k).drop("_rn")
 
 
-def _number(df, name):
-    """Consecutive numbers from 1 in partition order: position in the partition plus the sizes of earlier ones."""
-    tagged = df.withColumn("_mid", F.monotonically_increasing_id())
+def _placed(df):
+    return df.withColumn("_mid", F.monotonically_increasing_id())
+
+
+def _number(placed, name):
+    """Consecutive numbers from 1: the position in the partition plus the sizes of the partitions before it."""
     part = F.shiftright("_mid", _ROW_BITS)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition of the input, whatever the number of rows
     offsets = (
-        tagged.groupBy(part.alias("_part"))
+        placed.groupBy(part.alias("_part"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    # one row per partition of the input, whatever the number of rows
-    numbered = tagged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
     within = F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
     return numbered.withColumn(name, F.col("_offset") + within + 1).drop("_mid", "_part", "_offset")
 
 
 def number_rows(df, name="row_idx"):
     """Number the rows of a file scan in input order."""
-    return _number(df, name)
+    return _number(_placed(df), name)
 
 
 def global_rank(df, order, name):
     """ROW_NUMBER over the whole table. ``order`` must be unique.
 
     A window without keys would put all rows into one task. A global sort is split by ranges of
-    the key instead; its result is written once, because a second run of the sort may choose
-    other ranges.
+    the key instead. It reads its input twice, to choose the ranges and to sort, so the input is
+    stored first; and its result is stored with each row's place, because a second run of the
+    sort may choose other ranges. The sizes of the ranges are then counted from those places.
     """
-    return _number(materialise(df.orderBy(*order)), name)
+    return _number(materialise(_placed(materialise(df).orderBy(*order))), name)
