@@ -486,7 +486,7 @@ def estimate_cost(spark, sf):
 
 @query(
     "batch_cost",
-    "SELECT count(*) AS businesses, round(count(*) * 0.0249, 4) AS total_cost FROM customer",
+    "SELECT count(*) AS businesses, round(count(*) * 0.0249::DOUBLE, 4) AS total_cost FROM customer",
 )
 def batch_cost(spark, sf):
     return responses.batch_cost(fixtures.businesses(spark, sf, False))

@@ -112,7 +112,7 @@ def tel_link(spark, sf):
 
 
 _BASIC = (
-    f"SELECT '{_URL}/' AS loc, '{_DAY}' AS lastmod, CAST(NULL AS VARCHAR) AS changefreq, 1.0 AS priority"
+    f"SELECT '{_URL}/' AS loc, '{_DAY}' AS lastmod, CAST(NULL AS VARCHAR) AS changefreq, 1.0::DOUBLE AS priority"
     f" UNION ALL SELECT '{_URL}/' || slug, '{_DAY}', NULL, 0.8 FROM rendered WHERE render_successful AND length(slug) > 0"
 )
 
@@ -147,7 +147,7 @@ def _keys(kind, name):
 @query(
     "sitemap_full",
     over(
-        f"SELECT '{_URL}' AS loc, '{_DAY}' AS lastmod, 'weekly' AS changefreq, 1.0 AS priority"
+        f"SELECT '{_URL}' AS loc, '{_DAY}' AS lastmod, 'weekly' AS changefreq, 1.0::DOUBLE AS priority"
         f" UNION ALL SELECT '{_URL}/pages/' || slug || '.html', CASE WHEN page_pos % 5 = 0 THEN '{_DAY}' ELSE"
         " strftime(to_timestamp(1704067200 + page_pos * 3600) AT TIME ZONE 'UTC', '%Y-%m-%d') END, 'monthly', 0.8 FROM page_specs"
         f" UNION ALL {_keys('category', 'category')} UNION ALL {_keys('location', 'city')}"
