@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from catalog import ORACLES as SQL
+from catalog import QUERIES
 from catalog.compare import connect, difference
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
-
 # results of these hold times, markup or generated text; see the tests of their parts
 WITHOUT_SQL = {"query_time", "generate_pages", "render_pages", "sink_text_pages", "jsonld", "share_links", "site_run"}
 
