@@ -113,3 +113,46 @@ def words(offsets, data):
 def row_ranges(rows, n):
     """Start and end of each row's run in the sorted array ``rows``."""
     return np.searchsorted(rows, np.arange(n + 1))
+
+
+def append_columns(df, text_col, fields, compute):
+    """The rows of ``df`` with further columns from their texts; ``compute(offsets, data)`` gives one array per field.
+
+    Rows are neither moved nor copied to another task. Columns of the same names are replaced.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    df = df.drop(*[f.name for f in fields])
+    schema = T.StructType([*df.schema.fields, *fields])
+    at = df.columns.index(text_col)
+    names = schema.names
+    kinds = {"long": pa.int64(), "double": pa.float64(), "integer": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = [kinds[f.dataType.typeName()] for f in fields]
+
+    def run(batches):
+        for batch in batches:
+            found = [compute(offsets, data) for _, offsets, data in text_blocks(batch.column(at))]
+            more = []
+            for i, kind in enumerate(kinds):
+                values = [v for part in found for v in part[i]] if kind == pa.string() or kind == pa.binary() else (
+                    np.concatenate([part[i] for part in found]) if found else np.zeros(0)
+                )
+                more.append(pa.array(values, kind))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
+
+    return df.mapInArrow(run, schema)
+
+
+def remainder(column, modulus):
+    """crc32 of the value as text, modulo ``modulus``; a null counts as the empty text."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def first_by_hash(df, key, n):
+    """``n`` rows chosen by the hash of the key: the same on every run, whatever the partitions."""
+    from pyspark.sql import functions as F
+
+    return df.orderBy(F.xxhash64(F.lit(11), key), key).limit(n)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mainstreet.llm import mixing, sharding
+from mainstreet.llm import blocks, language, mixing, quality, sharding
 
 QUERIES = {}
 ORACLES = {}
@@ -34,3 +34,21 @@ def op10_sharding(spark, sf_dir):
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = blocks.remainder(F.col("doc_id"), 3) == 1
+    model = language.fit(docs.where(~held_out))
+    named = language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return named.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+@query("op5_quality")
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = blocks.remainder(F.col("doc_id"), 4) == 2
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
