@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mainstreet.llm import blocks, language, mixing, quality, sharding
+from mainstreet.llm import blocks, language, mixing, quality, sharding, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -22,6 +22,15 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = blocks.remainder(F.col("doc_id"), 5) == 0
+    detector = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), detector)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op3_mixing")
 def op3_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
