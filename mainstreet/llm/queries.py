@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mainstreet.llm import blocks, language, mixing, quality, sharding, toxicity
+from mainstreet.llm import blocks, decontamination, language, mixing, quality, sharding, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -31,6 +31,12 @@ def op1_toxicity(spark, sf_dir):
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op2_decontamination")
+def op2_decontamination(spark, sf_dir):
+    found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
+
+
 @query("op3_mixing")
 def op3_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
