@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mainstreet.llm import blocks, decontamination, language, mixing, quality, sharding, toxicity
+from mainstreet.llm import blocks, decontamination, language, minhash, mixing, quality, sharding, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -67,3 +67,8 @@ def op5_quality(spark, sf_dir):
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     scored = quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op7_minhash")
+def op7_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
