@@ -6,8 +6,10 @@ bring texts together; links are confirmed on the full sets.
 
 Texts with the same set are one class. Within a band's bucket, every class is first compared with
 the bucket's first class only. Buckets that still hold classes of different components go on with
-further leaders, until all classes of a bucket are compared with each other or known to be
-connected. So no bucket is expanded into all of its pairs and no link that matters is lost.
+further leaders, eight times as many each round, until all classes of a bucket are compared with
+each other or known to be connected. So a bucket of copies is never expanded into all of its
+pairs. Sets are fetched only for pairs whose sizes allow the similarity and whose signatures are
+less than four standard deviations below it.
 """
 
 import numpy as np
@@ -22,7 +24,8 @@ from mainstreet.plans.workspace import materialise
 
 PERMUTATIONS = 60
 BAND = 5
-LEADERS = 8  # of a bucket, from the second round on
+MORE_LEADERS = 8  # times the leaders of a bucket in each round
+DEVIATIONS = 4
 
 _rng = np.random.default_rng(29)
 _TIMES = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,7 +70,7 @@ def shingles(offsets, data, width=3):
 
 
 def signatures(offsets, data, width=3):
-    """Per text: size of its set, two hashes of the whole set, and its band values as bytes."""
+    """Per text: size of its set, two hashes of the whole set, its band values, and a byte of each value."""
     n = len(offsets) - 1
     rows, at = shingles(offsets, data, width)
     size = np.bincount(rows, minlength=n)
@@ -89,7 +92,8 @@ def signatures(offsets, data, width=3):
             key = blocks.mix(key * np.uint64(0x9E3779B97F4A7C15) + v)
         bands[:, b] = key
     sums = sums.view(np.int64)
-    return [size, sums[0], sums[1], [r.tobytes() for r in bands]]
+    short = (values >> np.uint64(20)).astype(np.uint8)
+    return [size, sums[0], sums[1], [r.tobytes() for r in bands], [r.tobytes() for r in short]]
 
 
 def _unpacked(binary):
@@ -116,6 +120,24 @@ def _overlaps(left, right, width):
     return np.concatenate(both or [np.zeros(0, int)]), np.concatenate(either or [np.zeros(0, int)])
 
 
+def _likely(pairs, percent):
+    """The pairs (a, b) whose signatures ``sa`` and ``sb`` agree often enough."""
+    goal = percent / 100
+    least = goal - DEVIATIONS * (goal * (1 - goal) / (2 * PERMUTATIONS)) ** 0.5
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sides = [blocks.string_buffers(batch.column(i))[1].reshape(-1, 2 * PERMUTATIONS) for i in (2, 3)]
+            agree = (sides[0] == sides[1]).mean(1) if len(batch) else np.zeros(0)
+            good = pa.array((agree - 1 / 256) / (1 - 1 / 256) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
+
+    schema = T.StructType([T.StructField(c, pairs.schema[c].dataType) for c in ("a", "b")])
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, schema)
+
+
 def _confirm(pairs, texts, percent, width):
     """The pairs (a, b) whose full sets are similar enough."""
 
@@ -144,7 +166,7 @@ def near_duplicates(docs, percent=85, width=3, id_col="doc_id", text_col="text")
     """
     fields = [
         T.StructField("_n", T.LongType()), T.StructField("_s1", T.LongType()),
-        T.StructField("_s2", T.LongType()), T.StructField("_bands", T.BinaryType()),
+        T.StructField("_s2", T.LongType()), T.StructField("_bands", T.BinaryType()), T.StructField("_sig", T.BinaryType()),
     ]
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     signed = blocks.append_columns(texts, "_text", fields, lambda o, d: signatures(o, d, width)).drop("_text")
@@ -152,39 +174,44 @@ def near_duplicates(docs, percent=85, width=3, id_col="doc_id", text_col="text")
     sets = ["_s1", "_s2", "_n"]
     usable = signed.where((F.col("_n") > 0) & F.col("_id").isNotNull())
     classes = usable.groupBy(*sets).agg(
-        F.min("_id").alias("_rep"), F.first("_bands").alias("_bands"), F.count(F.lit(1)).alias("_rows")
+        F.min("_id").alias("_rep"), F.first("_bands").alias("_bands"), F.first("_sig").alias("_sig"), F.count(F.lit(1)).alias("_rows")
     )
     classes = materialise(classes)
-    members = classes.select(F.col("_rep").alias("r"), F.explode(_unpacked(F.col("_bands"))).alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = materialise(members.join(shared, "key"))
+    bands = classes.select(F.col("_rep").alias("r"), F.explode(_unpacked(F.col("_bands"))).alias("key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = materialise(bands.join(shared, "key").withColumn("c", F.col("r")))
+    about = classes.select(F.col("_rep").alias("r"), "_n", "_sig")
     links, known, leaders = None, None, 1
     while not members.isEmpty():
         # the first classes of each bucket lead it; Spark limits them in every task before the shuffle
         rank = F.row_number().over(Window.partitionBy("key").orderBy("r"))
-        lead = members.select("key", "r", *(["c"] if known else []), rank.alias("_rank")).where(F.col("_rank") <= leaders)
-        lead = materialise(lead.drop("_rank").withColumnsRenamed({"r": "a", "c": "ca"}))
-        pairs = members.withColumnRenamed("r", "b").join(lead, "key").where("b > a")
-        if known:
-            pairs = pairs.where("c != ca")
-        pairs = materialise(pairs.select("a", "b").distinct())
-        asked = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-        own = texts.join(asked, "_id", "left_semi").dropDuplicates(["_id"])
-        found = materialise(_confirm(pairs, own, percent, width))
-        links = found if links is None else links.unionByName(found)
-        known = components(links).select(F.col("id").alias("r"), F.col("component").alias("_c"))
-        rest = members.drop("c").join(lead.select("key", F.col("a").alias("r")), ["key", "r"], "left_anti")
-        rest = rest.join(known, "r", "left").select("key", "r", F.coalesce("_c", "r").alias("c"))
+        lead = members.withColumn("_rank", rank).where(F.col("_rank") <= leaders)
+        lead = materialise(lead.select("key", F.col("r").alias("a"), F.col("c").alias("ca")))
+        pairs = members.withColumnRenamed("r", "b").join(lead, "key").where("b > a AND c != ca").select("a", "b").distinct()
+        pairs = pairs.join(about.toDF("a", "na", "sa"), "a").join(about.toDF("b", "nb", "sb"), "b")
+        fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        pairs = materialise(_likely(pairs.where(fits), percent))
+        found = None
+        if not pairs.isEmpty():
+            asked = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+            own = texts.join(asked, "_id", "left_semi").dropDuplicates(["_id"])
+            found = materialise(_confirm(pairs, own, percent, width))
+        if found is not None and not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            known = materialise(components(links).select(F.col("id").alias("r"), F.col("component").alias("_c")))
+        rest = members.join(lead.select("key", F.col("a").alias("r")), ["key", "r"], "left_anti")
+        if known is not None:
+            rest = rest.join(known, "r", "left").select("key", "r", F.coalesce("_c", "c").alias("c"))
         open_keys = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
         members = materialise(rest.join(open_keys.select("key"), "key"))
-        leaders = LEADERS
-    grouped = classes.drop("_bands").withColumn("component_id", F.col("_rep"))
+        leaders *= MORE_LEADERS
+    grouped = classes.drop("_bands", "_sig").withColumn("component_id", F.col("_rep"))
     if known is not None:
         known = known.select(F.col("r").alias("_rep"), "_c")
         grouped = grouped.drop("component_id").join(known, "_rep", "left")
         grouped = grouped.withColumn("component_id", F.coalesce("_c", "_rep")).drop("_c")
     grouped = grouped.drop("_rep")
-    out = lookup(signed.drop("_bands"), grouped, sets, ["_id"], counted="_rows").drop("_rows")
+    out = lookup(signed.drop("_bands", "_sig"), grouped, sets, ["_id"], counted="_rows").drop("_rows")
     own = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id")
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), own).withColumn(
         "kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))
