@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mainstreet.llm import blocks, decontamination, language, minhash, mixing, quality, sharding, toxicity
+from mainstreet.llm import blocks, decontamination, embeddings, language, minhash, mixing, quality, sharding, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -69,6 +69,11 @@ def op5_quality(spark, sf_dir):
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query("op6_embeddings")
+def op6_embeddings(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_minhash")
 def op7_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
