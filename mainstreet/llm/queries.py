@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mainstreet.llm import blocks, decontamination, embeddings, language, minhash, mixing, quality, sharding, toxicity
+from mainstreet.llm import blocks, decontamination, embeddings, language, minhash, mixing, quality, scoring, sharding, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -43,6 +43,14 @@ def op3_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards"))
 
 
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = blocks.remainder(F.col("doc_id"), 7) == 2
+    model, counted = scoring.fit(docs.where(~held_out))
+    return scoring.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, counted)
+
+
 @query("op10_sharding")
 def op10_sharding(spark, sf_dir):
     placed = sharding.place(table(spark, sf_dir, "documents"))
