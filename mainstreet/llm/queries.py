@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mainstreet.llm import blocks, decontamination, embeddings, language, minhash, mixing, quality, scoring, sharding, toxicity
+from mainstreet.llm import blocks, decontamination, embeddings, language, minhash, mixing, quality, repeats, scoring, sharding, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -43,6 +43,11 @@ def op3_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards"))
 
 
+@query("op8_suffix_array")
+def op8_suffix_array(spark, sf_dir):
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 @query("op9_lm_scoring")
 def op9_lm_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
