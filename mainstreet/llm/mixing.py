@@ -18,6 +18,7 @@ from mainstreet.plans.workspace import materialise
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
+FITS = 3
 _SEED = 3
 _PRIME = 1_000_003  # above any number of blocks of a source, so multiplying by it permutes them
 
@@ -145,13 +146,25 @@ def split_tree(blocks, shards):
     return runs.select("_ix", sums.alias("_ends"))
 
 
+def _fitted(placed, most):
+    """One more use, for each source, of the document whose size fits best what the source still lacks."""
+    gaps = placed.groupBy("_ix").agg((F.first("target") - F.sum(F.col("_uses") * F.col("_size"))).alias("_gap"))
+    fit = F.abs(F.col("_size") - F.col("_gap"))
+    free = (F.col("_size") > 0) & (F.col("_uses") < most) & (fit < F.col("_gap"))
+    fits = placed.select("_ix", "_size", "_uses", "_order", "_row").join(F.broadcast(gaps), "_ix").where(free)
+    best = fits.groupBy("_ix").agg(F.min(F.struct(fit.alias("fit"), "_order", "_row"))["_row"].alias("_row"))
+    # one row per source on the broadcast side
+    out = placed.join(F.broadcast(best.withColumn("_extra", F.lit(1))), ["_ix", "_row"], "left")
+    return out.withColumn("_uses", F.col("_uses") + F.coalesce("_extra", F.lit(0))).drop("_extra")
+
+
 def mix(docs, shards=8, blocks_per_shard=256, rows_per_part=50_000, weights=WEIGHTS, most=MOST_REPEATS,
         id_col="doc_id", text_col="text", source_col="source"):
     """One row per document: id, size, source_size, target, taken and ``draws``, one (pass, shard, order) per use.
 
     A document is used as often as the reading of its source passes its end before the target is
-    reached; then the document whose size fits the rest of the source's target best is used once
-    more. ``order`` is the document's place in the local shuffle of its shard. A null text has no words; a null source is a source.
+    reached; then, up to FITS times, the document whose size fits best what the source still lacks
+    is used once more. ``order`` is the document's place in the local shuffle of its shard. A null text has no words; a null source is a source.
     Documents without words are not drawn. Repeated rows and null ids are documents of their own.
     An empty table gives an empty result.
 
@@ -190,15 +203,9 @@ def mix(docs, shards=8, blocks_per_shard=256, rows_per_part=50_000, weights=WEIG
     passes = F.filter(
         F.sequence(F.lit(0), F.lit(most - 1)), lambda p: (F.col("_size") > 0) & (last(p) <= F.col("target"))
     )
-    placed = materialise(placed.drop("_before", "_within", "_part").withColumn("_uses", F.size(passes)))
-    # what each source still lacks, and the document that fits it best: one row per source
-    gaps = placed.groupBy("_ix").agg((F.first("target") - F.sum(F.col("_uses") * F.col("_size"))).alias("_gap"))
-    fit = F.abs(F.col("_size") - F.col("_gap"))
-    free = (F.col("_size") > 0) & (F.col("_uses") < most) & (fit < F.col("_gap"))
-    fits = placed.select("_ix", "_size", "_uses", "_order", "_row").join(F.broadcast(gaps), "_ix").where(free)
-    best = fits.groupBy("_ix").agg(F.min(F.struct(fit.alias("fit"), "_order", "_row"))["_row"].alias("_row"))
-    extra = F.broadcast(best.withColumn("_extra", F.lit(1)))
-    placed = placed.join(extra, ["_ix", "_row"], "left").withColumn("_uses", F.col("_uses") + F.coalesce("_extra", F.lit(0)))
+    placed = placed.drop("_before", "_within", "_part").withColumn("_uses", F.size(passes))
+    for _ in range(FITS):
+        placed = _fitted(materialise(placed), most)
 
     def use(p):
         at = F.least((p * F.col("source_size") + F.col("_start")) / F.col("target"), F.lit(1.0))
