@@ -1,5 +1,6 @@
 """The queries of the operators and of the pipeline, and the SQL that checks those which SQL can express."""
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from mainstreet.llm import blocks, decontamination, embeddings, language, minhash, mixing, quality, repeats, scoring, sharding, toxicity
@@ -90,3 +91,8 @@ def op6_embeddings(spark, sf_dir):
 @query("op7_minhash")
 def op7_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
