@@ -1,14 +1,22 @@
 """Shared working folder of a run and lineage cuts that survive the loss of an executor."""
 
+import re
 import tempfile
 import uuid
 
 
 def shared_dir(spark):
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a private one only where none is named."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Executors of a cluster do not see each other's disks, so a missing name is an error there. Only
+    a local session, which has one disk, gets a private folder.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mainstreet-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("Name a folder that all executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="mainstreet-"))
     return context.getCheckpointDir()
 
 

@@ -1,20 +1,18 @@
 """Reading business files and keeping stage tables, documents and reports."""
 
-import os
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mainstreet import schemas
-from mainstreet.operators.shuffles import first_rows
+from mainstreet.operators.shuffles import checked_broadcast, first_rows
 
 
-def read_businesses(spark, path, multi_line=True, fmt=None):
+def read_businesses(spark, path, multi_line=False, fmt=None):
     """Business listings, all columns as text and matched by name.
 
-    Columns that a layout lacks are null, extra ones are dropped. ``multi_line`` allows line
-    breaks inside quotes, at the price of one task per file; give many files, or turn it off
-    for files without such breaks. JSON files are read as documents with the same columns.
+    Columns that a layout lacks are null, extra ones are dropped. Files are split among tasks
+    unless ``multi_line`` allows line breaks inside quotes, at the price of one task per file. JSON
+    files are read as documents with the same columns.
     """
     if (fmt or ("json" if str(path).endswith((".json", ".jsonl")) else "csv")) == "json":
         raw = spark.read.option("primitivesAsString", True).option("multiLine", multi_line).json(path)
@@ -103,30 +101,16 @@ def write_pages(df, path, buckets=64):
     return path
 
 
-def export_pages(df, root):
-    """One file per page below a folder that all executors share.
+def keep_last_spec(df):
+    """The last page spec per day and business; later writes replace earlier ones.
 
-    Each file is written beside its place and then moved there, so a task that runs again
-    after a failure leaves the same files.
+    The winners are found on keys alone, so the texts of the pages are not sorted or shuffled for it
+    unless the winners are too many to be sent to every task.
     """
-
-    def put(rows):
-        for row in rows:
-            target = os.path.join(root, row.path)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            part = f"{target}.{os.getpid()}.part"
-            with open(part, "w", encoding="utf-8") as out:
-                out.write(row.body)
-            os.replace(part, target)
-
-    df.select("path", "body").foreachPartition(put)
-    return root
-
-
-def keep_last_spec(df):
-    """The last page spec per day and business; later writes replace earlier ones."""
     dated = df.withColumn("gen_date", F.date_format("generated_at", "yyyyMMdd"))
-    return first_rows(dated, ["gen_date", "business_id"], [F.col("generated_at").desc(), F.col("page_pos").desc()])
+    keys = dated.select("gen_date", "business_id", "generated_at", "page_pos")
+    last = first_rows(keys, ["gen_date", "business_id"], [F.col("generated_at").desc(), F.col("page_pos").desc()])
+    return dated.join(checked_broadcast(last.select("page_pos", "gen_date")), ["page_pos", "gen_date"], "left_semi")
 
 
 def write_page_specs(df, path):
@@ -144,7 +128,8 @@ def latest_page_specs(df, n=100):
 def append_traces(df, path):
     """Add traces to the log, by day."""
     dated = df.withColumn("trace_date", F.date_format("created_at", "yyyyMMdd"))
-    dated.write.mode("append").partitionBy("trace_date").json(path)
+    # a day is written by as many tasks as its size asks for
+    dated.hint("rebalance", F.col("trace_date")).write.mode("append").partitionBy("trace_date").json(path)
     return path
 
 

@@ -1,7 +1,6 @@
 """Files in and out, and the staged run."""
 
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures
 from mainstreet import schemas
 from mainstreet.operators import site
-from mainstreet.plans import stages
+from mainstreet.plans import stages, workspace
 from mainstreet.sources import tables
 
 c = F.col
@@ -25,7 +24,7 @@ def test_csv_keeps_zips_and_quoted_breaks(spark, tmp_path):
     path = _listing(
         tmp_path / "a.csv", 'b1,"Joe, ""the"" Baker",Bakery,12 Main Street,Rome,NY,01234,,,,"two\nlines",4.5,7'
     )
-    row = tables.read_businesses(spark, path).first()
+    row = tables.read_businesses(spark, path, multi_line=True).first()
     assert (row.name, row.zip_code, row.description, row.rating) == ('Joe, "the" Baker', "01234", "two\nlines", "4.5")
 
 
@@ -67,14 +66,6 @@ def test_synthetic(spark):
     assert all(3 <= r.rating < 5 and 10 <= r.review_count < 300 for r in rows)
 
 
-def test_export_writes_one_file_per_page(spark, tmp_path):
-    pages = spark.createDataFrame([("pages/a.html", "A"), ("pages/b.html", "é")], "path string, body string")
-    tables.export_pages(pages, str(tmp_path))
-    tables.export_pages(pages, str(tmp_path))
-    assert sorted(os.listdir(tmp_path / "pages")) == ["a.html", "b.html"]
-    assert (tmp_path / "pages/b.html").read_text(encoding="utf-8") == "é"
-
-
 def test_page_leaves_out_what_is_missing_and_escapes(spark, sf):
     pages = fixtures.page_specs(spark, sf).drop("quality_score").withColumn("quality_score", F.lit(0.85))
     rows = site.render_pages(pages).select("html", "business", "seo", "jsonld").collect()
@@ -106,7 +97,7 @@ def test_reports_of_nothing(spark, sf):
 
 def test_run(spark, sf, tmp_path):
     source = tables.write_businesses_csv(fixtures.businesses(spark, sf), str(tmp_path / "in"))
-    out = stages.run_stages(spark, source, str(tmp_path / "out"), "r1", day="2024-06-01")
+    out = stages.run_stages(spark, source, str(tmp_path / "out"), "r1", day="2024-06-01", multi_line=True)
     n = {name: df.count() for name, df in out.items()}
     assert n["businesses"] + n["rejected"] == 150
     assert n["generated_pages"] == n["businesses"] == n["rendered_pages"] == n["qc_results"]
@@ -123,6 +114,24 @@ def test_run_stops_when_nothing_is_generated(spark, sf, tmp_path):
 
     source = tables.write_businesses_csv(fixtures.businesses(spark, sf), str(tmp_path / "in"))
     with pytest.raises(stages.NothingGenerated):
-        stages.run_stages(spark, source, str(tmp_path / "out"), "r1", generate=broken)
+        stages.run_stages(spark, source, str(tmp_path / "out"), "r1", generate=broken, multi_line=True)
     errors = spark.read.parquet(str(tmp_path / "out/generated_pages")).select("error").distinct().collect()
     assert [r.error for r in errors] == ["no model"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Nowhere:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Nowhere()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workspace.shared_dir(Session())
+    Nowhere.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError):
+        workspace.shared_dir(Session())
