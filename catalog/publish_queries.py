@@ -51,11 +51,8 @@ CANDIDATES = (
     f" {COMPLEXITY} AS generation_complexity, {COMPLETENESS} AS data_completeness FROM businesses b WHERE {_PRESENT}"
 )
 RELATED = (
-    "SELECT c.business_id, string_agg(DISTINCT r.name || '|' || r.category || '|' || r.business_id, ';'"
-    " ORDER BY r.name || '|' || r.category || '|' || r.business_id) AS related_businesses_data,"
-    " count(r.business_id) > 0 AS any_related FROM candidates c"
-    " LEFT JOIN businesses r ON r.city = c.city AND r.state = c.state AND r.category IS NOT NULL AND r.business_id <> c.business_id"
-    " GROUP BY c.business_id"
+    "(SELECT count(DISTINCT r.name || '|' || r.category || '|' || r.business_id) FROM businesses r"
+    " WHERE r.city = b.city AND r.state = b.state AND r.category IS NOT NULL AND r.business_id <> b.business_id)"
 )
 TITLE = (
     "CASE WHEN length(name || ' - ' || category || ' in ' || city || ', ' || state) <= 70"
@@ -137,38 +134,25 @@ def city_count(spark, sf):
     return publication.city_business_count(publication.candidates(b), b).select("business_id", "city_business_count")
 
 
-_CHUNKED = f"(SELECT count(*) FROM businesses x WHERE x.city = b.city AND x.state = b.state) > {publication.INLINE_MEMBERS}"
-
-
 @query(
     "related_agg",
-    over(
-        f"SELECT b.business_id, CASE WHEN NOT {_CHUNKED} THEN related_businesses_data END AS related_businesses_data,"
-        f" {_CHUNKED} AS related_in_chunks FROM candidates b JOIN related r ON r.business_id = b.business_id",
-        businesses=fixtures.business_sql(False), candidates=f"SELECT * FROM businesses WHERE {_PRESENT}", related=RELATED,
-    ),
+    over(f"SELECT business_id, {RELATED} AS related_count FROM businesses b WHERE {_PRESENT}", businesses=fixtures.business_sql(False)),
 )
 def related_agg(spark, sf):
     b = _listings(spark, sf, False)
-    return publication.related_businesses(publication.candidates(b), b).select(
-        "business_id", "related_businesses_data", "related_in_chunks"
-    )
+    return publication.related_businesses(publication.candidates(b), b).select("business_id", "related_count")
 
 
 @query(
     "related_members",
     over(
-        "SELECT city, state, chunk, string_agg(DISTINCT entry, ';' ORDER BY entry) AS members FROM (SELECT m.city, m.state,"
-        " name || '|' || category || '|' || business_id AS entry,"
-        " CAST(('0x' || left(md5(business_id), 8))::UBIGINT % CAST(ceil(n / 500.0) AS UBIGINT) AS BIGINT) AS chunk"
-        " FROM businesses b JOIN markets m ON m.city = b.city AND m.state = b.state WHERE category IS NOT NULL AND n > 100) t"
-        " WHERE entry IS NOT NULL GROUP BY city, state, chunk",
+        "SELECT DISTINCT city, state, business_id, name || '|' || category || '|' || business_id AS entry FROM businesses"
+        f" WHERE {_PRESENT} AND business_id IS NOT NULL",
         businesses=fixtures.business_sql(False),
-        markets="SELECT city, state, count(*) AS n FROM businesses WHERE city IS NOT NULL AND state IS NOT NULL GROUP BY city, state",
     ),
 )
 def related_members(spark, sf):
-    return publication.market_members(_listings(spark, sf, False), inline=100)
+    return publication.market_members(_listings(spark, sf, False))
 
 
 _SCORED = f"SELECT *, {SCORE} AS priority_score FROM businesses WHERE {_PRESENT}"
@@ -189,21 +173,21 @@ def pub_batch(spark, sf):
     return publication.processing_batch(_scored(spark, sf)).select("business_id", "processing_batch")
 
 
-@query("query_time")
+@query("query_time", over(f"SELECT business_id, TRUE AS stamped FROM businesses WHERE {_PRESENT}", businesses=fixtures.business_sql(False)))
 def query_time(spark, sf):
-    return _candidates(spark, sf).select("business_id", F.current_timestamp().alias("query_generated_at"))
+    """Every candidate gets the time of the query."""
+    stamped = publication.candidates(_listings(spark, sf, False)).withColumn("query_generated_at", F.current_timestamp())
+    return stamped.select("business_id", (c("query_generated_at") <= F.now()).alias("stamped"))
 
 
 def _publish_sql(min_score):
     return over(
         "SELECT b.* EXCLUDE (k, priority_score), round(priority_score, 2) AS priority_score,"
-        f" {LOCAL} AS local_competition, {CITY} AS city_business_count,"
-        f" CASE WHEN NOT {_CHUNKED} THEN related_businesses_data END AS related_businesses_data, {_CHUNKED} AS related_in_chunks,"
+        f" {LOCAL} AS local_competition, {CITY} AS city_business_count, {RELATED} AS related_count,"
         f" {TITLE} AS suggested_title, {META} AS suggested_meta_description, {H1} AS suggested_h1, {WORDS} AS target_word_count,"
-        f" {KEYWORDS} AS suggested_keywords FROM listed b JOIN related r ON r.business_id = b.business_id",
+        f" {KEYWORDS} AS suggested_keywords FROM listed b ORDER BY publication_rank",
         "businesses",
         candidates=CANDIDATES,
-        related=RELATED,
         listed=f"SELECT *, {RANK} AS publication_rank, {BATCH} AS processing_batch FROM candidates"
         f" WHERE data_completeness = 'COMPLETE' AND priority_score >= {min_score}",
     )
@@ -271,7 +255,7 @@ def _ids():
     return F.array_join(F.transform("related", lambda m: m.business_id), ",").alias("related")
 
 
-@query("related_links", _links_sql("ORDER BY k LIMIT 10"))
+@query("related_links", _links_sql(""))
 def related_links(spark, sf):
     return linking.related_links(_listings(spark, sf, False)).select("business_id", _ids())
 
@@ -357,7 +341,7 @@ def qc_prompts(spark, sf):
         "SELECT page_pos, 'Review the page of: ' || coalesce(name, '') || chr(10) || 'Title: ' || title || ' - ' || length(title) || ' characters'"
         " || chr(10) || 'Description: ' || meta_description || ' - ' || length(meta_description) || ' characters' || chr(10)"
         " || 'Heading: ' || h1 || ' - ' || length(h1) || ' characters' || chr(10)"
-        f" || 'Main text: ' || {_N_WORDS} || ' words' || chr(10) || 'Address: ' || slug || chr(10) || 'Opening: ' || left(main_content, 500)"
+        f" || 'Main text: ' || {_N_WORDS} || ' words' || chr(10) || 'Address: ' || slug || chr(10) || 'Main text: ' || main_content"
         f" || chr(10) || 'Introduction: ' || introduction || chr(10) || 'Conclusion: ' || conclusion || chr(10) || {_QC_TAIL} AS qc_prompt"
         " FROM page_specs",
         "page_specs",

@@ -27,13 +27,12 @@ def _picked(pool, k):
     return F.transform(chosen, lambda m: F.struct(*[m[n].alias(n) for n in _PARTS if n != "pos"]))
 
 
-def related_links(b, pool=10, k=3):
-    """Up to ``k`` related businesses per row, in input order.
+def related_links(b, pool=None, k=3):
+    """Up to ``k`` related businesses per row, in input order, from the whole table.
 
-    ``pool`` limits the choice to the first rows of the input, as one small array. With
-    ``pool=None`` the whole table is open: per city, three rows of each category and six in all
-    are enough to leave ``k`` of another category, and likewise per category, so the tables that
-    are looked up stay at six entries per key.
+    Per city, three rows of each category and six in all are enough to leave ``k`` of another
+    category, and likewise per category, so the tables that are looked up stay at six entries per
+    key. ``pool`` limits the choice to that many first rows of the input, as one small array.
     """
     rows = _folded(b)
     if pool is not None:
@@ -99,7 +98,7 @@ def build_prompts(df, style="compact", related=5):
         if "related" in df.columns:
             listed = F.transform(
                 F.slice("related", 1, related),
-                lambda m: F.concat(F.lit("* "), m.name, F.lit(" ("), m.category, F.lit("), id "), m.business_id),
+                lambda m: F.concat(F.lit("* "), m["name"], F.lit(" ("), m["category"], F.lit("), id "), m["business_id"]),
             )
             head.append(F.when(F.size("related") > 0, _lines(F.lit("Link to some of:"), F.array_join(listed, "\n"))))
         head.append(
@@ -113,8 +112,11 @@ def build_prompts(df, style="compact", related=5):
     return df.withColumn("prompt", _lines(*head))
 
 
-def build_qc_prompts(pages, style="compact"):
-    """Review prompt per page with field lengths, word count and, if ``full``, the opening of the main text."""
+def build_qc_prompts(pages, style="compact", opening=None):
+    """Review prompt per page with field lengths, word count and, if ``full``, the main text.
+
+    ``opening`` limits the main text to its first characters.
+    """
     sized = [("Title", c("seo.title")), ("Description", c("seo.meta_description")), ("Heading", c("seo.h1"))]
     main = c("content.main_content")
     parts = [_pair("Review the page of", F.coalesce(c("business.name"), F.lit("")))]
@@ -125,7 +127,7 @@ def build_qc_prompts(pages, style="compact"):
     if style == "full":
         parts += [
             _pair("Address", c("seo.slug")),
-            _pair("Opening", F.left(main, F.lit(500))),
+            _pair("Main text", main if opening is None else F.left(main, F.lit(opening))),
             _pair("Introduction", c("content.introduction")),
             _pair("Conclusion", c("content.conclusion")),
         ]

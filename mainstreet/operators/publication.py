@@ -1,5 +1,6 @@
 """The publication list: candidates, scores, market context, related businesses, ranks and batches."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mainstreet.functions import scores, text
@@ -9,10 +10,6 @@ from mainstreet.schemas import BUSINESS_COLUMNS
 c = F.col
 _MARKET = ["city", "state"]
 
-# Markets up to this size carry their related list inside each row; larger ones are kept as chunks.
-INLINE_MEMBERS = 1000
-_CHUNK_MEMBERS = 500
-
 
 def _by_score(*more):
     return [c("priority_score").desc(), c("rating").desc_nulls_last(), *more, c("business_id")]
@@ -25,83 +22,66 @@ def candidates(b):
     return named.select(*[n for n in BUSINESS_COLUMNS if n in b.columns])
 
 
-def market_sizes(b, keys):
-    """Businesses per key, counted over the whole table and not over candidates only."""
-    present = F.lit(True)
-    for key in keys:
-        present = present & c(key).isNotNull()
-    return b.where(present).groupBy(*keys).agg(scores.n_rows().alias("n"))
-
-
-def with_market_size(df, b, keys, name):
-    sized = lookup(df, market_sizes(b, keys), keys, ["business_id"], counted="n")
-    return sized.withColumn(name, F.coalesce("n", F.lit(0))).drop("n")
-
-
-def local_competition(df, b):
-    """Businesses of the same city, state and category, the row itself included."""
-    return with_market_size(df, b, [*_MARKET, "category"], "local_competition")
-
-
-def city_business_count(df, b):
-    return with_market_size(df, b, _MARKET, "city_business_count")
-
-
 def _entry():
     """``name|category|id``; null when one of the parts is null."""
     return F.concat(c("name"), F.lit("|"), c("category"), F.lit("|"), c("business_id"))
 
 
-def _listed(b):
-    """Rows that can appear in a related list, with the size of their market."""
-    rows = b.where(c("city").isNotNull() & c("state").isNotNull() & c("category").isNotNull()).select(
-        "business_id", *_MARKET, _entry().alias("entry")
+def market_cells(b):
+    """Businesses per city, state and category, with those of the whole city and its listed ones."""
+    cells = (
+        b.where(c("city").isNotNull() & c("state").isNotNull())
+        .groupBy(*_MARKET, "category")
+        .agg(scores.n_rows().alias("n"), F.count(_entry()).alias("listed"))
     )
-    return lookup(rows, market_sizes(b, _MARKET), _MARKET, ["business_id"], counted="n").where(
-        c("entry").isNotNull()
+    # the rows of a city are its categories here
+    city = Window.partitionBy(*_MARKET)
+    return cells.withColumns(
+        {"city_business_count": F.sum("n").over(city), "listed": F.sum("listed").over(city)}
     )
 
 
-def market_members(b, inline=INLINE_MEMBERS):
-    """Members of markets larger than ``inline`` as sorted chunks of about 500 entries.
+def with_market(df, b):
+    """Add ``local_competition``, ``city_business_count`` and ``related_count``, by one lookup.
 
-    The number of chunks follows the size of the market and an entry's chunk follows a hash of
-    its id, so a market of any size is split over many groups and none is cut short. A business
-    of the market is related to every entry but its own.
+    ``related_count`` says how many others of the city and state have an entry in
+    :func:`market_members`; these are the business's related businesses.
     """
-    chunks = F.ceil(c("n") / F.lit(_CHUNK_MEMBERS)).cast("long")
-    place = F.conv(F.left(F.md5("business_id"), F.lit(8)), 16, 10).cast("long")
-    return (
-        _listed(b)
-        .where(c("n") > inline)
-        .groupBy(*_MARKET, F.pmod(place, chunks).alias("chunk"))
-        .agg(F.array_join(F.sort_array(F.collect_set("entry")), ";").alias("members"))
-    )
+    cells = market_cells(b).where(c("category").isNotNull())
+    found = lookup(df, cells, [*_MARKET, "category"], ["business_id"], counted="n")
+    own = F.when(_entry().isNotNull(), 1).otherwise(0)
+    return found.withColumns(
+        {
+            "local_competition": F.coalesce("n", F.lit(0)),
+            "city_business_count": F.coalesce("city_business_count", F.lit(0)),
+            "related_count": F.when(c("business_id").isNull(), 0).otherwise(F.coalesce(c("listed") - own, F.lit(0))),
+        }
+    ).drop("n", "listed")
 
 
-def related_businesses(df, b, inline=INLINE_MEMBERS):
-    """Add the other businesses of the same city and state as one sorted text.
+def local_competition(df, b):
+    """Businesses of the same city, state and category, the row itself included."""
+    return with_market(df, b).drop("city_business_count", "related_count")
+
+
+def city_business_count(df, b):
+    """Businesses of the same city and state, for rows with a category."""
+    return with_market(df, b).drop("local_competition", "related_count")
+
+
+def related_businesses(df, b):
+    """How many related businesses each row has; the market of its city and state lists them."""
+    return with_market(df, b).drop("local_competition", "city_business_count")
+
+
+def market_members(b):
+    """The entries of every market, one row each: city, state, business_id and ``name|category|id``.
 
-    Pairs are never formed: the list of a market is built once, looked up by its rows, and each
-    row takes out its own entry. The lists hold at most ``inline`` entries. Rows of larger markets
-    have ``related_in_chunks`` set; their list is :func:`market_members` without the own entry.
+    A business is related to every entry of its city and state but its own. One row per member, so
+    a market of any size is a plain set of rows; repeating the list in each business would make as
+    many entries as there are pairs.
     """
-    lists = (
-        _listed(b)
-        .where(c("n") <= inline)
-        .groupBy(*_MARKET)
-        .agg(F.sort_array(F.collect_set(F.struct("entry", "business_id"))).alias("members"), F.max("n").alias("n"))
-    )
-    none = F.lit(None).cast(lists.schema["members"].dataType)
-    large = market_sizes(b, _MARKET).where(c("n") > inline).select(*_MARKET, none.alias("members"), "n")
-    found = lookup(df, lists.unionAll(large), _MARKET, ["business_id"], counted="n")
-    others = F.transform(F.filter("members", lambda m: m.business_id != c("business_id")), lambda m: m.entry)
-    return found.withColumns(
-        {
-            "related_businesses_data": F.nullif(F.array_join(others, ";"), F.lit("")),
-            "related_in_chunks": F.coalesce(c("n") > inline, F.lit(False)),
-        }
-    ).drop("members", "n")
+    return b.select(*_MARKET, "business_id", _entry().alias("entry")).dropna().distinct()
 
 
 def publication_rank(df, name="publication_rank"):
@@ -116,25 +96,13 @@ _LAST_BATCH = "BATCH_4_FUTURE"
 def processing_batch(df):
     """Batch by score and rating. Only the first 150 rows need a rank; all others are in the last batch."""
     first = df.select("business_id", "priority_score", "rating").orderBy(*_by_score()).limit(_BATCHES[-1][0])
-    place = F.array_position(c("order"), c("business_id"))
-    # one row with 150 ids
-    order = first.agg(
-        F.transform(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        (-c("priority_score")).alias("a"),
-                        c("rating").isNull().alias("b"),
-                        (-c("rating")).alias("c"),
-                        c("business_id").alias("id"),
-                    )
-                )
-            ),
-            lambda row: row.id,
-        )
-    ).scalar()
-    batch = scores.label([((place > 0) & (place <= last), name) for last, name in _BATCHES], _LAST_BATCH)
-    return df.withColumn("order", order).withColumn("processing_batch", batch).drop("order")
+    place = F.row_number().over(Window.orderBy(*_by_score()))  # of 150 rows
+    batch = scores.label([(c("place") <= last, name) for last, name in _BATCHES], _LAST_BATCH)
+    named = first.withColumn("place", place).groupBy("business_id").agg(F.min("place").alias("place"))
+    named = named.select("business_id", batch.alias("processing_batch"))
+    # 150 rows
+    found = df.join(F.broadcast(named), "business_id", "left")
+    return found.withColumn("processing_batch", F.coalesce("processing_batch", F.lit(_LAST_BATCH)))
 
 
 def suggestions():
@@ -159,21 +127,29 @@ def with_scores(df):
     )
 
 
-def publish_list(b, min_score=30.0, inline=INLINE_MEMBERS, market=None):
-    """Complete candidates that reach ``min_score``, with context, suggestions, rank and batch.
+def publish_list(b, min_score=30.0, market=None):
+    """Complete candidates that reach ``min_score``, with context, suggestions, rank and batch, in order of rank.
 
     The score filter comes before all joins, so market context is looked up for listed rows only.
-    ``market`` is the table over which that context is taken, ``b`` itself unless given; it needs
-    id, name, category, city and state.
+    Ranks are found on the id and the sort keys alone. ``market`` is the table over which market
+    context is taken, ``b`` itself unless given; it needs id, name, category, city and state.
     """
     market = b if market is None else market
     listed = with_scores(candidates(b)).where(
         (c("data_completeness") == "COMPLETE") & (c("priority_score") >= min_score)
     )
-    ranked = processing_batch(publication_rank(listed))
-    placed = city_business_count(local_competition(ranked, market), market)
-    return related_businesses(placed, market, inline).withColumns(
-        {**suggestions(), "priority_score": F.round("priority_score", 2), "query_generated_at": F.current_timestamp()}
+    keys = ["business_id", "priority_score", "rating", "review_count"]
+    ranked = processing_batch(publication_rank(listed.select(*keys)))
+    placed = ranked.groupBy("business_id").agg(
+        F.min("publication_rank").alias("publication_rank"), F.first("processing_batch").alias("processing_batch")
+    )
+    return (
+        with_market(listed, market)
+        .join(placed, "business_id", "left")
+        .withColumns(
+            {**suggestions(), "priority_score": F.round("priority_score", 2), "query_generated_at": F.current_timestamp()}
+        )
+        .orderBy("publication_rank")
     )
 
 

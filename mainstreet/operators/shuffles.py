@@ -8,6 +8,9 @@ from mainstreet.plans.workspace import materialise
 # A key is heavy above this share of all rows, so there are fewer than 1000 heavy keys.
 HEAVY_SHARE = 0.001
 
+# Places among which the rows of a heavy key are divided.
+SPREAD = 64
+
 # A table up to this size may be sent to every task.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -20,18 +23,20 @@ def _heavy_keys(counts, n):
     return counts.where(F.col(n) > F.greatest(total * F.lit(HEAVY_SHARE), F.lit(1)))
 
 
-def _fits(stored):
+def _bytes(table):
+    text = F.to_json(F.struct(*table.columns))
+    return table.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def fits(stored):
     """Whether a stored table is small enough to be sent to every task; rows are counted before bytes."""
-    if stored.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return False
-    text = F.to_json(F.struct(*stored.columns))
-    return (stored.agg(F.sum(F.octet_length(text))).first()[0] or 0) <= BROADCAST_BYTES
+    return stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and _bytes(stored) <= BROADCAST_BYTES
 
 
 def checked_broadcast(table):
     """The table, stored once, with a broadcast hint if its size allows it."""
     stored = materialise(table)
-    return F.broadcast(stored) if _fits(stored) else stored
+    return F.broadcast(stored) if fits(stored) else stored
 
 
 def lookup(facts, table, keys, spread, counted=None):
@@ -40,11 +45,12 @@ def lookup(facts, table, keys, spread, counted=None):
     The table is stored once and measured. If it fits, it is broadcast and ``facts`` is not
     shuffled at all. Otherwise heavy keys of ``facts`` are served by a broadcast of fewer than
     1000 table rows, and their fact rows are spread over all tasks by a hash of ``spread``
-    instead of meeting in one. ``counted`` names a column of ``table`` that already holds the
+    instead of meeting in one. If these rows are too wide to be broadcast, they are copied and
+    their fact rows divided among the copies. ``counted`` names a column of ``table`` that already holds the
     number of fact rows (or a bound in proportion to it); without it the keys are counted here.
     """
     stored = materialise(table)
-    if _fits(stored):
+    if fits(stored):
         return facts.join(F.broadcast(stored), keys, "left").select(
             *facts.columns, *[v for v in table.columns if v not in keys]
         )
@@ -56,10 +62,12 @@ def _spread_lookup(facts, table, keys, spread, counted):
     if counted:
         heavy = _heavy_keys(table, counted)
     else:
-        counts = facts.where(_all_set(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        counts = facts.where(_all_set(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows_of_key"))
         # the heavy keys, fewer than 1000, pick their rows out of the table
-        heavy = table.join(F.broadcast(_heavy_keys(counts, "_n").drop("_n")), keys, "inner")
-    heavy = heavy.select(*keys, F.struct(*values).alias("_heavy"))
+        heavy = table.join(F.broadcast(_heavy_keys(counts, "_rows_of_key").drop("_rows_of_key")), keys, "inner")
+    heavy = materialise(heavy.select(*keys, F.struct(*values).alias("_heavy")))
+    if _bytes(heavy) > BROADCAST_BYTES:
+        return _copied_lookup(facts, table, heavy.select(*keys), keys, spread)
     # light rows meet their table row by the key; heavy ones are already served and go anywhere
     by_key = F.xxhash64(*keys)
     route = F.when(F.col("_heavy").isNull() & _all_set(keys), by_key).otherwise(F.xxhash64(*spread))
@@ -70,6 +78,19 @@ def _spread_lookup(facts, table, keys, spread, counted):
     return joined.select(*facts.columns, *[picked[v].alias(v) for v in values])
 
 
+def _copied_lookup(facts, table, heavy, keys, spread):
+    """For heavy rows too wide to be sent everywhere: each has ``SPREAD`` copies, among which its facts are divided."""
+    heavy = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
+    place = F.pmod(F.xxhash64(*spread), F.lit(SPREAD)).cast("int")
+    # facts without a whole key meet nothing, so they may go anywhere
+    place = F.when(F.col("_heavy"), place).when(_all_set(keys), 0).otherwise(-1 - place)
+    divided = facts.join(heavy, keys, "left").withColumn("_place", place)
+    copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    copied = table.join(heavy, keys, "left").withColumn("_place", F.explode(copies)).drop("_heavy")
+    joined = divided.join(copied, [*keys, "_place"], "left")
+    return joined.select(*facts.columns, *[v for v in table.columns if v not in keys])
+
+
 def _all_set(keys):
     out = F.lit(True)
     for key in keys:
@@ -104,16 +125,15 @@ def _number(placed, name):
 
 
 def number_rows(df, name="row_idx"):
-    """Number the rows of a file scan in input order."""
+    """Number the rows of a file scan: in input order within a file, file by file as Spark packs them into tasks."""
     return _number(_placed(df), name)
 
 
 def global_rank(df, order, name):
-    """ROW_NUMBER over the whole table. ``order`` must be unique.
+    """ROW_NUMBER over the whole table. ``order`` must be unique; give only the columns that matter.
 
     A window without keys would put all rows into one task. A global sort is split by ranges of
-    the key instead. It reads its input twice, to choose the ranges and to sort, so the input is
-    stored first; and its result is stored with each row's place, because a second run of the
-    sort may choose other ranges. The sizes of the ranges are then counted from those places.
+    the key instead. Its result is stored with each row's place, because a second run of the sort
+    may choose other ranges. The sizes of the ranges are then counted from those places.
     """
-    return _number(materialise(_placed(materialise(df).orderBy(*order))), name)
+    return _number(materialise(_placed(df.orderBy(*order))), name)

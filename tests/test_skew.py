@@ -38,6 +38,11 @@ def test_lookup_equals_a_left_join(spark, shuffled_joins, counted):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_lookup_of_wide_heavy_rows(spark, shuffled_joins, monkeypatch):
+    monkeypatch.setattr(shuffles, "BROADCAST_BYTES", 0)
+    test_lookup_equals_a_left_join(spark, None, True)
+
+
 def test_heavy_rows_are_spread_over_tasks(spark, shuffled_joins):
     facts = _facts(spark)
     counts = facts.where(c("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -96,24 +101,29 @@ def test_small_table_is_broadcast_and_facts_stay_in_place(spark):
 def test_wide_rows_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(shuffles, "BROADCAST_BYTES", 1000)
     table = spark.range(20).select(c("id").alias("key"), F.repeat(F.lit("x"), 100).alias("label"))
-    assert not shuffles._fits(table)
-    assert shuffles._fits(table.limit(3))
+    assert not shuffles.fits(table)
+    assert shuffles.fits(table.limit(3))
 
 
-@pytest.mark.parametrize("inline", [0, 5, 1000])
-def test_related_lists_are_whole_at_every_limit(spark, sf, inline):
+def test_related_counts_and_members_agree(spark, sf):
     b = fixtures.businesses(spark, sf, False)
     want = _related(b.collect())
-    got = publication.related_businesses(publication.candidates(b), b, inline).collect()
-    chunks = {}
-    for row in publication.market_members(b, inline).collect():
-        chunks.setdefault((row.city, row.state), set()).update(row.members.split(";"))
+    members = {}
+    for row in publication.market_members(b).collect():
+        members.setdefault((row.city, row.state), set()).add(row.entry)
+    got = publication.related_businesses(publication.candidates(b), b).collect()
     assert {r.business_id for r in got} == set(want)
-    assert any(r.related_in_chunks for r in got) == (inline < 1000)
     for r in got:
-        if r.related_in_chunks:
-            own = f"{r.name}|{r.category}|{r.business_id}"
-            entries = chunks.get((r.city, r.state), set()) - {own}
-        else:
-            entries = set(r.related_businesses_data.split(";")) if r.related_businesses_data else set()
-        assert entries == want[r.business_id]
+        others = members.get((r.city, r.state), set()) - {f"{r.name}|{r.category}|{r.business_id}"}
+        assert others == want[r.business_id]
+        assert r.related_count == len(others)
+
+
+def test_publish_list_keeps_little_and_is_in_order(spark, sf, monkeypatch):
+    stored = []
+    original = shuffles.materialise
+    monkeypatch.setattr(shuffles, "materialise", lambda df: stored.append(df.columns) or original(df))
+    out = publication.publish_list(fixtures.businesses(spark, sf), min_score=15.0)
+    assert len(stored) == 2 and not any("description" in names for names in stored)
+    ranks = [r.publication_rank for r in out.select("publication_rank").collect()]
+    assert ranks == list(range(1, len(ranks) + 1))
