@@ -29,7 +29,7 @@ def _texts(b):
 )
 def scan_businesses_csv(spark, sf):
     path = tables.write_businesses_csv(fixtures.businesses(spark, sf), new_path(spark, "listings"))
-    return tables.read_businesses(spark, path, fmt="csv")
+    return tables.read_businesses(spark, path, multi_line=True, fmt="csv")
 
 
 @query(
@@ -307,10 +307,8 @@ def validate_business(spark, sf):
     ),
 )
 def split_valid(spark, sf):
-    ok, bad = cleaning.split_valid(cleaning.validate_businesses(fixtures.businesses(spark, sf)))
-    return ok.select("business_id", "name", F.lit(True).alias("accepted")).unionAll(
-        bad.select("business_id", "name", F.lit(False).alias("accepted"))
-    )
+    checked = cleaning.validate_businesses(fixtures.businesses(spark, sf))
+    return cleaning.with_acceptance(checked).select("business_id", "name", "accepted")
 
 
 @query(

@@ -1,6 +1,5 @@
 """Profiles and exploratory figures."""
 
-from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -314,12 +313,8 @@ _HISTOGRAMS = [("rating", 20), ("review_count", 15), ("priority_score", 20)]
 
 @query("histogram", over(" UNION ALL ".join(_histogram_sql(f, n) for f, n in _HISTOGRAMS), "businesses", eda=EDA))
 def histogram(spark, sf):
-    rows = explore.eda_priority(_listings(spark, sf, True))
-    parts = [
-        explore.histogram(rows, f, n).select(F.lit(f).alias("field"), "bin", F.round("bin_start", 6).alias("bin_start"), "n")
-        for f, n in _HISTOGRAMS
-    ]
-    return reduce(lambda a, b: a.unionAll(b), parts)
+    counted = explore.histograms(explore.eda_priority(_listings(spark, sf, True)), dict(_HISTOGRAMS))
+    return counted.withColumn("bin_start", F.round("bin_start", 6))
 
 
 @query(

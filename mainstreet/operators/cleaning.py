@@ -83,12 +83,19 @@ def validate_businesses(df):
     return df.withColumn("errors", found)
 
 
-def split_valid(df):
-    """Accepted rows with cased names and plain web addresses, and rejected rows with their errors."""
-    ok = df.where(F.size("errors") == 0).drop("errors")
+def with_acceptance(df):
+    """Add ``accepted``; accepted rows get cased names and plain web addresses, rejected ones stay as they are."""
+    ok = F.size("errors") == 0
     cased = {n: text.title_case(c(n)) for n in ("name", "category", "city", "state")}
     kept = {"address": text.strip(c("address")), "website": contact.canonical_url(c("website"))}
-    return ok.withColumns({**cased, **kept}), df.where(F.size("errors") > 0)
+    changed = {n: F.when(c("accepted"), value).otherwise(c(n)) for n, value in {**cased, **kept}.items()}
+    return df.withColumn("accepted", ok).withColumns(changed)
+
+
+def split_valid(df):
+    """Accepted rows and rejected rows with their errors. Both read ``df``: store it, or use :func:`with_acceptance`."""
+    judged = with_acceptance(df)
+    return judged.where("accepted").drop("errors", "accepted"), judged.where("NOT accepted").drop("accepted")
 
 
 def first_errors(bad, n=10):

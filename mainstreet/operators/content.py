@@ -7,30 +7,31 @@ from mainstreet.functions import checks, fixed, text
 c = F.col
 
 
-def _as_map(rules):
-    return F.create_map(*[part for name, rule in rules.items() for part in (F.lit(name), rule)])
-
-
 def _rules(stop_match="substring"):
     return {**checks.metadata_checks(), **checks.content_checks(stop_match=stop_match)}
 
 
+def _as_map(names):
+    return F.create_map(*[part for name in names for part in (F.lit(name), c(f"_ok_{name}"))])
+
+
 def _prepared(pages):
     return pages.withColumns(checks.content_parts())
 
 
 def with_checks(pages, stop_match="substring"):
     """Add the metadata and content check results as maps, each check computed once per page."""
-    return _with_checks(_prepared(pages), stop_match).drop("_main", "_full")
+    return _as_maps(_checked(_prepared(pages), stop_match)).drop("_main", "_full")
 
 
-def _with_checks(prepared, stop_match):
-    return prepared.withColumns(
-        {
-            "seo_results": _as_map(checks.metadata_checks()),
-            "content_results": _as_map(checks.content_checks(stop_match=stop_match)),
-        }
-    )
+def _checked(prepared, stop_match):
+    """One boolean column per check, named ``_ok_`` and the check."""
+    return prepared.withColumns({f"_ok_{name}": rule for name, rule in _rules(stop_match).items()})
+
+
+def _as_maps(checked):
+    maps = {"seo_results": _as_map(checks.metadata_checks()), "content_results": _as_map(checks.content_checks())}
+    return checked.withColumns(maps).drop(*[f"_ok_{name}" for name in _rules()])
 
 
 def check_columns(pages, names=None, stop_match="substring"):
@@ -102,11 +103,8 @@ def meta_keywords(pages, k=8):
 def _violations():
     """Ordered texts for failed checks, missing markup and links, and keyword density out of range."""
     rules = []
-    for kind, results, names in (
-        ("SEO metadata", "seo_results", checks.metadata_checks()),
-        ("Content", "content_results", checks.content_checks()),
-    ):
-        rules += [F.when(~c(results)[name], F.lit(f"{kind} failed: {name}")) for name in names]
+    for kind, names in (("SEO metadata", checks.metadata_checks()), ("Content", checks.content_checks())):
+        rules += [F.when(~c(f"_ok_{name}"), F.lit(f"{kind} failed: {name}")) for name in names]
     rules += [
         F.when(c("jsonld").isNull(), F.lit("Missing schema.org markup")),
         F.when(F.coalesce(F.size("internal_links"), F.lit(0)) <= 0, F.lit("No internal links found")),
@@ -126,9 +124,9 @@ def _violations():
 
 
 def seo_compliance(pages, stop_match="substring"):
-    """Add check results and the list of violations."""
-    checked = _with_checks(_prepared(pages), stop_match)
-    return checked.withColumn("violations", _violations()).drop("_main", "_full")
+    """Add check results, as maps, and the list of violations, which is made from the plain results."""
+    checked = _checked(_prepared(pages), stop_match)
+    return _as_maps(checked.withColumn("violations", _violations())).drop("_main", "_full")
 
 
 def improvement_advice(pages):

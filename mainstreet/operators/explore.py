@@ -45,24 +45,37 @@ def value_counts(df, col, k=None):
     return counts if k is None else counts.limit(k)
 
 
-def histogram(df, col, bins):
-    """Counts in ``bins`` equal parts of the value range; the last part includes the maximum."""
-    values = df.where(c(col).isNotNull()).select(c(col).cast("double").alias("x"))
-    span = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    part = F.coalesce(F.try_divide((c("x") - c("lo")) * F.lit(float(bins)), c("hi") - c("lo")), F.lit(0.0))
+def histograms(df, bins):
+    """Counts in equal parts of each field's range; the last part includes the maximum.
+
+    ``bins`` maps field to number of parts. One pass finds all ranges, one counts all parts.
+    """
+    limits = df.agg(
+        F.struct(
+            *[f(c(n).cast("double")).alias(f"{f.__name__}_{n}") for n in bins for f in (F.min, F.max)]
+        ).alias("limits")
+    ).scalar()
+    fields = [
+        F.struct(
+            F.lit(n).alias("field"), c(n).cast("double").alias("x"), F.lit(parts).alias("parts"),
+            c("limits")[f"min_{n}"].alias("lo"), c("limits")[f"max_{n}"].alias("hi"),
+        )
+        for n, parts in bins.items()
+    ]
+    values = df.select(*bins).withColumn("limits", limits).select(F.inline(F.array(*fields))).where(c("x").isNotNull())
+    part = F.coalesce(F.try_divide((c("x") - c("lo")) * c("parts").cast("double"), c("hi") - c("lo")), F.lit(0.0))
     return (
-        values.withColumns({"lo": lo, "hi": hi})
-        .groupBy(F.least(F.floor(part), F.lit(bins - 1)).cast("int").alias("bin"), "lo", "hi")
+        values.groupBy("field", F.least(F.floor(part), c("parts") - 1).cast("int").alias("bin"), "lo", "hi", "parts")
         .agg(scores.n_rows().alias("n"))
-        .select(
-            "bin",
-            (c("lo") + c("bin") * (c("hi") - c("lo")) / F.lit(float(bins))).alias("bin_start"),
-            "n",
-        )
+        .select("field", "bin", (c("lo") + c("bin") * (c("hi") - c("lo")) / c("parts").cast("double")).alias("bin_start"), "n")
     )
 
 
+def histogram(df, col, bins):
+    """:func:`histograms` of one field."""
+    return histograms(df, {col: bins}).drop("field")
+
+
 def summary_stats(df):
     """Distinct categories and cities, range and mean of ratings and reviews, from (category, city) cells."""
     cells = df.groupBy("category", "city").agg(

@@ -6,7 +6,8 @@ from mainstreet import schemas
 from mainstreet.functions import text
 from mainstreet.operators import cleaning
 from mainstreet.operators.content import seo_compliance
-from mainstreet.operators.shuffles import first_rows
+from mainstreet.operators.shuffles import first_rows, fits
+from mainstreet.plans.workspace import materialise
 
 c = F.col
 _EMPTY = "array<string>"
@@ -16,9 +17,16 @@ def _list(col):
     return F.coalesce(col, F.array().cast(_EMPTY))
 
 
-def qc_dedupe(pages):
-    """The first page of each business in input order."""
-    return first_rows(pages, ["business_id"], [c("page_pos")])
+def qc_dedupe(pages, body=lambda firsts: firsts):
+    """``body`` of the first page of each business in input order; ``body`` keeps ``page_pos`` and works row by row.
+
+    The first pages are found on keys alone. If these can be sent to every task, other pages are
+    left out before ``body``; otherwise its results are joined, and no text is moved either way.
+    """
+    firsts = materialise(first_rows(pages.select("business_id", "page_pos"), ["business_id"], [c("page_pos")]))
+    if fits(firsts):
+        return body(pages.join(F.broadcast(firsts.select("page_pos")), "page_pos", "left_semi"))
+    return body(pages).join(firsts.select("page_pos"), "page_pos")
 
 
 def combine_assessments(feedback, violations):
@@ -52,7 +60,13 @@ def qc_route(pages, feedback, on=("business_id",)):
     rounded = cleaning.validate_feedback(feedback)
     review = F.struct(*[f.name for f in schemas.FEEDBACK.fields if f.name in feedback.columns]).alias("review")
     reviews = rounded.select(*on, review, "feedback_valid")
-    first = seo_compliance(qc_dedupe(pages)).withColumn("spec_errors", cleaning.page_spec_errors())
+    known = list(dict.fromkeys(["page_pos", "business_id", *on]))
+
+    def judged(firsts):
+        found = seo_compliance(firsts).withColumn("spec_errors", cleaning.page_spec_errors())
+        return found.select(*known, "generation_successful", "has_spec", "violations", "spec_errors")
+
+    first = qc_dedupe(pages, judged)
     # one page per business and one review per page: both sides of the join are free of heavy keys
     joined = first.join(reviews, list(on), "left")
     reason = (
