@@ -41,19 +41,17 @@ _BUSINESS_FIELDS = """
   CAST(CASE WHEN k % 13 = 0 THEN NULL ELSE (k * 17) % 300 END AS INT) AS review_count
 """
 
-_SENTENCES = "SELECT doc_id, split_part(text, '.', CAST(1 + doc_id % 4 AS INT)) AS sentence FROM documents"
-
 
 def business_sql(description=True):
-    """Listings: one per customer; the description is a sentence of the document with the same number."""
+    """Listings: one per customer; the description is the text of the document with the same number."""
     if description:
         source = (
-            "SELECT c_custkey AS k, c_mktsegment AS seg, c_nationkey AS nation, d.sentence AS sentence "
-            f"FROM customer LEFT JOIN ({_SENTENCES}) d ON d.doc_id = c_custkey"
+            "SELECT c_custkey AS k, c_mktsegment AS seg, c_nationkey AS nation, d.text AS about "
+            "FROM customer LEFT JOIN documents d ON d.doc_id = c_custkey"
         )
     else:
         source = "SELECT c_custkey AS k, c_mktsegment AS seg, c_nationkey AS nation FROM customer"
-    description_text = "CASE WHEN k % 8 = 0 THEN NULL ELSE sentence END" if description else "CAST(NULL AS STRING)"
+    description_text = "CASE WHEN k % 8 = 0 THEN NULL ELSE about END" if description else "CAST(NULL AS STRING)"
     fields = _BUSINESS_FIELDS.format(description=description_text)
     return f"SELECT k, {fields} FROM ({source}) s"
 
@@ -156,15 +154,10 @@ FROM (SELECT x, '{"slug": "s-' || CAST(x AS STRING) || '", "n":' || CASE WHEN x
       FROM (SELECT doc_id AS x, n_chars, lang FROM documents) d) r"""
 
 
-def _views(spark, sf_dir, *names, spread=()):
-    """Name source tables. One of ``spread`` that has fewer files than there are cores is spread over
-    all cores, because the work on its texts far outweighs moving them."""
-    cores = spark.sparkContext.defaultParallelism
+def _views(spark, sf_dir, *names):
+    """Name source tables."""
     for name in names:
-        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        if name in spread and len(table.inputFiles()) < cores:
-            table = table.repartition(cores)
-        table.createOrReplaceTempView(name)
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
 def businesses(spark, sf_dir, description=True):
@@ -174,7 +167,7 @@ def businesses(spark, sf_dir, description=True):
 
 
 def flat_pages(spark, sf_dir):
-    _views(spark, sf_dir, "customer", "documents", spread=["documents"])
+    _views(spark, sf_dir, "customer", "documents")
     spark.sql(business_sql(False)).createOrReplaceTempView("business_core")
     return spark.sql(page_sql()).drop("k")
 

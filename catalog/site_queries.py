@@ -281,5 +281,5 @@ def execution_report(spark, sf):
 def site_run(spark, sf):
     """All stages over the listings; the status of each table is the result."""
     listings = tables.write_businesses_csv(fixtures.businesses(spark, sf), new_path(spark, "listings"))
-    out = stages.run_stages(spark, listings, new_path(spark, "run"), "run-1", day=_DAY)
+    out = stages.run_stages(spark, listings, new_path(spark, "run"), "run-1", day=_DAY, multi_line=True)
     return out["rendered_pages"].select("business_id", "render_successful", "reason", "html_file", "quality_score")

@@ -1,12 +1,10 @@
 """Model responses, generated pages, attempts, costs and traces."""
 
-import json
-
 from pyspark.sql import functions as F
 
 from mainstreet import schemas
 from mainstreet.functions import fixed, scores, text
-from mainstreet.operators import cleaning
+from mainstreet.operators import cleaning, linking
 
 c = F.col
 
@@ -25,61 +23,63 @@ def parse_responses(df, schema, col="response"):
     return read.withColumn("error", error).withColumn("parsed", F.when(c("error").isNull(), parsed)).drop("body")
 
 
-def template_page(row):
-    """Stand-in for a model: a plain page from the suggested fields, as JSON text."""
-    where = f"{row['city']}, {row['state']}"
-    intro = f"{row['name']} is a {row['category']} business in {where}. "
-    text_ = row["description"] or f"Professional {str(row['category']).lower()} services in {where}."
-    business = {n: row[n] for n in schemas.BUSINESS_COLUMNS}
-    if business["review_count"] is not None:  # a column with gaps arrives as floats
-        business["review_count"] = int(business["review_count"])
-    return json.dumps(
-        {
-            "business": business,
-            "seo": {
-                "title": row["suggested_title"],
-                "meta_description": row["suggested_meta_description"],
-                "h1": row["suggested_h1"],
-                "slug": row["page_slug"],
-                "keywords": str(row["suggested_keywords"]).split(", "),
-            },
-            "content": {
-                "introduction": intro + f"You find it at {row['address']}.",
-                "main_content": f"{intro}{text_}\n\nHowever far you travel, {where} is the place to visit.",
-                "conclusion": f"Contact {row['name']} in {where} and ask for an appointment.",
-            },
-            "jsonld": {"name": row["name"], "address": {"streetAddress": row["address"], "addressLocality": row["city"]}},
-            "internal_links": [
-                {"url": f"/pages/{r['business_id']}.html", "anchor_text": r["name"], "target_business_id": r["business_id"]}
-                for r in (row["related"] if row["related"] is not None else [])
-            ],
-        }
-    )
+def template_page():
+    """Stand-in for a model: a plain page from the suggested fields, as a page spec of columns."""
 
+    def shown(name):
+        return F.coalesce(c(name).cast("string"), F.lit(""))
 
-def generate_pages(b, fn=template_page, callers=None):
-    """Call ``fn`` for every business and read its answer into a page spec.
+    def said(*parts):
+        return F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
 
-    ``fn`` gets one row as a dict and returns JSON text or None; an exception counts as a
-    failure of that row. This is the one step in Python: the model sits behind it. Batches come
-    through Arrow, and all checks of the answers run as columns. ``callers`` is the number of
-    tasks that call at the same time; rows are small and calls are slow, so it does not follow
-    the size of the input but, unless given, the session's number of shuffle partitions.
-    """
-    callers = callers or int(b.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = b.withColumns(
-        {
-            "suggested_title": scores.suggested_title(),
-            "suggested_meta_description": scores.suggested_meta(),
-            "suggested_h1": scores.suggested_h1(),
-            "suggested_keywords": scores.suggested_keywords(),
-            "page_slug": text.page_slug(c("name"), c("category"), c("city")),
-        }
+    name, category = shown("name"), shown("category")
+    where = said(shown("city"), ", ", shown("state"))
+    intro = said(name, " is a ", category, " business in ", where, ". ")
+    about = F.coalesce(
+        F.nullif(c("description"), F.lit("")), said("Professional ", F.lower(category), " services in ", where, ".")
     )
-    if "related" not in ready.columns:
-        ready = ready.withColumn(
-            "related", F.array().cast("array<struct<business_id:string,name:string,category:string,city:string>>")
-        )
+    business = F.struct(*[c(f.name).cast(f.dataType).alias(f.name) for f in schemas.BUSINESS.fields])
+    seo = F.struct(
+        c("suggested_title").alias("title"),
+        c("suggested_meta_description").alias("meta_description"),
+        c("suggested_h1").alias("h1"),
+        c("page_slug").alias("slug"),
+        F.lit(None).cast("string").alias("canonical_url"),
+        F.split("suggested_keywords", ", ").alias("keywords"),
+    )
+    content = F.struct(
+        said(intro, "You find it at ", shown("address"), ".").alias("introduction"),
+        said(intro, about, "\n\nHowever far you travel, ", where, " is the place to visit.").alias("main_content"),
+        said("What ", name, " does: ", F.lower(category), ".").alias("services_section"),
+        said("Where to find ", name, ": ", shown("address"), ", ", where, ".").alias("location_section"),
+        said("Contact ", name, " in ", where, " and ask for an appointment.").alias("conclusion"),
+    )
+    address = F.create_map(F.lit("streetAddress"), c("address"), F.lit("addressLocality"), c("city"))
+    known = {"name": c("name"), "address": address}
+    jsonld = F.struct(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.JSONLD.fields])
+    links = F.transform(
+        "related",
+        lambda r: F.struct(
+            said("/pages/", r.business_id, ".html").alias("url"), r["name"].alias("anchor_text"), r.business_id.alias("target_business_id")
+        ),
+    )
+    return F.struct(
+        business.alias("business"), seo.alias("seo"), content.alias("content"), jsonld.alias("jsonld"),
+        links.alias("internal_links"), F.lit(None).cast("timestamp").alias("generated_at"), F.lit(None).cast("double").alias("quality_score"),
+    )
+
+
+def normalised_seo(seo="seo"):
+    """The search fields of a page spec as they are kept: single spaces, and clean keywords."""
+    part = c(seo)
+    clean = {n: text.collapse_ws(part[n]) for n in ("title", "meta_description", "h1")}
+    return part.withField("title", clean["title"]).withField("meta_description", clean["meta_description"]).withField(
+        "h1", clean["h1"]
+    ).withField("keywords", text.clean_keywords(part["keywords"]))
+
+
+def _answers(ready, fn, callers):
+    """What ``fn`` says about each row, with what went wrong."""
 
     def call(batches):
         for batch in batches:
@@ -95,8 +95,38 @@ def generate_pages(b, fn=template_page, callers=None):
 
     # the answers are kept by the stage that calls this, so a model is not asked twice
     answers = ready.repartition(callers, "pos").mapInPandas(call, "pos long, business_id string, response string, problem string")
-    parsed = parse_responses(answers, schemas.PAGE_SPEC)
-    found = parsed.select("pos", "business_id", "problem", "error", "parsed.*", c("parsed").isNotNull().alias("has_spec"))
+    return parse_responses(answers, schemas.PAGE_SPEC).select("pos", "business_id", "problem", c("parsed").alias("spec"))
+
+
+def generate_pages(b, fn=None, callers=None):
+    """A page spec for every business: by ``template_page`` in columns, or by calling ``fn``.
+
+    ``fn`` stands for a model. It gets one row as a dict, with the ``prompt`` of the business, and
+    returns JSON text or None; an exception counts as a failure of that row. Batches come through
+    Arrow, and all checks of the answers run as columns. ``callers`` is the number of tasks that
+    call at the same time; rows are small and calls are slow, so it does not follow the size of the
+    input but, unless given, the session's number of shuffle partitions.
+    """
+    ready = b.withColumns(
+        {
+            "suggested_title": scores.suggested_title(),
+            "suggested_meta_description": scores.suggested_meta(),
+            "suggested_h1": scores.suggested_h1(),
+            "suggested_keywords": scores.suggested_keywords(),
+            "page_slug": text.page_slug(c("name"), c("category"), c("city")),
+        }
+    )
+    if "related" not in ready.columns:
+        ready = ready.withColumn(
+            "related", F.array().cast("array<struct<business_id:string,name:string,category:string,city:string>>")
+        )
+    if fn is None:
+        answered = ready.select("pos", "business_id", F.lit(None).cast("string").alias("problem"), template_page().alias("spec"))
+    else:
+        callers = callers or int(b.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        answered = _answers(linking.build_prompts(ready, "full"), fn, callers)
+    found = answered.select("pos", "business_id", "problem", "spec.*", c("spec").isNotNull().alias("has_spec"))
+    found = found.withColumn("seo", F.when(c("seo").isNotNull(), normalised_seo()))
     broken = cleaning.page_spec_errors()
     failure = (
         F.when(~c("has_spec"), F.concat(F.lit("Content generation failed for "), c("business_id")))
@@ -121,7 +151,8 @@ def fallback_rollup(attempts, preferred="claude-3-5-sonnet", tries=4):
 
     ``attempts`` has one row per request and model (request_id, model_name, success, retry_count,
     generation_time_ms, errors). The preferred model comes first, then the fixed order; models
-    outside of it are not tried. A request thus has at most as many rows as there are models.
+    outside of it are not tried. Repeated rows of a request and model are reduced to one before the
+    rows of a request come together, so these are at most as many as there are models.
     """
     order = [preferred] + [m for m in MODEL_ORDER if m != preferred] if preferred in MODEL_ORDER else MODEL_ORDER
     place = F.array_position(F.array(*map(F.lit, order)), c("model_name"))
@@ -131,10 +162,12 @@ def fallback_rollup(attempts, preferred="claude-3-5-sonnet", tries=4):
     grouped = (
         attempts.withColumn("place", place)
         .where(c("place") > 0)
+        .groupBy("request_id", "place")
+        .agg(F.min(one).alias("one"))
         .groupBy("request_id")
         .agg(
-            F.sort_array(F.collect_list(one)).alias("tried"),
-            F.min(F.when(c("success"), c("place"))).alias("won"),
+            F.sort_array(F.collect_list("one")).alias("tried"),
+            F.min(F.when(c("one.success"), c("place"))).alias("won"),
         )
     )
     used = grouped.withColumn("used", F.filter("tried", lambda t: c("won").isNull() | (t.place <= c("won"))))

@@ -62,13 +62,16 @@ class _Run:
         ).write.mode("append").parquet(f"{self.out}/status")
 
 
-def run_stages(spark, source, out, execution_id, generate=responses.template_page, review=rule_feedback, day=None,
-               base_url="https://example.com"):
-    """Run all stages on the listings at ``source`` and return their tables by name."""
+def run_stages(spark, source, out, execution_id, generate=None, review=rule_feedback, day=None,
+               base_url="https://example.com", multi_line=False):
+    """Run all stages on the listings at ``source`` and return their tables by name.
+
+    ``multi_line`` is for CSV listings with line breaks inside quotes; see ``tables.read_businesses``.
+    """
     run = _Run(spark, out, execution_id)
     day = day or datetime.date.today().isoformat()
 
-    checked = run.keep("checked", cleaning.ingest(number_rows(tables.read_businesses(spark, source))))
+    checked = run.keep("checked", cleaning.ingest(number_rows(tables.read_businesses(spark, source, multi_line))))
     good, rejected = cleaning.split_valid(checked)
     businesses = run.keep("businesses", good.withColumnRenamed("row_idx", "pos"))
     counts = tables.stage_summary(checked, F.size("errors") == 0).first()

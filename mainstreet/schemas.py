@@ -48,18 +48,6 @@ PAGE_SPEC = _struct(
     generated_at=T.TimestampType(),
     quality_score=T.DoubleType(),
 )
-GENERATED_PAGE = _struct(business_id=_s, page_spec=PAGE_SPEC, generation_successful=_b, error=_s)
-TRACE = _struct(
-    business_id=_s,
-    prompt_version=_s,
-    model_name=_s,
-    generation_time_ms=T.LongType(),
-    token_count=T.LongType(),
-    retry_count=T.IntegerType(),
-    quality_checks=T.ArrayType(_s),
-    errors=T.ArrayType(_s),
-    created_at=T.TimestampType(),
-)
 FEEDBACK = _struct(
     quality_score=T.DoubleType(),
     passed_checks=T.ArrayType(_s),
@@ -68,14 +56,3 @@ FEEDBACK = _struct(
     retry_count=T.IntegerType(),
     needs_regeneration=_b,
 )
-STATUS = _struct(
-    execution_id=_s,
-    stage=_s,
-    total_businesses=T.LongType(),
-    processed_businesses=T.LongType(),
-    successful_pages=T.LongType(),
-    failed_pages=T.LongType(),
-    start_time=T.TimestampType(),
-    end_time=T.TimestampType(),
-    errors=T.ArrayType(_s),
-)
