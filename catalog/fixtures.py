@@ -73,6 +73,8 @@ _PAGE_FIELDS = """
             || ' ' || coalesce(category, '') || ' in ' || coalesce(city, 'town') || '.'
        ELSE text END AS main_content,
   split_part(text, '.', 2) || CASE WHEN x % 4 = 0 THEN split_part(text, '.', 3) ELSE '' END AS conclusion,
+  CASE WHEN x % 3 = 0 THEN 'Services & prices of ' || coalesce(name, 'us') END AS services_section,
+  CASE WHEN x % 5 = 0 THEN 'Find us in <' || coalesce(city, 'town') || '>' END AS location_section,
   x % 17 <> 0 AS generation_successful,
   x % 23 <> 0 AS has_spec,
   x % 12 <> 0 AS has_jsonld,
@@ -181,8 +183,7 @@ def page_specs(spark, sf_dir):
         F.split("keyword_csv", ",").alias("keywords"),
     )
     content = F.struct(
-        "introduction", "main_content", F.lit(None).cast("string").alias("services_section"),
-        F.lit(None).cast("string").alias("location_section"), "conclusion",
+        "introduction", "main_content", "services_section", "location_section", "conclusion",
     )
     none = F.lit(None).cast("string")
     markup = F.struct(

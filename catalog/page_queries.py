@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from catalog import fixtures
-from catalog.ingest_queries import SPEC_ERRORS
+from catalog.ingest_queries import SPEC_ERRORS, broken_fields
+from catalog.publish_queries import H1, META, TITLE
 from catalog.registry import over, query
 from mainstreet.functions import checks, fixed, text
 from mainstreet.operators import content, quality, responses
@@ -430,10 +431,33 @@ def clean_control_chars(spark, sf):
     return documents.select("doc_id", text.clean_control_chars(raw).alias("cleaned"))
 
 
-@query("generate_pages")
+_GENERATED_ERRORS = (
+    "concat_ws(', ', nullif(" + broken_fields("business.", ", ") + ", ''), CASE WHEN title_text IS NULL THEN 'seo.title' END,"
+    " CASE WHEN meta_text IS NULL THEN 'seo.meta_description' END, CASE WHEN h1_text IS NULL THEN 'seo.h1' END,"
+    " CASE WHEN name IS NULL OR category IS NULL OR city IS NULL THEN 'seo.slug' END, CASE WHEN name IS NULL THEN 'jsonld.name' END)"
+)
+_GENERATED = f"SELECT *, {TITLE} AS title_text, {META} AS meta_text, {H1} AS h1_text FROM businesses"
+_LOWERED = (
+    "lower(category) || ',' || lower(city) || ' ' || lower(category) || ',' || lower(category) || ' in ' || lower(city)"
+    " || ',local ' || lower(category)"
+)
+
+
+@query(
+    "generate_pages",
+    over(
+        "SELECT k AS page_pos, business_id, e = '' AS generation_successful, CASE WHEN e <> '' THEN 'Generated content validation failed: ' || e"
+        f" END AS error, regexp_replace(trim(title_text), ' +', ' ', 'g') AS title, {_LOWERED} AS keywords"
+        f" FROM (SELECT *, {_GENERATED_ERRORS} AS e FROM ({_GENERATED}) a) b",
+        "businesses",
+    ),
+)
 def generate_pages(spark, sf):
     pages = responses.generate_pages(fixtures.businesses(spark, sf))
-    return pages.select("page_pos", "business_id", "generation_successful", "error", c("seo.title").alias("title"))
+    return pages.select(
+        "page_pos", "business_id", "generation_successful", "error", c("seo.title").alias("title"),
+        F.array_join("seo.keywords", ",").alias("keywords"),
+    )
 
 
 _MODEL_PLACE = (

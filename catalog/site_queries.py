@@ -55,24 +55,157 @@ def render_route(spark, sf):
     return site.render_route(_reviewed(spark, sf), uploaded=c("page_pos") % 19 != 0)
 
 
-@query("render_pages")
+def _escaped(value):
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("''", "&#39;")):
+        value = f"replace({value}, '{sign}', '{entity}')"
+    return value
+
+
+def _tag(tag, value, attributes=""):
+    return f"'<{tag}{attributes}>' || {value} || '</{tag}>'"
+
+
+def _shown(name):
+    return _escaped(f"nullif(CAST({name} AS VARCHAR), '')")
+
+
+def _link(href, label):
+    return f"'<a href=\"' || {href} || '\">' || {label} || '</a>'"
+
+
+def _encoded(value):
+    # form encoding: a space is a plus sign, and an asterisk stays as it is
+    return f"replace(replace(replace(url_encode({value}), '%20', '+'), '%2A', '*'), '~', '%7E')"
+
+
+_OWN = f"'{_URL}/pages/' || slug || '.html'"
+_SHARE = {
+    "facebook": f"'https://www.facebook.com/sharer/sharer.php?u=' || {_encoded(_OWN)}",
+    "twitter": f"'https://twitter.com/intent/tweet?url=' || {_encoded(_OWN)} || '&text=' || {_encoded('title')}",
+    "linkedin": f"'https://www.linkedin.com/sharing/share-offsite/?url=' || {_encoded(_OWN)}",
+}
+_PLACE = f"concat_ws(', ', {_shown('address')}, {_shown('city')}, concat_ws(' ', {_shown('state')}, {_shown('zip_code')}))"
+_FULL_STARS = "CAST(greatest(0, least(5, round_even(rating, 0))) AS INT)"
+_STARS = f"repeat('★', {_FULL_STARS}) || repeat('☆', 5 - {_FULL_STARS})"
+_RATING = (
+    f"CASE WHEN rating > 0 THEN {_STARS} || ' ' || CAST(rating AS VARCHAR) || '/5.0'"
+    " || CASE WHEN review_count > 0 THEN ' (' || CAST(review_count AS VARCHAR) || ' reviews)' ELSE '' END END"
+)
+_PHONE, _SITE, _MAIL = _shown("phone"), _shown("website"), _shown("email")
+_TEL = f"'tel:' || regexp_replace({_PHONE}, '[ ()-]', '', 'g')"
+_CONTACTS = [
+    _tag("li", _PLACE, ' class="address"'),
+    _tag("li", _link(_TEL, _PHONE)),
+    _tag("li", _link(_SITE, _SITE)),
+    _tag("li", _link(f"'mailto:' || {_MAIL}", _MAIL)),
+    _tag("li", _RATING, ' class="rating"'),
+]
+
+
+def _crumb(name):
+    anchor = f"'/#' || replace(lower({name}), ' ', '-')"
+    return _link(_escaped(anchor), _escaped(name))
+
+
+_CRUMBS = ", ".join([_link("'/'", "'Home'"), _crumb("category"), _crumb("city"), _escaped("name")])
+_RELATED = _link("'/pages/related.html'", _escaped("anchor_text"))
+_LINKS = f"CASE WHEN n_links > 0 THEN array_to_string(list_transform(range(0, n_links), lambda i: {_RELATED}), ' ') END"
+_PARAGRAPHS = f"replace('<p>' || replace({_shown('main_content')}, chr(10), '</p><p>') || '</p>', '<p></p>', '')"
+_BADGE = (
+    "CASE WHEN quality_score <> 0 THEN '<span class=\"badge ' || CASE WHEN quality_score >= 0.8 THEN 'green' WHEN quality_score >= 0.6"
+    " THEN 'orange' ELSE 'red' END || '\">Quality: ' || printf('%.1f%%', quality_score * 100) || '</span>' END"
+)
+_COMMAS = "replace(keyword_csv, ',', ', ')"
+_HEAD = [
+    _tag("title", _shown("title")),
+    f"'<meta name=\"description\" content=\"' || {_shown('meta_description')} || '\">'",
+    f"'<meta name=\"keywords\" content=\"' || {_escaped(_COMMAS)} || '\">'",
+    f"'<link rel=\"canonical\" href=\"' || {_escaped(_OWN)} || '\">'",
+]
+
+
+def _joined(parts, mark=""):
+    return f"concat_ws('{mark}', {', '.join(parts)})"
+
+
+_BODY = [
+    _tag("nav", f"concat_ws(' &gt; ', {_CRUMBS})", ' class="breadcrumbs"'),
+    _tag("header", _joined([_tag("h1", _shown("h1")), _BADGE])),
+    _tag("h2", _shown("name")),
+    _tag("ul", _joined(_CONTACTS)),
+    _tag("p", _shown("introduction"), ' class="introduction"'),
+    _tag("main", _PARAGRAPHS),
+    _tag("section", _shown("services_section"), ' class="services"'),
+    _tag("section", _shown("location_section"), ' class="location"'),
+    _tag("nav", _LINKS, ' class="related"'),
+    _tag("p", _shown("conclusion"), ' class="conclusion"'),
+    _tag("footer", _joined([_link(_escaped(v), f"'{n}'") for n, v in _SHARE.items()], " "), ' class="share"'),
+]
+# The markup without its data script, whose fields are checked by themselves.
+_HTML = (
+    f"'<!DOCTYPE html><html lang=\"en\"><head><meta charset=\"utf-8\">' || {_joined(_HEAD)}"
+    f" || '</head><body>' || {_joined(_BODY)} || '</body></html>'"
+)
+_SCRIPT = r'<script type="application/ld\+json">(.*)</script></head>'
+
+
+def _page_rows(html):
+    """Markup without its data script, and fields of the script."""
+    data = F.nullif(F.regexp_extract(html, _SCRIPT, 1), F.lit(""))
+    fields = {"data_name": "name", "data_city": "address.addressLocality", "data_phone": "telephone"}
+    return {
+        "html": F.regexp_replace(html, _SCRIPT, "</head>"),
+        **{name: F.get_json_object(data, f"$.{path}") for name, path in fields.items()},
+    }
+
+
+@query(
+    "render_pages",
+    over(
+        f"SELECT page_pos, {_HTML} AS html, CASE WHEN has_jsonld THEN name END AS data_name, CASE WHEN has_jsonld THEN city END AS data_city,"
+        " CASE WHEN has_jsonld THEN phone END AS data_phone FROM scored",
+        "page_specs", "feedback", last_review=_LAST, scored=_SCORED,
+    ),
+)
 def render_pages(spark, sf):
-    return site.render_pages(_reviewed(spark, sf)).select("page_pos", "html")
+    shown = site.render_pages(_reviewed(spark, sf), _URL)
+    return shown.select("page_pos", *[v.alias(n) for n, v in _page_rows(c("html")).items()])
 
 
-@query("sink_text_pages")
+@query(
+    "sink_text_pages",
+    over(
+        f"SELECT 'pages/' || slug || '-' || CAST(page_pos AS VARCHAR) || '.html' AS path, {_HTML} AS html FROM scored",
+        "page_specs", "feedback", last_review=_LAST, scored=_SCORED,
+    ),
+)
 def sink_text_pages(spark, sf):
-    pages = site.render_pages(_reviewed(spark, sf)).select(
+    pages = site.render_pages(_reviewed(spark, sf), _URL).select(
         site.page_path(F.concat(c("seo.slug"), F.lit("-"), c("page_pos").cast("string"))).alias("path"), c("html").alias("body")
     )
     path = tables.write_pages(pages, new_path(spark, "html"), buckets=8)
     back = spark.read.text(path).select(F.from_json("value", "path string, body string").alias("page"))
-    return back.select("page.path", F.length("page.body").alias("n_chars"))
+    return back.select("page.path", _page_rows(c("page.body"))["html"].alias("html"))
+
 
+_MARKUP = {
+    "name": "name", "description": "nullif(description, '')", "url": "website", "telephone": "phone", "email": "email",
+    "address.streetAddress": "address", "address.addressLocality": "city", "address.addressRegion": "state",
+    "address.postalCode": "zip_code", "address.addressCountry": "'US'",
+    "aggregateRating.ratingValue": "CASE WHEN rating > 0 THEN CAST(rating AS VARCHAR) END",
+    "aggregateRating.reviewCount": "CASE WHEN rating > 0 THEN CAST(coalesce(nullif(review_count, 0), 1) AS VARCHAR) END",
+    "aggregateRating.bestRating": "CASE WHEN rating > 0 THEN '5' END", "priceRange": "'$$'",
+    "openingHoursSpecification[0].opens": "'09:00'", "openingHoursSpecification[0].closes": "'17:00'",
+    "openingHoursSpecification[0].dayOfWeek[4]": "'Friday'",
+}
+_MARKUP_SQL = ", ".join(f"{value} AS f{i}" for i, value in enumerate(_MARKUP.values()))
 
-@query("jsonld")
+
+@query("jsonld", over(f"SELECT business_id, {_MARKUP_SQL} FROM businesses", "businesses"))
 def jsonld(spark, sf):
-    return fixtures.businesses(spark, sf).select("business_id", site.jsonld().alias("jsonld"))
+    made = fixtures.businesses(spark, sf).select("business_id", site.jsonld().alias("jsonld"))
+    read = [F.get_json_object("jsonld", f"$.{path}").alias(f"f{i}") for i, path in enumerate(_MARKUP)]
+    return made.select("business_id", *read)
 
 
 @query(
@@ -187,7 +320,10 @@ def page_meta(spark, sf):
     return site.page_meta(fixtures.page_specs(spark, sf)).select("page_pos", "page_title", "canonical", "keywords_text")
 
 
-@query("share_links")
+_SHARE_SQL = ", ".join(f"{value} AS share_{name}" for name, value in _SHARE.items())
+
+
+@query("share_links", over(f"SELECT page_pos, {_SHARE_SQL} FROM page_specs", "page_specs"))
 def share_links(spark, sf):
     return site.page_meta(fixtures.page_specs(spark, sf)).select(
         "page_pos", "share_facebook", "share_twitter", "share_linkedin"

@@ -64,7 +64,38 @@ def quality_badge(score):
     )
 
 
-def page_html(p=""):
+def _canonical(base_url, p=""):
+    """The page's own address, unless another one is given."""
+    own = F.concat(F.lit(f"{base_url}/"), page_path(c(f"{p}seo.slug")))
+    return F.coalesce(F.nullif(c(f"{p}seo.canonical_url"), F.lit("")), own)
+
+
+def _share_links(base_url, p=""):
+    """Addresses that share the page, by service."""
+    link = F.url_encode(F.concat(F.lit(f"{base_url}/"), page_path(c(f"{p}seo.slug"))))
+    title = F.url_encode(c(f"{p}seo.title"))
+    return {
+        "facebook": F.concat(F.lit("https://www.facebook.com/sharer/sharer.php?u="), link),
+        "twitter": F.concat(F.lit("https://twitter.com/intent/tweet?url="), link, F.lit("&text="), title),
+        "linkedin": F.concat(F.lit("https://www.linkedin.com/sharing/share-offsite/?url="), link),
+    }
+
+
+def _link(href, label):
+    return F.concat(F.lit('<a href="'), href, F.lit('">'), label, F.lit("</a>"))
+
+
+def _crumb_trail(b):
+    """Home, category, city and the business itself as links."""
+
+    def shown(crumb):
+        label = text.escape_html(crumb["label"])
+        return F.coalesce(_link(text.escape_html(crumb["link"]), label), label)
+
+    return F.array_join(F.array_compact(F.transform(breadcrumbs(b), shown)), " &gt; ")
+
+
+def page_html(p="", base_url="https://example.com"):
     """The whole page as one text; parts without a value are left out."""
     b = f"{p}business."
     place = F.concat_ws(", ", _safe(f"{b}address"), _safe(f"{b}city"), F.concat_ws(" ", _safe(f"{b}state"), _safe(f"{b}zip_code")))
@@ -74,13 +105,17 @@ def page_html(p=""):
         c(f"{b}rating") > 0,
         F.concat(c(f"{b}rating").cast("string"), F.lit("/5.0"), F.coalesce(reviews, F.lit(""))),
     )
+    stars = F.array_join(F.transform(star_flags(c(f"{b}rating")), lambda on: F.when(on, "\u2605").otherwise("\u2606")), "")
     contact_rows = F.concat_ws(
         "",
         _element("li", place, ' class="address"'),
         _element("li", F.concat(F.lit('<a href="tel:'), contact.tel_link(phone), F.lit('">'), phone, F.lit("</a>"))),
         _element("li", F.concat(F.lit('<a href="'), site, F.lit('">'), site, F.lit("</a>"))),
         _element("li", F.concat(F.lit('<a href="mailto:'), mail, F.lit('">'), mail, F.lit("</a>"))),
-        _element("li", rating, ' class="rating"'),
+        _element("li", F.concat(stars, F.lit(" "), rating), ' class="rating"'),
+    )
+    shared = F.concat_ws(
+        " ", *[_link(text.escape_html(href), F.lit(name)) for name, href in _share_links(base_url, p).items()]
     )
     paragraphs = F.replace(
         F.concat(F.lit("<p>"), F.replace(_safe(f"{p}content.main_content"), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>")),
@@ -101,6 +136,7 @@ def page_html(p=""):
         _element("title", _safe(f"{p}seo.title")),
         F.concat(F.lit('<meta name="description" content="'), _safe(f"{p}seo.meta_description"), F.lit('">')),
         F.concat(F.lit('<meta name="keywords" content="'), text.escape_html(F.array_join(f"{p}seo.keywords", ", ")), F.lit('">')),
+        F.concat(F.lit('<link rel="canonical" href="'), text.escape_html(_canonical(base_url, p)), F.lit('">')),
         # a closing tag inside the data must not end the script
         _element(
             "script", F.replace(F.to_json(f"{p}jsonld"), F.lit("</"), F.lit("<\\/")), ' type="application/ld+json"'
@@ -108,19 +144,23 @@ def page_html(p=""):
     )
     body = F.concat_ws(
         "",
+        _element("nav", _crumb_trail(b), ' class="breadcrumbs"'),
         _element("header", F.concat_ws("", _element("h1", _safe(f"{p}seo.h1")), quality_badge(c(f"{p}quality_score")))),
         _element("h2", _safe(f"{b}name")),
         _element("ul", contact_rows),
         _element("p", _safe(f"{p}content.introduction"), ' class="introduction"'),
         _element("main", paragraphs),
-        _element("nav", F.nullif(links, F.lit(""))),
+        _element("section", _safe(f"{p}content.services_section"), ' class="services"'),
+        _element("section", _safe(f"{p}content.location_section"), ' class="location"'),
+        _element("nav", F.nullif(links, F.lit("")), ' class="related"'),
         _element("p", _safe(f"{p}content.conclusion"), ' class="conclusion"'),
+        _element("footer", F.nullif(shared, F.lit("")), ' class="share"'),
     )
     return F.concat(F.lit('<!DOCTYPE html><html lang="en"><head><meta charset="utf-8">'), head, F.lit("</head><body>"), body, F.lit("</body></html>"))
 
 
-def render_pages(pages):
-    return pages.withColumn("html", page_html())
+def render_pages(pages, base_url="https://example.com"):
+    return pages.withColumn("html", page_html(base_url=base_url))
 
 
 def jsonld(meta=None):
@@ -168,17 +208,17 @@ def jsonld(meta=None):
     )
 
 
-def breadcrumbs():
+def breadcrumbs(p=""):
     """Home, category, city and the business itself, each with its link."""
 
     def crumb(label, link):
         return F.struct(label.alias("label"), link.alias("link"))
 
     def section(name):
-        return crumb(c(name), F.concat(F.lit("/#"), text.anchor(c(name))))
+        return crumb(c(f"{p}{name}"), F.concat(F.lit("/#"), text.anchor(c(f"{p}{name}"))))
 
     return F.array(
-        crumb(F.lit("Home"), F.lit("/")), section("category"), section("city"), crumb(c("name"), F.lit(None).cast("string"))
+        crumb(F.lit("Home"), F.lit("/")), section("category"), section("city"), crumb(c(f"{p}name"), F.lit(None).cast("string"))
     )
 
 
@@ -266,17 +306,12 @@ def index_cards(rendered):
 def page_meta(pages, base_url="https://example.com"):
     """Page title, canonical address, keyword text and share links."""
     b = {n: c(f"business.{n}") for n in ("name", "category", "city", "state")}
-    own = F.concat(F.lit(f"{base_url}/"), page_path(c("seo.slug")))
-    address = F.coalesce(F.nullif(c("seo.canonical_url"), F.lit("")), own)
-    link, title = F.url_encode(own), F.url_encode("seo.title")
     return pages.select(
         "page_pos",
         F.concat(b["name"], F.lit(" - "), b["category"], F.lit(" in "), b["city"], F.lit(", "), b["state"]).alias("page_title"),
-        address.alias("canonical"),
+        _canonical(base_url).alias("canonical"),
         F.array_join("seo.keywords", ", ").alias("keywords_text"),
-        F.concat(F.lit("https://www.facebook.com/sharer/sharer.php?u="), link).alias("share_facebook"),
-        F.concat(F.lit("https://twitter.com/intent/tweet?url="), link, F.lit("&text="), title).alias("share_twitter"),
-        F.concat(F.lit("https://www.linkedin.com/sharing/share-offsite/?url="), link).alias("share_linkedin"),
+        *[link.alias(f"share_{name}") for name, link in _share_links(base_url).items()],
     )
 
 

@@ -93,7 +93,7 @@ def run_stages(spark, source, out, execution_id, generate=None, review=rule_feed
 
     scored = site.join_qc(pages.drop("quality_score"), qc.withColumn("qc_pos", c("page_pos")))
     rendered = run.keep("rendered_pages", site.render_route(scored))
-    shown = site.render_pages(scored.where("generation_successful"))
+    shown = site.render_pages(scored.where("generation_successful"), base_url)
     tables.write_pages(
         shown.select(site.page_path(c("seo.slug")).alias("path"), c("html").alias("body")), run.path("pages")
     )
