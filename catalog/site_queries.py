@@ -3,7 +3,11 @@
 from pyspark.sql import functions as F
 
 from catalog import fixtures
+from catalog.ingest_queries import _NULLED, _strip, _title, broken_fields
+from catalog.page_queries import CHECKED, CHECKS, JUDGED
+from catalog.publish_queries import H1, META, TITLE
 from catalog.registry import over, query
+from mainstreet import schemas
 from mainstreet.functions import contact, fixed
 from mainstreet.operators import site
 from mainstreet.plans import stages
@@ -413,9 +417,61 @@ def execution_report(spark, sf):
     ).drop("quality_analysis")
 
 
-@query("site_run")
+# The run in SQL: cells as they are read, cleaned rows, accepted rows, their pages, and the reviews of these.
+_CELLS = ", ".join(
+    f"nullif(nullif({_strip(_NULLED.format(n))}, ''), 'nan') AS {n}" for n in schemas.BUSINESS_COLUMNS[:-2]
+)
+_PHONE_10 = (
+    "CASE WHEN length(d) = 10 THEN d[1:3] || '-' || d[4:6] || '-' || d[7:10] WHEN length(d) = 11 AND d[1:1] = '1'"
+    " THEN d[2:4] || '-' || d[5:7] || '-' || d[8:11] ELSE phone END"
+)
+_CLEANED = (
+    "SELECT * EXCLUDE (zip_code, phone, website, d), CASE WHEN length(zip_code) = 9 AND NOT contains(zip_code, '-')"
+    f" THEN zip_code[1:5] || '-' || zip_code[6:9] ELSE zip_code END AS zip_code, {_PHONE_10} AS phone,"
+    " CASE WHEN website LIKE 'http://%' OR website LIKE 'https://%' THEN website ELSE 'https://' || website END AS website"
+    r" FROM (SELECT *, regexp_replace(phone, '\D', '', 'g') AS d FROM cells) t"
+)
+_TITLED = ", ".join(f"{_title(n)} AS {n}" for n in ("name", "category", "city", "state"))
+_ACCEPTED = (
+    f"SELECT * EXCLUDE (name, category, city, state), {_TITLED} FROM cleaned WHERE {broken_fields()} = ''"
+)
+_WHERE = "city || ', ' || state"
+_INTRO = f"name || ' is a ' || category || ' business in ' || {_WHERE} || '. '"
+_ONE_SPACE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_RUN_SLUG = (
+    r"trim(regexp_replace(regexp_replace(regexp_replace(lower(name || '-' || category || '-' || city), '[^a-z0-9\s-]', '', 'g'),"
+    r" '\s+', '-', 'g'), '-+', '-', 'g'), '-')"
+)
+_RUN_PAGES = (
+    f"SELECT *, {_ONE_SPACE.format(TITLE)} AS title, {_ONE_SPACE.format(META)} AS meta_description, {_ONE_SPACE.format(H1)} AS h1,"
+    f" CASE WHEN length({_RUN_SLUG}) > 60 THEN left({_RUN_SLUG}, 57) || '...' ELSE {_RUN_SLUG} END AS slug,"
+    " lower(category) || ',' || lower(city) || ' ' || lower(category) || ',' || lower(category) || ' in ' || lower(city) || ',local '"
+    f" || lower(category) AS keyword_csv, {_INTRO} || 'You find it at ' || address || '.' AS introduction,"
+    f" {_INTRO} || coalesce(nullif(description, ''), 'Professional ' || lower(category) || ' services in ' || {_WHERE} || '.') || chr(10)"
+    f" || chr(10) || 'However far you travel, ' || {_WHERE} || ' is the place to visit.' AS main_content,"
+    f" 'Contact ' || name || ' in ' || {_WHERE} || ' and ask for an appointment.' AS conclusion, TRUE AS has_jsonld,"
+    " (SELECT count(*) FROM accepted o WHERE o.business_id <> b.business_id"
+    " AND (lower(o.city) = lower(b.city)) <> (lower(o.category) = lower(b.category))) AS n_links FROM accepted b"
+)
+_SHARE_PASSED = "(" + " + ".join(f"CAST(c_{name} AS INT)" for _, name, _ in CHECKS) + f") / {len(CHECKS)}.0::DOUBLE"
+
+
+@query(
+    "site_run",
+    over(
+        "SELECT business_id, TRUE AS render_successful, CAST(NULL AS VARCHAR) AS reason, 'pages/' || slug || '.html' AS html_file,"
+        f" greatest(0.0, round(round({_SHARE_PASSED}, 3) - least(len(violations) * 0.1::DOUBLE, 0.4::DOUBLE), 6)) AS quality_score FROM judged",
+        "businesses",
+        cells=f"SELECT {_CELLS}, rating, review_count FROM businesses",
+        cleaned=_CLEANED,
+        accepted=_ACCEPTED,
+        page_specs=_RUN_PAGES,
+        checked=CHECKED,
+        judged=JUDGED,
+    ),
+)
 def site_run(spark, sf):
-    """All stages over the listings; the status of each table is the result."""
+    """All stages over the listings; the rendered rows are the result."""
     listings = tables.write_businesses_csv(fixtures.businesses(spark, sf), new_path(spark, "listings"))
     out = stages.run_stages(spark, listings, new_path(spark, "run"), "run-1", day=_DAY, multi_line=True)
     return out["rendered_pages"].select("business_id", "render_successful", "reason", "html_file", "quality_score")

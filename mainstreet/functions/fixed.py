@@ -11,13 +11,17 @@ MAX_DENSITY = 0.03
 MIN_DENSITY = 0.005
 
 # Words that carry no topic.
-STOP_WORDS = (
-    "a an and are as at be by for from has he in is it its of on that the "
-    "to was will with this but they have had what said each which she do how their"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from",
+    "has", "he", "in", "is", "it", "its", "of", "on", "that", "the",
+    "to", "was", "will", "with", "this", "but", "they", "have", "had", "what",
+    "said", "each", "which", "she", "do", "how", "their",
+]
 
 # Words that link one section to the next.
-TRANSITION_WORDS = "however moreover furthermore additionally also therefore consequently".split()
+TRANSITION_WORDS = [
+    "however", "moreover", "furthermore", "additionally", "also", "therefore", "consequently",
+]
 
 # SQL category ladder, first match wins.
 CONTENT_CATEGORIES = [
