@@ -1,12 +1,12 @@
 """Texts of Arrow batches as byte arrays, and hashing that works on whole blocks of them.
 
 Spark bounds an Arrow batch by rows and bytes; the operators go through it in blocks of about a
-megabyte, so that temporary arrays stay small. A longer text is a block of its own.
+quarter of a megabyte, so that temporary arrays stay small. A longer text is a block of its own.
 """
 
 import numpy as np
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _WORD = 1 << 64

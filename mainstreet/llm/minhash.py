@@ -6,10 +6,13 @@ bring texts together; links are confirmed on the full sets.
 
 Texts with the same set are one class. Within a band's bucket, every class is first compared with
 the bucket's first class only. Buckets that still hold classes of different components go on with
-further leaders, eight times as many each round, until all classes of a bucket are compared with
-each other or known to be connected. So a bucket of copies is never expanded into all of its
-pairs. Sets are fetched only for pairs whose sizes allow the similarity and whose signatures are
-less than four standard deviations below it.
+further leaders, more each round, until all classes of a bucket are compared with each other or
+known to be connected. So a bucket of copies is never expanded into all of its pairs.
+
+Sets are fetched only for pairs that pass three tests within the join. The sizes must allow the
+similarity. The parities of the sets' elements in ``PARITIES`` places must not differ in more
+places than the sets may have elements that are not in both; that loses no pair. And one bit of
+every signature value must agree about as often as at the threshold, within four deviations.
 """
 
 import numpy as np
@@ -19,12 +22,13 @@ from pyspark.sql import types as T
 
 from mainstreet.llm import blocks
 from mainstreet.llm.components import components
-from mainstreet.operators.shuffles import lookup
+from mainstreet.operators.shuffles import checked_broadcast, lookup
 from mainstreet.plans.workspace import materialise
 
-PERMUTATIONS = 60
-BAND = 5
-MORE_LEADERS = 8  # times the leaders of a bucket in each round
+PERMUTATIONS = 120
+RECALL = 0.9999  # of pairs just at the threshold, by the bands
+MORE_LEADERS = 64  # times the leaders of a bucket in each round
+PARITIES = 1024
 DEVIATIONS = 4
 
 _rng = np.random.default_rng(29)
@@ -69,38 +73,50 @@ def shingles(offsets, data, width=3):
     return rows[new], at[new]
 
 
-def signatures(offsets, data, width=3):
-    """Per text: size of its set, two hashes of the whole set, its band values, and a byte of each value."""
+def band_width(percent):
+    """Values in a band: the most at which pairs with this similarity still share a band with RECALL."""
+    goal = percent / 100
+    for width in range(16, 1, -1):
+        if 1 - (1 - goal**width) ** (2 * PERMUTATIONS // width) >= RECALL:
+            return width
+    return 1
+
+
+def signatures(offsets, data, width, band):
+    """Per text: size of its set, two hashes of the whole set, a bit of each value, parities, and its band values."""
     n = len(offsets) - 1
     rows, at = shingles(offsets, data, width)
     size = np.bincount(rows, minlength=n)
     some = np.flatnonzero(size)
     first = blocks.row_ranges(rows, n)[some]
     sums = np.zeros((2, n), np.uint64)
-    values = np.zeros((n, 2 * PERMUTATIONS), np.uint64)
+    values = np.zeros((2 * PERMUTATIONS, n), np.uint64)
     if len(some):
         sums[0, some] = np.add.reduceat(blocks.mix(at + np.uint64(1)), first)
         sums[1, some] = np.add.reduceat(blocks.mix(at ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
         for p in range(PERMUTATIONS):
             order = at * _TIMES[p] + _PLUS[p]
-            values[some, p] = np.minimum.reduceat(order, first)
-            values[some, PERMUTATIONS + p] = np.maximum.reduceat(order, first)
-    bands = np.zeros((n, 2 * PERMUTATIONS // BAND), np.uint64)
+            values[p, some] = np.minimum.reduceat(order, first)
+            values[PERMUTATIONS + p, some] = np.maximum.reduceat(order, first)
+    bands = np.zeros((n, 2 * PERMUTATIONS // band), np.uint64)
     for b in range(bands.shape[1]):
         key = np.full(n, b + 1, np.uint64)
-        for v in values[:, b * BAND : (b + 1) * BAND].T:
+        for v in values[b * band : (b + 1) * band]:
             key = blocks.mix(key * np.uint64(0x9E3779B97F4A7C15) + v)
         bands[:, b] = key
+    bits = np.zeros((n, 256), np.uint8)
+    bits[:, : 2 * PERMUTATIONS] = (values.T >> np.uint64(20)).astype(np.uint8) & 1
+    place = rows * PARITIES + (at >> np.uint64(12)).astype(np.int64) % PARITIES
+    odd = np.bincount(place, minlength=n * PARITIES).astype(np.uint8).reshape(n, PARITIES) & 1
+    bits = np.packbits(np.hstack([bits, odd]), axis=1).view(np.int64)
     sums = sums.view(np.int64)
-    short = (values >> np.uint64(20)).astype(np.uint8)
-    return [size, sums[0], sums[1], [r.tobytes() for r in bands], [r.tobytes() for r in short]]
+    return [size, sums[0], sums[1], *bits.T, [r.tobytes() for r in bands]]
 
 
 def _unpacked(binary):
-    """The 8-byte numbers of a band column as longs."""
-    text = F.hex(binary)
-    each = F.sequence(F.lit(0), F.lit(2 * PERMUTATIONS // BAND - 1))
-    return F.transform(each, lambda i: F.xxhash64(F.substring(text, i * 16 + 1, F.lit(16))))
+    """The 8-byte numbers of a band column, hashed to longs."""
+    each = F.sequence(F.lit(0), F.floor(F.octet_length(binary) / 8).cast("int") - 1)
+    return F.transform(each, lambda i: F.xxhash64(F.substring(binary, i * 8 + 1, F.lit(8))))
 
 
 def _overlaps(left, right, width):
@@ -120,24 +136,6 @@ def _overlaps(left, right, width):
     return np.concatenate(both or [np.zeros(0, int)]), np.concatenate(either or [np.zeros(0, int)])
 
 
-def _likely(pairs, percent):
-    """The pairs (a, b) whose signatures ``sa`` and ``sb`` agree often enough."""
-    goal = percent / 100
-    least = goal - DEVIATIONS * (goal * (1 - goal) / (2 * PERMUTATIONS)) ** 0.5
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            sides = [blocks.string_buffers(batch.column(i))[1].reshape(-1, 2 * PERMUTATIONS) for i in (2, 3)]
-            agree = (sides[0] == sides[1]).mean(1) if len(batch) else np.zeros(0)
-            good = pa.array((agree - 1 / 256) / (1 - 1 / 256) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
-
-    schema = T.StructType([T.StructField(c, pairs.schema[c].dataType) for c in ("a", "b")])
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, schema)
-
-
 def _confirm(pairs, texts, percent, width):
     """The pairs (a, b) whose full sets are similar enough."""
 
@@ -164,54 +162,61 @@ def near_duplicates(docs, percent=85, width=3, id_col="doc_id", text_col="text")
     two texts under one id are not expected. Other columns are not looked at, and an empty table
     gives an empty result.
     """
-    fields = [
-        T.StructField("_n", T.LongType()), T.StructField("_s1", T.LongType()),
-        T.StructField("_s2", T.LongType()), T.StructField("_bands", T.BinaryType()), T.StructField("_sig", T.BinaryType()),
-    ]
+    band = band_width(percent)
+    words = [f"_b{i}" for i in range(4 + PARITIES // 64)]
+    fields = [T.StructField(f, T.LongType()) for f in ("_n", "_s1", "_s2", *words)]
+    fields.append(T.StructField("_bands", T.BinaryType()))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    signed = blocks.append_columns(texts, "_text", fields, lambda o, d: signatures(o, d, width)).drop("_text")
+    signed = blocks.append_columns(texts, "_text", fields, lambda o, d: signatures(o, d, width, band)).drop("_text")
     signed = materialise(signed)
     sets = ["_s1", "_s2", "_n"]
     usable = signed.where((F.col("_n") > 0) & F.col("_id").isNotNull())
     classes = usable.groupBy(*sets).agg(
-        F.min("_id").alias("_rep"), F.first("_bands").alias("_bands"), F.first("_sig").alias("_sig"), F.count(F.lit(1)).alias("_rows")
+        F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in (*words, "_bands")]
     )
     classes = materialise(classes)
     bands = classes.select(F.col("_rep").alias("r"), F.explode(_unpacked(F.col("_bands"))).alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = materialise(bands.join(shared, "key").withColumn("c", F.col("r")))
-    about = classes.select(F.col("_rep").alias("r"), "_n", "_sig")
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").drop("_many")
+    about = classes.select(F.col("_rep").alias("r"), F.col("_n").alias("n"), *words)
+    # most classes share no bucket, so their sketches are added to the rest only
+    members = materialise(bands.join(shared, "key").join(about, "r").withColumn("c", F.col("r")))
+    # the texts of all classes that share a bucket with another
+    asked = checked_broadcast(members.select(F.col("r").alias("_id")).distinct())
+    own = materialise(texts.join(asked, "_id", "left_semi").dropDuplicates(["_id"]))
+    apart = (1 - percent / 100) / 2
+    most_apart = int(2 * PERMUTATIONS * apart + DEVIATIONS * (2 * PERMUTATIONS * apart * (1 - apart)) ** 0.5)
+    differing = lambda some: sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"a{w}"))) for w in some), F.lit(0))
+    similar = 100 * F.least("n", "na") >= percent * F.greatest("n", "na")
+    similar &= differing(words[4:]) * (100 + percent) <= (F.col("n") + F.col("na")) * (100 - percent)
+    similar &= differing(words[:4]) <= most_apart
     links, known, leaders = None, None, 1
     while not members.isEmpty():
         # the first classes of each bucket lead it; Spark limits them in every task before the shuffle
         rank = F.row_number().over(Window.partitionBy("key").orderBy("r"))
         lead = members.withColumn("_rank", rank).where(F.col("_rank") <= leaders)
-        lead = materialise(lead.select("key", F.col("r").alias("a"), F.col("c").alias("ca")))
-        pairs = members.withColumnRenamed("r", "b").join(lead, "key").where("b > a AND c != ca").select("a", "b").distinct()
-        pairs = pairs.join(about.toDF("a", "na", "sa"), "a").join(about.toDF("b", "nb", "sb"), "b")
-        fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        pairs = materialise(_likely(pairs.where(fits), percent))
+        lead = lead.select("key", F.col("r").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), *[F.col(w).alias(f"a{w}") for w in words])
+        lead = materialise(lead)
+        pairs = members.withColumnRenamed("r", "b").join(lead, "key").where((F.col("b") > F.col("a")) & (F.col("c") != F.col("ca")) & similar)
+        pairs = materialise(pairs.select("a", "b").distinct())
         found = None
         if not pairs.isEmpty():
-            asked = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-            own = texts.join(asked, "_id", "left_semi").dropDuplicates(["_id"])
             found = materialise(_confirm(pairs, own, percent, width))
         if found is not None and not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             known = materialise(components(links).select(F.col("id").alias("r"), F.col("component").alias("_c")))
         rest = members.join(lead.select("key", F.col("a").alias("r")), ["key", "r"], "left_anti")
         if known is not None:
-            rest = rest.join(known, "r", "left").select("key", "r", F.coalesce("_c", "c").alias("c"))
+            rest = rest.join(known, "r", "left").withColumn("c", F.coalesce("_c", "c")).drop("_c")
         open_keys = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
         members = materialise(rest.join(open_keys.select("key"), "key"))
         leaders *= MORE_LEADERS
-    grouped = classes.drop("_bands", "_sig").withColumn("component_id", F.col("_rep"))
+    grouped = classes.drop("_bands", *words).withColumn("component_id", F.col("_rep"))
     if known is not None:
         known = known.select(F.col("r").alias("_rep"), "_c")
         grouped = grouped.drop("component_id").join(known, "_rep", "left")
         grouped = grouped.withColumn("component_id", F.coalesce("_c", "_rep")).drop("_c")
     grouped = grouped.drop("_rep")
-    out = lookup(signed.drop("_bands", "_sig"), grouped, sets, ["_id"], counted="_rows").drop("_rows")
+    out = lookup(signed.drop("_bands", *words), grouped, sets, ["_id"], counted="_rows").drop("_rows")
     own = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id")
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), own).withColumn(
         "kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))
@@ -219,7 +224,16 @@ def near_duplicates(docs, percent=85, width=3, id_col="doc_id", text_col="text")
 
 
 def deduplicated(docs, percent=80, width=5, id_col="doc_id", text_col="text"):
-    """The documents with their columns, one of each group of near duplicates: the one with the smallest id."""
-    verdict = near_duplicates(docs, percent, width, id_col, text_col)
+    """The documents with their columns, one of each group of near duplicates: the one with the smallest id.
+
+    Of repeated rows of one id, one stays; rows without id all stay.
+    """
+    verdict = materialise(near_duplicates(docs, percent, width, id_col, text_col).select(id_col, "kept"))
     gone = verdict.where(~F.col("kept")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    left = docs.join(gone, id_col, "left_anti")
+    again = verdict.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    again = materialise(again.select(id_col))
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, id_col, "left_semi").dropDuplicates([id_col])
+    return left.join(again, id_col, "left_anti").unionByName(repeated)
