@@ -19,11 +19,15 @@ from mainstreet.llm import blocks
 from mainstreet.plans.workspace import materialise
 
 # Words of reporting and of address in the languages of the texts, without accents.
-REPORTING = (
-    "said says say wrote writes called calls quote quoted quotes term word means dit disent ecrit mot "
-    "dijo dice escribio palabra sagte sagt schrieb wort nannte"
-).split()
-ADDRESS = "you your youre yourself u du dich dir dein ihr tu te vous vos votre eres tus usted".split()
+REPORTING = [
+    "said", "says", "say", "wrote", "writes", "called", "calls", "quote", "quoted", "quotes",
+    "term", "word", "means", "dit", "disent", "ecrit", "mot", "dijo", "dice", "escribio",
+    "palabra", "sagte", "sagt", "schrieb", "wort", "nannte",
+]
+ADDRESS = [
+    "you", "your", "youre", "yourself", "u", "du", "dich", "dir", "dein", "ihr",
+    "tu", "te", "vous", "vos", "votre", "eres", "tus", "usted",
+]
 
 WINDOW = 6
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
