@@ -44,7 +44,35 @@ def op3_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards"))
 
 
-@query("op8_suffix_array")
+_REPEATS_SQL = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, p, array_slice(b, p, p + 49) AS s FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS p FROM d WHERE n >= 50) t
+), firsts AS (
+  SELECT s, min(doc_id) AS low FROM w GROUP BY s
+), gone AS (
+  SELECT w.doc_id, w.p, CASE WHEN w.p <= lag(w.p) OVER (PARTITION BY w.doc_id ORDER BY w.p) + 50 THEN 0 ELSE 1 END AS first
+  FROM w JOIN firsts f ON f.s = w.s WHERE f.low < w.doc_id
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 49 AS z FROM (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM gone) t
+  GROUP BY doc_id, g
+), cut AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM spans
+  UNION ALL
+  SELECT s.doc_id, max(z) + 1, max(n) FROM spans s JOIN d ON d.doc_id = s.doc_id GROUP BY s.doc_id
+), kept AS (
+  SELECT cut.doc_id, string_agg(hex(array_slice(b, a, z)), '' ORDER BY a) AS h FROM cut JOIN d ON d.doc_id = cut.doc_id
+  WHERE z >= a GROUP BY cut.doc_id
+), totals AS (
+  SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN t.doc_id IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(h, ''))) END AS kept_sha256
+FROM d LEFT JOIN totals t ON t.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
+
+@query("op8_suffix_array", _REPEATS_SQL)
 def op8_suffix_array(spark, sf_dir):
     return repeats.digests(table(spark, sf_dir, "documents"))
 
@@ -83,12 +111,48 @@ def op5_quality(spark, sf_dir):
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-@query("op6_embeddings")
+# Ids, pairs that are linked both ways, and the ids that can be reached along them.
+_GROUPS = """,
+reach AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), groups AS (SELECT a, min(b) AS low FROM reach GROUP BY a)"""
+
+_EMBEDDINGS_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9
+){_GROUPS}
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links, least(v.vec_id, coalesce(low, v.vec_id)) AS component_id,
+  v.vec_id <= coalesce(low, v.vec_id) AS kept
+FROM v LEFT JOIN groups ON groups.a = v.vec_id"""
+
+
+@query("op6_embeddings", _EMBEDDINGS_SQL)
 def op6_embeddings(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-@query("op7_minhash")
+_MINHASH_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS t
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(t) >= 3 THEN list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])
+    WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS sh FROM w
+), each AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+), links AS (
+  SELECT p.doc_id AS a, q.doc_id AS b FROM each p JOIN each q ON p.x = q.x AND p.doc_id <> q.doc_id
+  GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+){_GROUPS}
+SELECT s.doc_id, len(sh) AS n_shingles, least(s.doc_id, coalesce(low, s.doc_id)) AS component_id, s.doc_id <= coalesce(low, s.doc_id) AS kept
+FROM s LEFT JOIN groups ON groups.a = s.doc_id"""
+
+
+@query("op7_minhash", _MINHASH_SQL)
 def op7_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
