@@ -18,8 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from mainstreet.llm import blocks
 
 Q = 10
-WINDOW = 100
-STRIDE = 50
+WINDOW = 80
+STRIDE = 20  # so a passage of WINDOW + STRIDE bytes holds a whole window
 EDITS = 0.08  # of the window's bytes
 BLOCK_BYTES = 4 << 20
 

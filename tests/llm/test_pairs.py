@@ -159,6 +159,12 @@ def _distance(a, b):
     return min(row)
 
 
+def _windows(item, text):
+    """Distance of each window of the item to the text, and the edits that it may have."""
+    index = decontamination.Index([(0, item)])
+    return [(_distance(item.encode()[a:b], text.encode()), k) for a, b, k in zip(index.first, index.last, index.edits)]
+
+
 @pytest.mark.parametrize("edits", [0, 4, 8, 20])
 def test_decontamination_edits(spark, edits):
     rng = random.Random(edits)
@@ -171,8 +177,10 @@ def test_decontamination_edits(spark, edits):
     found = decontamination.matches(
         spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
     ).collect()
-    nearest = _distance(item, docs[0][1])
-    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in found] == ([(1, 7, nearest)] if nearest <= 8 else [])
+    near = [d for d, most in _windows(item, docs[0][1]) if d <= most]
+    expected = [(1, 7, len(near), min(near))] if near else []
+    assert [(r["doc_id"], r["item_id"], r["windows"], r["distance"]) for r in found] == expected
+    assert bool(near) == (edits < 20)
 
 
 def test_decontamination_table(spark, sf, texts):
@@ -183,7 +191,15 @@ def test_decontamination_table(spark, sf, texts):
     pairs = {(r["doc_id"], r["item_id"]) for r in found}
     assert whole and whole <= pairs
     for d, i in pairs - whole:  # some window of the item must be near
-        assert any(_distance(items[i][k : k + 100], plain(texts[d])) <= 8 for k in {*range(0, len(items[i]) - 99, 50), max(0, len(items[i]) - 100)})
+        assert any(d <= most for d, most in _windows(items[i], plain(texts[d])))
+
+
+def test_decontamination_windows_cover_passages():
+    """Every passage of a window and a stride holds a window, and windows reach both ends of an item."""
+    for n in (10, 79, 80, 81, 100, 333):
+        index = decontamination.Index([(0, "x" * n)])
+        assert index.first.min() == 0 and index.last.max() == n
+        assert (np.diff(np.sort(index.first)) <= decontamination.STRIDE).all()
 
 
 def test_decontamination_odd_rows(spark, odd, nothing, monkeypatch):
