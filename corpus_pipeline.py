@@ -7,6 +7,7 @@ other. Each is stored in the shared folder before the next one reads it.
 from pyspark.sql import functions as F
 
 from mainstreet.llm import blocks, decontamination, minhash, mixing, quality, sharding
+from mainstreet.operators.shuffles import checked_broadcast
 from mainstreet.plans.workspace import materialise
 
 QUALITY_THRESHOLD = 0.7
@@ -37,6 +38,7 @@ def mixing_stage(spark, docs, sf_dir):
     Rows without id cannot be told apart and are used once.
     """
     uses = mixing.mix(docs).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max(F.size("draws")).alias("_mix_uses"))
+    uses = checked_broadcast(uses)  # so that texts are moved only if the ids are too many for it
     rows = docs.join(uses, docs["doc_id"] == uses["_mix_id"], "left")
     again = F.explode(F.array_repeat(F.lit(0), F.coalesce("_mix_uses", F.lit(1))))
     return rows.select(*[docs[c] for c in docs.columns], again.alias("_mix_use")).drop("_mix_use")

@@ -182,7 +182,10 @@ def near_duplicates(docs, percent=85, width=3, id_col="doc_id", text_col="text")
     members = materialise(bands.join(shared, "key").join(about, "r").withColumn("c", F.col("r")))
     # the texts of all classes that share a bucket with another
     asked = checked_broadcast(members.select(F.col("r").alias("_id")).distinct())
-    own = materialise(texts.join(asked, "_id", "left_semi").dropDuplicates(["_id"]))
+    own = texts.join(asked, "_id", "left_semi")
+    if not usable.groupBy("_id").count().where("count > 1").isEmpty():
+        own = own.dropDuplicates(["_id"])
+    own = materialise(own)
     apart = (1 - percent / 100) / 2
     most_apart = int(2 * PERMUTATIONS * apart + DEVIATIONS * (2 * PERMUTATIONS * apart * (1 - apart)) ** 0.5)
     differing = lambda some: sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"a{w}"))) for w in some), F.lit(0))
@@ -229,7 +232,8 @@ def deduplicated(docs, percent=80, width=5, id_col="doc_id", text_col="text"):
     Of repeated rows of one id, one stays; rows without id all stay.
     """
     verdict = materialise(near_duplicates(docs, percent, width, id_col, text_col).select(id_col, "kept"))
-    gone = verdict.where(~F.col("kept")).select(id_col).distinct()
+    # as long as the ids can be sent to every task, the texts stay where they are
+    gone = checked_broadcast(verdict.where(~F.col("kept")).select(id_col).distinct())
     left = docs.join(gone, id_col, "left_anti")
     again = verdict.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
     again = materialise(again.select(id_col))
