@@ -2,7 +2,7 @@
 
 Each source gets a target in words. Its documents, in an order permuted by a hash, form a line
 that is read until the target is met, from the start again if the target is above the source's
-size. The reading is cut into blocks. A tree halves the output shards again and again; at each
+size; a document longer than what is still missing is passed over. The reading is cut into blocks. A tree halves the output shards again and again; at each
 node the left half draws its exact number of blocks without replacement, so its quotas follow the
 multivariate hypergeometric law. At the leaves every shard has a block quota per source and takes
 that many of the source's permuted blocks, disjoint from all other shards'. Within a shard the
@@ -18,7 +18,7 @@ from mainstreet.plans.workspace import materialise
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
-FITS = 3
+_END = 2**63 - 1  # behind every place of a line
 _SEED = 3
 _PRIME = 1_000_003  # above any number of blocks of a source, so multiplying by it permutes them
 
@@ -146,8 +146,68 @@ def split_tree(blocks, shards):
     return runs.select("_ix", sums.alias("_ends"))
 
 
+def _line_uses(placed, most):
+    """Candidates of the open sources: one row per use that lies behind ``_at`` and fits ``_gap``."""
+    fits = placed.where((F.col("_size") > 0) & (F.col("_size") <= F.col("_gap")))
+    place = lambda p: p * F.col("source_size") + F.col("_start")
+    uses = F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: place(p) > F.col("_at"))
+    fits = fits.select("_ix", "_part", "_size", "_gap", "_start", "source_size", F.explode(uses).alias("_pass"))
+    return fits.withColumn("_place", place(F.col("_pass"))).drop("_start", "source_size")
+
+
+def _steps(placed, most):
+    """The reading of each source as steps (``at``, ``gap``): a use before ``at`` and not before an earlier step's is
+    taken if its size is at most ``gap``.
+
+    A step ends at the first use that does not fit what is still missing. That one is passed over, and so is
+    every later one that is as long, so the next step reads on behind it among the uses that fit, until none does.
+    What is missing falls below the size of the use passed over, so steps are about as many as the logarithm of
+    the longest size. A step finds the part in which it ends from the sums of the parts and its place within that part.
+    """
+    place = lambda p: p * F.col("source_size") + F.col("_start")
+    over = F.filter(
+        F.sequence(F.lit(0), F.lit(most - 1)),
+        lambda p: (F.col("_size") > 0) & (place(p) + F.col("_size") > F.col("target")),
+    )
+    state = placed.groupBy("_ix").agg(F.first("target").alias("_gap"), F.min(F.get(F.transform(over, place), 0)).alias("_at"))
+    step = lambda at, gap: F.struct(at.cast("long").alias("at"), gap.alias("gap"))
+    end = F.lit(_END)
+    state = state.select(
+        "_ix",
+        F.array(step(F.coalesce("_at", end), F.col("_gap"))).alias("_steps"),
+        F.coalesce(F.col("_gap") - F.col("_at"), F.lit(0.0)).alias("_gap"),
+        F.coalesce("_at", end).alias("_at"),
+    )
+    state = materialise(state)
+    while not state.where(F.col("_at") < end).isEmpty():
+        now = state.where(F.col("_at") < end).select("_ix", "_gap", "_at")  # one row per source
+        uses = _line_uses(placed.join(F.broadcast(now), "_ix"), most)
+        sums = uses.groupBy("_ix", "_pass", "_part").agg(F.first("_gap").alias("_gap"), F.sum("_size").alias("_words"))
+        before = Window.partitionBy("_ix").orderBy("_pass", "_part").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
+        last = sums.where((F.col("_before") <= F.col("_gap")) & (F.col("_before") + F.col("_words") > F.col("_gap")))
+        within = Window.partitionBy("_ix").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+        ends = uses.join(F.broadcast(last.select("_ix", "_pass", "_part", "_before")), ["_ix", "_pass", "_part"])
+        read = F.col("_before") + F.coalesce(F.sum("_size").over(within), F.lit(0))
+        ends = ends.withColumn("_read", read).where(F.col("_read") + F.col("_size") > F.col("_gap"))
+        ends = ends.groupBy("_ix").agg(F.min(F.struct("_place", "_read")).alias("_next"))
+        known = state.join(F.broadcast(ends), "_ix", "left")
+        at = F.coalesce("_next._place", end)
+        live = F.col("_at") < end
+        state = materialise(known.select(
+            "_ix",
+            F.when(live, F.concat("_steps", F.array(step(at, F.col("_gap"))))).otherwise(F.col("_steps")).alias("_steps"),
+            F.when(live, F.col("_gap") - F.coalesce("_next._read", F.lit(0))).otherwise(F.col("_gap")).alias("_gap"),
+            F.when(live, at).otherwise(end).alias("_at"),
+        ))
+    return state.select("_ix", "_steps")
+
+
 def _fitted(placed, most):
-    """One more use, for each source, of the document whose size fits best what the source still lacks."""
+    """One more use, for each source, of the document whose size fits best what the source still lacks.
+
+    All others that fit are used, so this one is longer than the gap, and less than twice as long.
+    """
     gaps = placed.groupBy("_ix").agg((F.first("target") - F.sum(F.col("_uses") * F.col("_size"))).alias("_gap"))
     fit = F.abs(F.col("_size") - F.col("_gap"))
     free = (F.col("_size") > 0) & (F.col("_uses") < most) & (fit < F.col("_gap"))
@@ -162,9 +222,9 @@ def mix(docs, shards=8, blocks_per_shard=256, rows_per_part=50_000, weights=WEIG
         id_col="doc_id", text_col="text", source_col="source"):
     """One row per document: id, size, source_size, target, taken and ``draws``, one (pass, shard, order) per use.
 
-    A document is used as often as the reading of its source passes its end before the target is
-    reached; then, up to FITS times, the document whose size fits best what the source still lacks
-    is used once more. ``order`` is the document's place in the local shuffle of its shard. A null text has no words; a null source is a source.
+    A document is used as often as the reading of its source comes to it while it fits what is still
+    missing, so no use is left over that would fit; then the document whose size fits best what the
+    source still lacks is used once more, if that brings the source nearer to its target. ``order`` is the document's place in the local shuffle of its shard. A null text has no words; a null source is a source.
     Documents without words are not drawn. Repeated rows and null ids are documents of their own.
     An empty table gives an empty result.
 
@@ -199,16 +259,25 @@ def mix(docs, shards=8, blocks_per_shard=256, rows_per_part=50_000, weights=WEIG
     within = Window.partitionBy(*keys).orderBy("_order", "_id", "_size", "_row").rowsBetween(Window.unboundedPreceding, -1)
     placed = lines.withColumn("_within", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(offsets, keys)
     placed = placed.withColumn("_start", F.col("_before") + F.col("_within"))
-    last = lambda p: p * F.col("source_size") + F.col("_start") + F.col("_size")
-    passes = F.filter(
-        F.sequence(F.lit(0), F.lit(most - 1)), lambda p: (F.col("_size") > 0) & (last(p) <= F.col("target"))
-    )
-    placed = placed.drop("_before", "_within", "_part").withColumn("_uses", F.size(passes))
-    for _ in range(FITS):
-        placed = _fitted(materialise(placed), most)
+    placed = materialise(placed.drop("_before", "_within"))
+    place = lambda p: p * F.col("source_size") + F.col("_start")
+    gap = lambda p: F.get(F.filter("_steps", lambda s: place(p) < s["at"]), 0)["gap"]
+    passes = F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: (F.col("_size") > 0) & (F.col("_size") <= gap(p)))
+    placed = placed.join(F.broadcast(_steps(placed, most)), "_ix").withColumn("_uses", F.size(passes)).drop("_steps")
+    placed = materialise(_fitted(placed, most))
+    # words that are read before each use: pass by pass, part by part, then within the part
+    read = [F.when(F.col("_uses") > p, F.col("_size")).otherwise(0) for p in range(most)]
+    sums = placed.groupBy("_ix", "_part").agg(F.array(*[F.sum(r) for r in read]).alias("_words"))
+    sums = sums.select("_ix", "_part", F.posexplode("_words").alias("_pass", "_words"))
+    before = Window.partitionBy("_ix").orderBy("_pass", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
+    sums = sums.groupBy("_ix", "_part").agg(F.array_sort(F.collect_list(F.struct("_pass", "_before"))).alias("_before"))
+    within = Window.partitionBy("_ix", "_part").orderBy("_start", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_within", F.array(*[F.coalesce(F.sum(r).over(within), F.lit(0)) for r in read]))
+    placed = placed.join(sums, ["_ix", "_part"])
 
     def use(p):
-        at = F.least((p * F.col("source_size") + F.col("_start")) / F.col("target"), F.lit(1.0))
+        at = F.least((F.get("_before", p)["_before"] + F.get("_within", p)) / F.col("target"), F.lit(1.0))
         block = F.least(F.floor(at * F.col("_blocks")), F.col("_blocks") - 1)
         permuted = (block * _PRIME + F.pmod(F.xxhash64("_ix"), F.col("_blocks"))) % F.col("_blocks")
         shard = F.size(F.filter("_ends", lambda e: e <= permuted))

@@ -247,3 +247,41 @@ def test_mixing_odd_rows(odd, nothing):
     rows = mixing.mixed_rows(odd.where("doc_id > 2"), 4)
     assert {"shard", "order"} <= set(rows.columns) and rows.count() > 0
     assert mixing.mix(nothing).count() == 0
+
+
+def _read_line(sizes, target, most=3):
+    """Uses of each document of a line, read use by use; then the use that comes nearest to the target."""
+    used, gap = [0] * len(sizes), target
+    for _ in range(most):
+        for i, n in enumerate(sizes):
+            if 0 < n <= gap:
+                used[i] += 1
+                gap -= n
+    near = [(abs(n - gap), i) for i, n in enumerate(sizes) if n and used[i] < most and abs(n - gap) < gap]
+    return sum(u * n for u, n in zip(used, sizes)) + (sizes[min(near)[1]] if near else 0)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_mixing_reads_on_past_long_documents(spark, seed):
+    rng = random.Random(seed)
+    rows = [("a", rng.choice([3, 30, 31])) for _ in range(300)] + [("a", 20_000)] * 3 + [("a", 2_000)] * 4
+    rows += [("b", rng.randrange(1, 600)) for _ in range(400)] + [("c", 9)]
+    frame = spark.createDataFrame([(i + 10_000 * seed, s, "w " * n) for i, (s, n) in enumerate(rows)], "doc_id long, source string, text string")
+    got = mixing.mix(frame, rows_per_part=50, weights=(1, 9, 1)).join(
+        frame.select("doc_id", "source", F.xxhash64(F.lit(3), "doc_id").alias("o")), "doc_id"
+    )
+    got = got.withColumn("part", F.pmod(F.xxhash64("o"), F.lit(-(-len(rows) // 50)))).orderBy("part", "o").collect()
+    for s in "abc":
+        docs = [r for r in got if r["source"] == s]
+        target, taken = docs[0]["target"], sum(r["taken"] for r in docs)
+        assert taken == _read_line([r["size"] for r in docs], target) and taken >= 0.99 * target
+        assert not [r for r in docs if len(r["draws"]) < 3 and r["size"] <= target - taken]
+        assert all(sorted(d["pass"] for d in r["draws"]) == list(range(len(r["draws"]))) for r in docs)
+
+
+def test_mixing_spreads_what_is_read_past_a_long_document(spark):
+    rows = [("a", 20)] * 1500 + [("a", 200_000)] * 3 + [("b", 10_000)] * 40
+    frame = spark.createDataFrame([(i, s, "w " * n) for i, (s, n) in enumerate(rows)], "doc_id long, source string, text string")
+    got = mixing.mix(frame, shards=4, blocks_per_shard=4096, weights=(1, 30), rows_per_part=100).where("size = 20").collect()
+    shard = Counter(d["shard"] for r in got for d in r["draws"])
+    assert len(shard) == 4 and min(shard.values()) > 0.5 * max(shard.values())
