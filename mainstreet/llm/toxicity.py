@@ -178,27 +178,31 @@ class Automaton:
         return last
 
 
-def _sketches(offsets, data):
-    """Per text: the least hash of its words, and its distinct words as text."""
+def _word_sets(offsets, data):
+    """Per text: one hash of the set of its words, and its distinct words as text."""
     offsets, data = fold(offsets, data)
     starts, ends, row = folded_words(offsets, data)
     hashes = blocks.span_hashes(data, starts, ends)
     raw = data.tobytes()
     cut = blocks.row_ranges(row, len(offsets) - 1)
-    least, words = [], []
+    sets, words = [], []
     for a, b in zip(cut[:-1], cut[1:]):
-        least.append(int(hashes[a:b].min() >> np.uint64(1)) if b > a else 0)
-        _, first = np.unique(hashes[a:b], return_index=True)
+        distinct, first = np.unique(hashes[a:b], return_index=True)
+        sets.append(blocks.mix(distinct.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
         long = [raw[starts[a + i] : ends[a + i]] for i in first if ends[a + i] - starts[a + i] <= 40]
         words.append(b" ".join(long).decode("utf-8", "replace"))
-    return [np.array(least, np.int64), words]
+    return [np.array(sets, np.int64), words]
 
 
-def _vocabulary(texts):
-    """Words with the number of toxic and clean rows that have them; near copies count once."""
-    fields = [T.StructField("_sketch", T.LongType()), T.StructField("_words", T.StringType())]
-    rows = blocks.append_columns(texts, "_text", fields, _sketches).drop("_text")
-    rows = rows.dropDuplicates(["_label", "_sketch"])
+def _word_rows(texts):
+    """Label and distinct words of the texts; rows of a label with the very same set of words are one row."""
+    fields = [T.StructField("_set", T.LongType()), T.StructField("_words", T.StringType())]
+    rows = blocks.append_columns(texts, "_text", fields, _word_sets).drop("_text")
+    return rows.dropDuplicates(["_label", "_set"])  # equal sets have equal words, so it does not matter which row stays
+
+
+def _vocabulary(rows):
+    """Words with the number of toxic and clean rows that have them."""
     words = rows.select("_label", F.explode(F.split("_words", " ")).alias("word")).where("word != ''")
     return words.groupBy("word").agg(F.sum("_label").alias("toxic"), F.sum(1 - F.col("_label")).alias("clean"))
 
@@ -344,8 +348,9 @@ def fit(docs, labels, label_col="toxic", train_rows=20_000, id_col="doc_id", tex
     chosen = blocks.first_by_hash(known, F.col("_id"), train_rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     texts = materialise(texts.join(F.broadcast(chosen), "_id").select("_label", "_text"))
-    vocabulary = materialise(_vocabulary(texts))
-    toxic = texts.agg(F.sum("_label")).first()[0] or 0
+    words = materialise(_word_rows(texts))
+    vocabulary = materialise(_vocabulary(words))
+    toxic = words.agg(F.sum("_label")).first()[0] or 0
     detector = Detector(lexicon(vocabulary, support=max(4, toxic // 100)))
     field = [T.StructField("_features", T.BinaryType())]
     rows = blocks.append_columns(texts, "_text", field, lambda o, d: [[r.tobytes() for r in detector.features(o, d)]])

@@ -142,6 +142,20 @@ def test_toxicity_odd_rows(odd, nothing, labels):
     assert untrained.terms == [] and toxicity.score(odd, untrained).count() == 13
 
 
+def test_lexicon_counts_every_different_row(spark):
+    """Rows that share words are counted each; copies, in whatever order of words, once."""
+    common = "you are all such a lot of"
+    toxic = [f"{common} {w} dolts name{chr(97 + i)}" for i, w in enumerate(["blorp"] * 6 + ["grumf"] * 9)]
+    clean = [f"{common} kind people other{chr(97 + i)}" for i in range(20)]
+    rows = [(i, t) for i, t in enumerate(toxic + clean)] + [(99, "dolts BLORP namea you are all such a lot of")]
+    frame = spark.createDataFrame([(int(i < 15 or i == 99), t) for i, t in rows], "_label int, _text string")
+    got = {r["word"]: (r["toxic"], r["clean"]) for r in toxicity._vocabulary(toxicity._word_rows(frame)).collect()}
+    assert got["blorp"] == (6, 0) and got["grumf"] == (9, 0) and got["such"] == (15, 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 15 or i == 99)) for i, _ in rows], "doc_id long, toxic int")
+    assert {"blorp", "grumf", "dolts"} <= {t.text for t in toxicity.fit(docs, labels).terms}
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     left = docs
