@@ -1,6 +1,7 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
-Benchmark items are cut into overlapping windows. A window of m bytes that stands in a document
+Benchmark items are cut into overlapping windows, long ones that may have more edits and short
+ones that find short passages. A window of m bytes that stands in a document
 with at most k edits shares at least m - q + 1 - kq of its q-grams with it, and all of them lie
 within a band of k + 1 diagonals. So the q-grams of a document that also occur in the benchmark
 are counted per window and overlapping diagonal band, regions that reach the count are kept, and
@@ -19,14 +20,17 @@ from mainstreet.llm import blocks
 
 Q = 10
 WINDOW = 80
-STRIDE = 20  # so a passage of WINDOW + STRIDE bytes holds a whole window
+SHORT = 50  # of an item that is longer than that
+STRIDE = 6  # so a passage of SHORT + STRIDE - 1 bytes holds a whole window
 EDITS = 0.08  # of the window's bytes
-BLOCK_BYTES = 4 << 20
+SHORT_EDITS = 2
+BLOCK_BYTES = 1 << 20
 
 _BITS = 22
 _PLAIN = blocks.LOWER_ASCII.copy()
 _PLAIN[[9, 10, 11, 12, 13]] = 32
 _FAR = 1 << 20
+_LOT = 1 << 14  # windows that are aligned at a time
 
 
 class Index:
@@ -38,35 +42,42 @@ class Index:
         self.ids = [i for i, _ in items]
         ends = np.cumsum([0] + [len(t) for t in texts])
         self.bytes = np.concatenate([*texts, np.zeros(0, np.uint8)])
-        first, last, owner = [], [], []
+        first, last, owner, most = [], [], [], []
         for item, t in enumerate(texts):
             n, base = len(t), ends[item]
             if n < Q:
                 continue
-            for at in sorted({*range(0, max(1, n - WINDOW + 1), STRIDE), max(0, n - WINDOW)}):
-                first.append(base + at)
-                last.append(base + min(n, at + WINDOW))
-                owner.append(item)
+            for width, edits in ((WINDOW, _FAR), (SHORT, SHORT_EDITS))[: 1 + (n > SHORT)]:
+                for at in sorted({*range(0, max(1, n - width + 1), STRIDE), max(0, n - width)}):
+                    first.append(base + at)
+                    last.append(base + min(n, at + width))
+                    owner.append(item)
+                    most.append(edits)
         self.first, self.last, self.owner = (np.array(v, np.int64) for v in (first, last, owner))
         length = self.last - self.first
         # at least one shared q-gram is asked for, so fewer edits are allowed in short windows
         self.edits = np.minimum((length * EDITS).astype(np.int64), np.maximum(0, (length - Q) // Q))
+        self.edits = np.minimum(self.edits, np.array(most, np.int64))
         self.least = np.maximum(1, length - Q + 1 - self.edits * Q)
         self.step = max(1, int(self.edits.max())) if len(first) else 1
         self.windows = np.bincount(self.owner, minlength=len(items))
-        # grams and where they occur, by window: (window, position)
-        window = np.repeat(np.arange(len(first)), length - Q + 1)
-        inside = np.arange(len(window)) - np.repeat(np.cumsum(length - Q + 1) - (length - Q + 1), length - Q + 1)
-        position = self.first[window] + inside
-        hashes = blocks.gram_hashes(self.bytes, Q)[position] if len(window) else np.zeros(0, np.uint64)
+        # windows over each position, and grams with the positions where they occur
+        grams = length - Q + 1
+        window = np.repeat(np.arange(len(first), dtype=np.int32), grams)
+        position = self.first[window] + np.arange(len(window)) - np.repeat(np.cumsum(grams) - grams, grams)
+        self.window = window[np.argsort(position, kind="stable")]
+        over = np.bincount(position, minlength=len(self.bytes))
+        self.over = np.concatenate([[0], np.cumsum(over)])
+        position = np.flatnonzero(over)
+        hashes = blocks.gram_hashes(self.bytes, Q)[position] if len(position) else np.zeros(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
-        self.window, self.position = window[order], position[order]
+        self.position = position[order]
         self.grams, self.start, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(self.grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
     def _shared(self, offsets, data):
-        """Position in the block, window and position in the benchmark of every shared q-gram."""
+        """Position in the block, row and position in the benchmark of every shared q-gram."""
         hashes = blocks.gram_hashes(data, Q)
         at = np.flatnonzero(self.maybe[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])
         gram = np.minimum(np.searchsorted(self.grams, hashes[at]), len(self.grams) - 1)
@@ -76,38 +87,61 @@ class Index:
         n = self.count[gram]
         each = np.repeat(np.arange(len(at)), n)
         entry = self.start[gram][each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-        return at[each], row[each], self.window[entry], self.position[entry]
+        return at[each], row[each], self.position[entry]
 
     def regions(self, offsets, data):
         """(row, window, band) of every band with enough shared q-grams."""
-        at, row, window, position = self._shared(offsets, data)
-        diagonal = at - position + len(self.bytes)
-        band = diagonal // self.step
+        at, row, position = self._shared(offsets, data)
+        band = (at - position + len(self.bytes)) // self.step
         bands = (len(data) + len(self.bytes)) // self.step + 2
         # band b holds the diagonals of steps b and b + 1, so every diagonal is in two bands
-        key = (row * len(self.first) + window) * bands
-        keys, n = np.unique(np.concatenate([key + band, key + np.maximum(band - 1, 0)]), return_counts=True)
-        rest, band = keys // bands, keys % bands
-        row, window = rest // len(self.first), rest % len(self.first)
+        wide = len(self.bytes) + WINDOW
+        both = np.concatenate([row * bands + band, row * bands + np.maximum(band - 1, 0)])
+        keys = np.sort(both * wide + np.concatenate([position, position]))
+        # a window with enough of them begins, at the latest, with one that the others follow closely
+        fewest = int(self.least.min())
+        close = keys[fewest - 1 :] - keys[: max(0, len(keys) - fewest + 1)] <= WINDOW - Q
+        begins = np.unique(keys[: len(close)][close])
+        position = begins % wide
+        n = self.over[position + 1] - self.over[position]
+        each = np.repeat(np.arange(len(begins)), n)
+        window = self.window[self.over[position][each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)]
+        rest, window = np.divmod(np.unique((begins // wide)[each] * len(self.first) + window), max(1, len(self.first)))
+        n = np.searchsorted(keys, rest * wide + self.last[window] - Q, "right") - np.searchsorted(keys, rest * wide + self.first[window])
         good = n >= self.least[window]
-        return row[good], window[good], band[good]
+        row, band = np.divmod(rest[good], bands)
+        return row, window[good], band
 
     def align(self, offsets, data, row, window, band):
-        """Edit distance of each window to the text within its band, and where it ends in the text."""
+        """Edit distance of each window to the text within its band, and where it ends in the text.
+
+        A window that has more edits than it may have is given up, with a distance that is far.
+        """
+        best, end = np.full(len(row), _FAR, np.int32), np.zeros(len(row), np.int64)
+        for low in range(0, len(row), _LOT):
+            which = np.arange(low, min(low + _LOT, len(row)))
+            self._align(offsets, data, row, window, band, which, best, end)
+        return best, np.clip(end, offsets[row], offsets[row + 1])
+
+    def _align(self, offsets, data, row, window, band, which, best, end):
+        row, window, band = row[which], window[which], band[which]
         k = self.step
         low = band * k - len(self.bytes) - k  # lowest diagonal of the band, with room for the edits
         width = 4 * k + 1
         column = np.arange(width)
         cost = np.zeros((len(row), width), np.int32)  # the text before the window is free
         length = self.last[window] - self.first[window]
-        best = np.full(len(row), _FAR, np.int32)
-        end = np.zeros(len(row), np.int64)
         begin, stop = offsets[row], offsets[row + 1]
-        padded = np.append(data, np.uint8(0))
-        for j in range(int(length.max()) if len(row) else 0):
+        for j in range(int(length.max())):
+            if j % 8 == 0:  # the least cost never falls, so these stay too far
+                go = (cost.min(1) <= self.edits[window]) & (length > j)
+                which, window, low, cost = which[go], window[go], low[go], cost[go]
+                length, begin, stop = length[go], begin[go], stop[go]
+                if not len(which):
+                    break
             at = (self.first[window] + j + low)[:, None] + column
             inside = (at >= begin[:, None]) & (at < stop[:, None])
-            letter = padded[np.where(inside, at, len(data))]
+            letter = data[np.where(inside, at, 0)]
             wanted = self.bytes[np.minimum(self.first[window] + j, len(self.bytes) - 1)]
             change = cost + np.where(inside & (letter == wanted[:, None]), 0, 1)
             skip = np.full_like(cost, _FAR)
@@ -120,9 +154,8 @@ class Index:
             over = j + 1 == length
             if over.any():
                 where = cost[over].argmin(1)
-                best[over] = cost[over][np.arange(len(where)), where]
-                end[over] = (self.last[window[over]] - 1 + low[over]) + where + 1
-        return best, np.clip(end, begin, stop)
+                best[which[over]] = cost[over][np.arange(len(where)), where]
+                end[which[over]] = (self.last[window[over]] - 1 + low[over]) + where + 1
 
     def find(self, offsets, data):
         """Per text and item with a match: row, item, windows found, least distance, start and end in the text."""

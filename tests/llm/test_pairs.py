@@ -202,6 +202,17 @@ def test_decontamination_windows_cover_passages():
         assert (np.diff(np.sort(index.first)) <= decontamination.STRIDE).all()
 
 
+@pytest.mark.parametrize("length", [55, 60, 73, 80])
+def test_decontamination_finds_short_passages_wherever_they_start(length):
+    rng = random.Random(length)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    item = word(400)
+    index = decontamination.Index([(0, item)])
+    docs = [(word(90) + item[at : at + length] + word(90)).encode() for at in range(400 - length + 1)] + [word(300).encode()]
+    found = index.find(np.cumsum([0] + [len(d) for d in docs]), np.frombuffer(b"".join(docs), np.uint8))
+    assert list(found[0]) == list(range(len(docs) - 1))
+
+
 def test_decontamination_odd_rows(spark, odd, nothing, monkeypatch):
     items = [(1, "one two three four five six seven"), (2, None), (3, ""), (4, "short"), (None, "two words and then some more of it"), (5, "ipsum dolor " * 20)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
