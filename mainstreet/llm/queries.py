@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from mainstreet.llm import blocks, decontamination, embeddings, infill, language, minhash, mixing, quality, repeats, scoring, sharding, toxicity
+from mainstreet.llm import blocks, decontamination, embeddings, infill, language, manifest, minhash, mixing, quality, repeats, scoring, sharding, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -188,6 +188,74 @@ def op11_infill(spark, sf_dir):
     )
 
 
+_MANIFEST_SQL = """
+WITH RECURSIVE d AS (
+  SELECT *, CASE WHEN n_chars IS NOT NULL AND crc % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS told
+  FROM (SELECT doc_id, source, lang, n_chars, text, TAMPER AS crc FROM documents) t
+), e AS (
+  SELECT doc_id, lang, sha256(PARTS(n_chars)) AS leaf, sha256(PARTS(told)) AS tampered FROM d
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS m FROM e
+), up AS (
+  SELECT lang, 0 AS lv, i AS j, m, leaf AS h FROM l
+  UNION ALL
+  SELECT lang, lv + 1, j // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY j)) FROM up WHERE m > 1 GROUP BY lang, lv, j // 2, m
+), subs AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS m FROM up WHERE m = 1
+), over_subs AS (
+  SELECT 0 AS lv, i AS j, m, subroot AS h FROM subs
+  UNION ALL
+  SELECT lv + 1, j // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY j)) FROM over_subs WHERE m > 1 GROUP BY lv, j // 2, m
+), steps AS (
+  SELECT l.lang, l.i, up.lv AS step, l.i // (1 << up.lv) % 2 AS slot, s.h
+  FROM l JOIN (SELECT DISTINCT lang, lv FROM up WHERE m > 1) up ON up.lang IS NOT DISTINCT FROM l.lang
+    LEFT JOIN up s ON s.lang IS NOT DISTINCT FROM l.lang AND s.lv = up.lv AND s.j = xor(l.i // (1 << up.lv), 1)
+  UNION ALL
+  SELECT l.lang, l.i, 100 + o.lv, x.i // (1 << o.lv) % 2, s.h
+  FROM l JOIN subs x ON x.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT DISTINCT lv FROM over_subs WHERE m > 1) o ON true
+    LEFT JOIN over_subs s ON s.lv = o.lv AND s.j = xor(x.i // (1 << o.lv), 1)
+), paths AS (
+  SELECT lang, i, list({'slot': slot, 'h': coalesce(h, '')} ORDER BY step) AS path, string_agg(h, '' ORDER BY step) AS proof FROM steps GROUP BY lang, i
+), folded AS (
+  SELECT l.lang, l.i, 0 AS k, tampered AS h, path FROM l LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM l.lang AND p.i = l.i
+  UNION ALL
+  SELECT lang, i, k + 1, sha256(CASE WHEN path[k + 1].slot = 1 THEN path[k + 1].h || h ELSE h || path[k + 1].h END), path
+  FROM folded WHERE k < coalesce(len(path), 0)
+)
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM l JOIN subs x ON x.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT h FROM over_subs WHERE m = 1) r ON true
+  LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM l.lang AND p.i = l.i
+  JOIN folded f ON f.lang IS NOT DISTINCT FROM l.lang AND f.i = l.i AND f.k = coalesce(len(p.path), 0)"""
+
+# DuckDB has no crc32, so it is worked out bit by bit: the digits of the id, then eight steps a byte.
+_CRC_SQL = """(SELECT xor(list_reduce(list_prepend(4294967295, flatten([[CAST(ascii(ch) AS BIGINT) + 1000, -1, -1, -1, -1, -1, -1, -1, -1]
+  for ch in string_split(coalesce(CAST(doc_id AS VARCHAR), ''), '')])),
+  lambda c, x: CASE WHEN x >= 1000 THEN xor(c, x - 1000) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295))"""
+
+
+def _parts_sql(chars):
+    one = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0}, '-')"
+    return " || ".join(one.format(c) for c in ("doc_id", "source", "lang", chars, "text"))
+
+
+for _chars in ("n_chars", "told"):
+    _MANIFEST_SQL = _MANIFEST_SQL.replace(f"PARTS({_chars})", _parts_sql(_chars))
+_MANIFEST_SQL = _MANIFEST_SQL.replace("TAMPER", _CRC_SQL)
+
+
+@query("op12_manifest", _MANIFEST_SQL)
+def op12_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    chars = F.when(blocks.remainder(F.col("doc_id"), 7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    told = manifest.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), chars, F.col("text")])
+    tree = manifest.documents(docs, told.alias("told"))
+    folded = tree.withColumn("folded_root", manifest.fold(F.col("told")))
+    return folded.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest().alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
