@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from mainstreet.llm import blocks, decontamination, embeddings, infill, language, manifest, minhash, mixing, quality, repeats, scoring, sharding, toxicity
+from mainstreet.llm import blocks, decontamination, embeddings, infill, language, manifest, minhash, mixing, neighbours, quality, repeats, scoring, sharding, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -256,6 +256,12 @@ def op12_manifest(spark, sf_dir):
     )
 
 
+@query("op13_neighbours")
+def op13_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(neighbours.fit(vectors), vectors.where(F.col("vec_id") % 20 == 0))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
