@@ -8,7 +8,7 @@ from mainstreet import schemas
 from mainstreet.functions import contact, fixed, text
 from mainstreet.operators import cleaning
 from mainstreet.plans.workspace import new_path
-from mainstreet.sources import tables
+from mainstreet.sources import stores, tables
 
 c = F.col
 TEXT = schemas.BUSINESS_COLUMNS
@@ -84,12 +84,35 @@ def sink_json_docs(spark, sf):
     ),
 )
 def sink_page_specs(spark, sf):
-    path = tables.write_page_specs(fixtures.page_specs(spark, sf), new_path(spark, "page_specs"))
+    path = stores.write_page_specs(fixtures.page_specs(spark, sf), new_path(spark, "page_specs"))
     return spark.read.parquet(path).select(
         c("gen_date").cast("string").alias("gen_date"), "business_id", "page_pos", c("seo.slug").alias("slug")
     )
 
 
+_DATED = "SELECT *, strftime(to_timestamp(1704067200 + page_pos * 3600) AT TIME ZONE 'UTC', '%Y%m%d') AS gen_date FROM page_specs"
+
+
+@query(
+    "sink_page_specs_again",
+    over(
+        "SELECT gen_date, business_id, page_pos, slug FROM (SELECT *, row_number() OVER (PARTITION BY gen_date, business_id"
+        " ORDER BY turn DESC, page_pos DESC) AS rn FROM written) t WHERE rn = 1",
+        "page_specs",
+        dated=_DATED,
+        written="SELECT 1 AS turn, gen_date, business_id, page_pos, slug FROM dated WHERE page_pos % 3 < 2 UNION ALL"
+        " SELECT 2, gen_date, business_id, page_pos, slug || '-again' FROM dated WHERE page_pos % 3 > 0 AND page_pos % 48 < 24",
+    ),
+)
+def sink_page_specs_again(spark, sf):
+    """A second write that brings specs of every other day, some of them for a second time."""
+    pages, path = fixtures.page_specs(spark, sf), new_path(spark, "page_specs")
+    stores.write_page_specs(pages.where("page_pos % 3 < 2"), path)
+    renamed = pages.withColumn("seo", c("seo").withField("slug", F.concat("seo.slug", F.lit("-again"))))
+    stores.write_page_specs(renamed.where("page_pos % 3 > 0 AND page_pos % 48 < 24"), path)
+    return stores.read_page_specs(spark, path).select("gen_date", "business_id", "page_pos", c("seo.slug").alias("slug"))
+
+
 @query(
     "sink_traces",
     "WITH attempts AS (" + fixtures.attempts_sql() + ") SELECT strftime(ts, '%Y%m%d') AS trace_date, count(*) * 2 AS n FROM attempts GROUP BY 1",
@@ -112,7 +135,25 @@ def sink_traces(spark, sf):
     ),
 )
 def upsert_status(spark, sf):
-    return tables.latest_status(fixtures.status_log(spark, sf)).drop("updated_at")
+    return stores.latest_status(fixtures.status_log(spark, sf)).drop("updated_at")
+
+
+@query(
+    "status_compaction",
+    over(
+        "SELECT execution_id, stage, stage_no, processed_businesses, successful_pages FROM (SELECT *, row_number() OVER ("
+        "PARTITION BY execution_id ORDER BY updated_at DESC, stage_no DESC) AS rn FROM status_log) t WHERE rn = 1",
+        "status_log",
+    ),
+)
+def status_compaction(spark, sf):
+    """Two writes, a compaction, a third write, a compaction, a fourth write, and a read."""
+    log, path = fixtures.status_log(spark, sf), new_path(spark, "status")
+    for turn in range(4):
+        stores.append_status(log.where(c("stage_no") % 4 == turn), path)
+        if turn in (1, 2):
+            stores.compact_status(spark, path)
+    return stores.read_status(spark, path).drop("updated_at")
 
 
 @query(
@@ -127,8 +168,9 @@ def upsert_status(spark, sf):
 )
 def latest_page_specs(spark, sf):
     specs = fixtures.page_specs(spark, sf).select("page_pos", "business_id", "generated_at")
-    kept = tables.keep_last_spec(specs).withColumn("_corrupt", F.when(c("page_pos") % 9 == 0, F.lit("{")))
-    return tables.latest_page_specs(kept).select("gen_date", "business_id", "page_pos")
+    marked = specs.withColumn("_corrupt", F.when(c("page_pos") % 9 == 0, F.lit("{")))
+    path = stores.write_page_specs(marked, new_path(spark, "page_specs"))
+    return stores.latest_page_specs(spark, path).select("gen_date", "business_id", "page_pos")
 
 
 @query(
@@ -137,10 +179,30 @@ def latest_page_specs(spark, sf):
 )
 def register_table(spark, sf):
     path = tables.save_result(fixtures.businesses(spark, sf, False), new_path(spark, "raw"))
-    tables.register(spark, "listings", path)
+    stores.register(spark, "listings", path)
     return spark.sql("SELECT category, count(*) AS n FROM listings GROUP BY category")
 
 
+@query(
+    "register_table_grown",
+    over(
+        "SELECT category, count(*) AS n, count(rating) AS rated, sum(review_count) AS reviews FROM (SELECT category, rating,"
+        " CASE WHEN k % 2 = 1 THEN review_count END AS review_count FROM business_core) b GROUP BY category",
+        "business_core",
+    ),
+)
+def register_table_grown(spark, sf):
+    """Later files bring a column that the first ones lack; it shows up through the name."""
+    b, path = fixtures.businesses(spark, sf, False), new_path(spark, "raw")
+    b.where("pos % 2 = 0").drop("review_count").write.parquet(path)
+    stores.register(spark, "grown_listings", path)
+    b.where("pos % 2 = 1").write.mode("append").parquet(path)
+    stores.register(spark, "grown_listings", path)
+    return spark.sql(
+        "SELECT category, count(*) AS n, count(rating) AS rated, sum(review_count) AS reviews FROM grown_listings GROUP BY category"
+    )
+
+
 @query(
     "query_result_sink",
     over(

@@ -13,7 +13,7 @@ from mainstreet.functions import checks
 from mainstreet.operators import cleaning, linking, quality, responses, site
 from mainstreet.operators.content import with_checks
 from mainstreet.operators.shuffles import number_rows
-from mainstreet.sources import tables
+from mainstreet.sources import stores, tables
 
 c = F.col
 
@@ -55,11 +55,12 @@ class _Run:
     def status(self, no, stage, total, ok, errors=()):
         now = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
         row = (self.execution_id, no, stage, total, ok, total - ok, self.started, now, list(errors))
-        self.spark.createDataFrame(
+        line = self.spark.createDataFrame(
             [row],
             "execution_id string, stage_no int, stage string, total_businesses long, successful_pages long, "
             "failed_pages long, start_time timestamp, updated_at timestamp, errors array<string>",
-        ).write.mode("append").parquet(f"{self.out}/status")
+        )
+        stores.append_status(line, f"{self.out}/status")
 
 
 def run_stages(spark, source, out, execution_id, generate=None, review=rule_feedback, day=None,
@@ -113,4 +114,4 @@ def run_stages(spark, source, out, execution_id, generate=None, review=rule_feed
         "execution_report": run.keep("execution_report", site.execution_report(rendered, execution_id)),
     }
     run.status(5, "publish", counts.total, counts.successful)
-    return {**out_tables, "status": tables.latest_status(spark.read.parquet(f"{out}/status"))}
+    return {**out_tables, "status": stores.read_status(spark, f"{out}/status")}

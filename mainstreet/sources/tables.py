@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mainstreet import schemas
-from mainstreet.operators.shuffles import checked_broadcast, first_rows
 
 
 def read_businesses(spark, path, multi_line=False, fmt=None):
@@ -101,30 +100,6 @@ def write_pages(df, path, buckets=64):
     return path
 
 
-def keep_last_spec(df):
-    """The last page spec per day and business; later writes replace earlier ones.
-
-    The winners are found on keys alone, so the texts of the pages are not sorted or shuffled for it
-    unless the winners are too many to be sent to every task.
-    """
-    dated = df.withColumn("gen_date", F.date_format("generated_at", "yyyyMMdd"))
-    keys = dated.select("gen_date", "business_id", "generated_at", "page_pos")
-    last = first_rows(keys, ["gen_date", "business_id"], [F.col("generated_at").desc(), F.col("page_pos").desc()])
-    return dated.join(checked_broadcast(last.select("page_pos", "gen_date")), ["page_pos", "gen_date"], "left_semi")
-
-
-def write_page_specs(df, path):
-    """Page specs by day, one per business and day. A day is written by as many tasks as its size asks for."""
-    keep_last_spec(df).hint("rebalance", F.col("gen_date")).write.mode("overwrite").partitionBy("gen_date").parquet(path)
-    return path
-
-
-def latest_page_specs(df, n=100):
-    """Specs of the last ``n`` (day, business) keys; the limit comes before unreadable ones are dropped."""
-    recent = df.orderBy(F.col("gen_date").desc(), F.col("business_id").desc()).limit(n)
-    return recent.where(F.col("_corrupt").isNull()) if "_corrupt" in df.columns else recent
-
-
 def append_traces(df, path):
     """Add traces to the log, by day."""
     dated = df.withColumn("trace_date", F.date_format("created_at", "yyyyMMdd"))
@@ -133,20 +108,6 @@ def append_traces(df, path):
     return path
 
 
-def latest_status(df):
-    """The last status row of each execution."""
-    fields = [name for name in df.columns if name != "execution_id"]
-    last = F.max_by(F.struct(*fields), F.struct("updated_at", "stage_no")).alias("last")
-    return df.groupBy("execution_id").agg(last).select("execution_id", "last.*")
-
-
-def register(spark, name, path, fmt="parquet"):
-    """Name the files under ``path`` as a table; columns that later files add are merged in."""
-    reader = spark.read.option("mergeSchema", True) if fmt == "parquet" else spark.read.option("header", True)
-    reader.format(fmt).load(path).createOrReplaceTempView(name)
-    return spark.table(name)
-
-
 def save_result(df, path, fmt="parquet"):
     """Keep the result of a query under an output location."""
     df.write.mode("overwrite").format(fmt).save(path)
