@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from mainstreet import schemas
 from mainstreet.functions import fixed, scores, text
-from mainstreet.operators import cleaning, linking
+from mainstreet.operators import answers, cleaning, linking
 
 c = F.col
 
@@ -78,34 +78,16 @@ def normalised_seo(seo="seo"):
     ).withField("keywords", text.clean_keywords(part["keywords"]))
 
 
-def _answers(ready, fn, callers):
-    """What ``fn`` says about each row, with what went wrong."""
-
-    def call(batches):
-        for batch in batches:
-            answers, problems = [], []
-            for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
-                try:
-                    answers.append(fn(row))
-                    problems.append(None)
-                except Exception as problem:  # noqa: BLE001 - the row is reported as failed
-                    answers.append(None)
-                    problems.append(str(problem))
-            yield batch[["pos", "business_id"]].assign(response=answers, problem=problems)
-
-    # the answers are kept by the stage that calls this, so a model is not asked twice
-    answers = ready.repartition(callers, "pos").mapInPandas(call, "pos long, business_id string, response string, problem string")
-    return parse_responses(answers, schemas.PAGE_SPEC).select("pos", "business_id", "problem", c("parsed").alias("spec"))
-
-
-def generate_pages(b, fn=None, callers=None):
+def generate_pages(b, fn=None, callers=None, log=None):
     """A page spec for every business: by ``template_page`` in columns, or by calling ``fn``.
 
     ``fn`` stands for a model. It gets one row as a dict, with the ``prompt`` of the business, and
     returns JSON text or None; an exception counts as a failure of that row. Batches come through
     Arrow, and all checks of the answers run as columns. ``callers`` is the number of tasks that
     call at the same time; rows are small and calls are slow, so it does not follow the size of the
-    input but, unless given, the session's number of shuffle partitions.
+    input but, unless given, the session's number of shuffle partitions. ``log`` names a folder for
+    the answers of this execution; with it, a task or a run that starts again asks nobody a second
+    time (see ``answers``).
     """
     ready = b.withColumns(
         {
@@ -124,7 +106,8 @@ def generate_pages(b, fn=None, callers=None):
         answered = ready.select("pos", "business_id", F.lit(None).cast("string").alias("problem"), template_page().alias("spec"))
     else:
         callers = callers or int(b.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        answered = _answers(linking.build_prompts(ready, "full"), fn, callers)
+        said = answers.answers(linking.build_prompts(ready, "full"), fn, callers, log)
+        answered = parse_responses(said, schemas.PAGE_SPEC).select("pos", "business_id", "problem", c("parsed").alias("spec"))
     found = answered.select("pos", "business_id", "problem", "spec.*", c("spec").isNotNull().alias("has_spec"))
     found = found.withColumn("seo", F.when(c("seo").isNotNull(), normalised_seo()))
     broken = cleaning.page_spec_errors()
