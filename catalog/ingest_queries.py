@@ -233,6 +233,17 @@ def explode_envelope(spark, sf):
     return tables.explode_rows(trimmed, "businesses", keep=["batch"])
 
 
+@query(
+    "split_envelope",
+    over("SELECT '2024-06-01' AS day, k AS pos, business_id, city, state FROM business_core", "business_core"),
+)
+def split_envelope(spark, sf):
+    """All listings as one envelope of lines, read in parts."""
+    rows = fixtures.businesses(spark, sf, False).select("pos", "business_id", "city", "state")
+    path = tables.write_envelope(rows, new_path(spark, "envelope"), {"day": "2024-06-01", "total": 1})
+    return tables.read_envelope(spark, path, "business_id string, city string, state string", "day string")
+
+
 @query(
     "stage_summary",
     over(

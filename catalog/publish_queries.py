@@ -199,6 +199,39 @@ def _published(spark, sf, **options):
     return out.drop("query_generated_at")
 
 
+# Listings with ids that stand in two rows, and with rows without id.
+_REPEATED = (
+    "SELECT k, CASE WHEN k % 11 = 0 THEN NULL ELSE business_id END AS business_id, * EXCLUDE (k, business_id) FROM businesses"
+    " UNION ALL SELECT k, business_id, * EXCLUDE (k, business_id) REPLACE (round(5.0 - coalesce(rating, 2.0) / 2, 1) AS rating) FROM businesses WHERE k % 3 = 0"
+    " UNION ALL SELECT k, business_id, * EXCLUDE (k, business_id) FROM businesses WHERE k % 5 = 0"
+)
+_ALL_RANKS = (
+    "SELECT business_id, rating, review_count, round(priority_score, 2) AS priority_score,"
+    " row_number() OVER (ORDER BY priority_score DESC, rating DESC NULLS LAST, review_count DESC NULLS LAST, business_id NULLS LAST) AS publication_rank,"
+    " row_number() OVER (ORDER BY priority_score DESC, rating DESC NULLS LAST, business_id NULLS LAST, review_count DESC NULLS LAST) AS place"
+    f" FROM (SELECT *, {SCORE} AS priority_score, {COMPLETENESS} AS data_completeness FROM many WHERE {_PRESENT}) t"
+    " WHERE data_completeness = 'COMPLETE' AND priority_score >= 15"
+)
+
+
+@query(
+    "publish_list_repeated",
+    over(
+        "SELECT * EXCLUDE (place), CASE WHEN place <= 25 THEN 'BATCH_1_HIGH_PRIORITY' WHEN place <= 75 THEN 'BATCH_2_MEDIUM_PRIORITY'"
+        " WHEN place <= 150 THEN 'BATCH_3_STANDARD' ELSE 'BATCH_4_FUTURE' END AS processing_batch FROM ranks",
+        "businesses", many=_REPEATED, ranks=_ALL_RANKS,
+    ),
+)
+def publish_list_repeated(spark, sf):
+    """Every listed row has a rank and a batch of its own, whether its id is repeated or null."""
+    b = _listings(spark, sf)
+    without = b.withColumn("business_id", F.when(c("pos") % 11 != 0, c("business_id")))
+    other = b.where("pos % 3 = 0").withColumn("rating", F.round(5.0 - F.coalesce("rating", F.lit(2.0)) / 2, 1))
+    many = without.unionByName(other).unionByName(b.where("pos % 5 = 0"))
+    listed = publication.publish_list(many, min_score=15.0, market=_listings(spark, sf, False))
+    return listed.select("business_id", "rating", "review_count", "priority_score", "publication_rank", "processing_batch")
+
+
 @query("publish_list", _publish_sql(30))
 def publish_list(spark, sf):
     return _published(spark, sf)

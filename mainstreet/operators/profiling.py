@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mainstreet.functions import scores
-from mainstreet.operators.shuffles import checked_broadcast
+from mainstreet.operators.shuffles import null_safe_lookup
 
 c = F.col
 
@@ -207,18 +207,12 @@ def top_rated(b, k=5):
     ranked = (
         best.withColumn("category_rank", F.coalesce(better, F.lit(0)) + 1)
         .where(c("category_rank") <= k)
-        .select("category", "rating", c("review_count").alias("_reviews"), "category_rank")
-    )
-    r = rated.alias("r")
-    v = checked_broadcast(ranked).alias("v")
-    same = (
-        (c("r.category") == c("v.category"))
-        & (c("r.rating") == c("v.rating"))
-        & c("r.review_count").eqNullSafe(c("v._reviews"))
-    )
-    return r.join(v, same).select(
-        "r.category", "r.name", "r.city", "r.state", "r.rating", "r.review_count", "v.category_rank"
+        .select("category", "rating", "review_count", "category_rank", "n")
     )
+    # many rows may share one of these values, so they are looked up and not joined on their key alone
+    shown = rated.select("category", "name", "city", "state", "rating", "review_count")
+    found = null_safe_lookup(shown, ranked, ["category", "rating", "review_count"], ["name", "city", "state"], counted="n")
+    return found.where(c("category_rank").isNotNull()).drop("n")
 
 
 def anomalies(b):

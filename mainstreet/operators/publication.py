@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mainstreet.functions import scores, text
 from mainstreet.operators.shuffles import global_rank, lookup
+from mainstreet.plans.workspace import materialise
 from mainstreet.schemas import BUSINESS_COLUMNS
 
 c = F.col
@@ -12,7 +13,7 @@ _MARKET = ["city", "state"]
 
 
 def _by_score(*more):
-    return [c("priority_score").desc(), c("rating").desc_nulls_last(), *more, c("business_id")]
+    return [c("priority_score").desc(), c("rating").desc_nulls_last(), *more, c("business_id").asc_nulls_last()]
 
 
 def candidates(b):
@@ -93,15 +94,21 @@ _BATCHES = [(25, "BATCH_1_HIGH_PRIORITY"), (75, "BATCH_2_MEDIUM_PRIORITY"), (150
 _LAST_BATCH = "BATCH_4_FUTURE"
 
 
-def processing_batch(df):
-    """Batch by score and rating. Only the first 150 rows need a rank; all others are in the last batch."""
-    first = df.select("business_id", "priority_score", "rating").orderBy(*_by_score()).limit(_BATCHES[-1][0])
-    place = F.row_number().over(Window.orderBy(*_by_score()))  # of 150 rows
+def processing_batch(df, key=None):
+    """Batch by score and rating. Only the first 150 rows need a rank; all others are in the last batch.
+
+    ``key`` names a column that tells all rows apart. Without one the rows are stored to give each a
+    place, because ids may be null or stand in several rows.
+    """
+    if key is None:
+        return processing_batch(materialise(df.withColumn("_at", F.monotonically_increasing_id())), "_at").drop("_at")
+    order = _by_score() + [c("review_count").desc_nulls_last(), c(key)]
+    first = df.select(key, "business_id", "priority_score", "rating", "review_count").orderBy(*order).limit(_BATCHES[-1][0])
+    place = F.row_number().over(Window.orderBy(*order))  # of 150 rows
     batch = scores.label([(c("place") <= last, name) for last, name in _BATCHES], _LAST_BATCH)
-    named = first.withColumn("place", place).groupBy("business_id").agg(F.min("place").alias("place"))
-    named = named.select("business_id", batch.alias("processing_batch"))
+    named = first.withColumn("place", place).select(key, batch.alias("processing_batch"))
     # 150 rows
-    found = df.join(F.broadcast(named), "business_id", "left")
+    found = df.join(F.broadcast(named), key, "left")
     return found.withColumn("processing_batch", F.coalesce("processing_batch", F.lit(_LAST_BATCH)))
 
 
@@ -131,21 +138,26 @@ def publish_list(b, min_score=30.0, market=None):
     """Complete candidates that reach ``min_score``, with context, suggestions, rank and batch, in order of rank.
 
     The score filter comes before all joins, so market context is looked up for listed rows only.
-    Ranks are found on the id and the sort keys alone. ``market`` is the table over which market
+    Ranks are found on the sort keys and a hash of the row, so rows with the same id, or without
+    one, have ranks of their own. ``market`` is the table over which market
     context is taken, ``b`` itself unless given; it needs id, name, category, city and state.
     """
     market = b if market is None else market
     listed = with_scores(candidates(b)).where(
         (c("data_completeness") == "COMPLETE") & (c("priority_score") >= min_score)
     )
-    keys = ["business_id", "priority_score", "rating", "review_count"]
-    ranked = processing_batch(publication_rank(listed.select(*keys)))
-    placed = ranked.groupBy("business_id").agg(
-        F.min("publication_rank").alias("publication_rank"), F.first("processing_batch").alias("processing_batch")
-    )
+    # ids may be null or repeated, so a row is told from others by a hash of all it holds
+    names = listed.columns
+    listed = listed.withColumns({"_row": F.xxhash64(*names), "_row2": F.xxhash64(F.lit(2), *names)})
+    slim = listed.select("_row", "_row2", "business_id", "priority_score", "rating", "review_count")
+    order = [*_by_score(c("review_count").desc_nulls_last()), c("_row"), c("_row2")]
+    ranked = processing_batch(global_rank(slim, order, "publication_rank"), "publication_rank")
+    ranked = ranked.select("_row", "_row2", "publication_rank", "processing_batch")
+    # rows that are alike in everything are one here; each of them has its rank
+    distinct = listed.dropDuplicates(["_row", "_row2"])
     return (
-        with_market(listed, market)
-        .join(placed, "business_id", "left")
+        with_market(ranked.join(distinct, ["_row", "_row2"]), market)
+        .select(*names, "local_competition", "city_business_count", "related_count", "publication_rank", "processing_batch")
         .withColumns(
             {**suggestions(), "priority_score": F.round("priority_score", 2), "query_generated_at": F.current_timestamp()}
         )

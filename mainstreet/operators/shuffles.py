@@ -1,5 +1,6 @@
 """Joins, ranks and choices that stay balanced when one key holds much of the data."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,27 @@ def checked_broadcast(table):
     return F.broadcast(stored) if fits(stored) else stored
 
 
+def _told(df, keys):
+    """Columns by which null is a key like others: a flag and the value, or any value in place of null."""
+    return {
+        name: column
+        for i, key in enumerate(keys)
+        for name, column in (
+            (f"_null{i}", F.col(key).isNull()),
+            (f"_key{i}", F.coalesce(F.col(key), F.lit("0").cast(df.schema[key].dataType))),
+        )
+    }
+
+
+def null_safe_lookup(facts, table, keys, spread, counted=None):
+    """:func:`lookup` where null equals null in the keys, which are numbers or texts."""
+    flagged = [n for i in range(len(keys)) for n in (f"_null{i}", f"_key{i}")]
+    found = lookup(
+        facts.withColumns(_told(facts, keys)), table.withColumns(_told(table, keys)).drop(*keys), flagged, spread, counted
+    )
+    return found.drop(*flagged)
+
+
 def lookup(facts, table, keys, spread, counted=None):
     """Left join ``facts`` to ``table``, which has one row per ``keys``.
 
@@ -125,8 +147,23 @@ def _number(placed, name):
 
 
 def number_rows(df, name="row_idx"):
-    """Number the rows of a file scan: in input order within a file, file by file as Spark packs them into tasks."""
-    return _number(_placed(df), name)
+    """Number the rows of a file scan in input order: files by their path, rows as they stand in the file.
+
+    ``df`` is a scan with projections on top. A row is addressed by its file, the byte at which its
+    part of the file begins, and its place within that part, so the numbers do not depend on how
+    parts are packed into tasks or how large they are. Rows that do not come from files are numbered
+    partition by partition.
+    """
+    try:
+        placed = _placed(df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")))
+    except AnalysisException:  # not a scan of files
+        return _number(_placed(df), name)
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per part of a file
+    parts = placed.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    offsets = parts.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    numbered = placed.join(F.broadcast(offsets), ["_file", "_start"])
+    return numbered.withColumn(name, F.col("_offset") + F.col("_mid") - F.col("_first") + 1).select(*df.columns, name)
 
 
 def global_rank(df, order, name):

@@ -1,9 +1,12 @@
 """Reading business files and keeping stage tables, documents and reports."""
 
+import json
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mainstreet import schemas
+from mainstreet.sources import folders
 
 
 def read_businesses(spark, path, multi_line=False, fmt=None):
@@ -120,6 +123,46 @@ def explode_rows(docs, field, keep=()):
     return rows.select(*keep, "pos", "row.*")
 
 
+def write_envelope(rows, path, header):
+    """An envelope that can be read in parts: its own fields as one small document, its rows as lines.
+
+    ``rows`` has the columns of the rows and ``pos``, their position; ``header`` is a dict.
+    """
+    rows.write.json(f"{path}/rows")
+    folders.write_note(rows.sparkSession, f"{path}/header.json", json.dumps(header, default=str))
+    return path
+
+
+def read_envelope(spark, path, schema, keep=""):
+    """The rows of an envelope as from :func:`explode_rows`, in as many tasks as their files ask for.
+
+    ``schema`` describes a row, ``keep`` the fields of the header to carry along, both as DDL. The
+    header is one small document, read by the driver; a header that is missing or malformed gives nulls.
+    """
+    fields = T.StructType.fromDDL(f"pos long, {schema}")
+    rows = spark.read.schema(fields).json(f"{path}/rows")
+    kept = T.StructType.fromDDL(keep) if keep else T.StructType()
+    text = folders.read_note(spark, f"{path}/header.json") or "{}"
+    header = F.from_json(F.lit(text), kept) if keep else None
+    return rows.select(*[header[f.name].alias(f.name) for f in kept.fields], *fields.names)
+
+
+def split_envelope(spark, path, out, schema, field, tasks=None):
+    """Turn the document at ``path`` with its rows in the array ``field`` into the form of :func:`write_envelope`.
+
+    One document is read by one task, this once; the lines it leaves are dealt to ``tasks`` files
+    and read in parts ever after. Its other top-level fields become the header.
+    """
+    whole = T.StructType.fromDDL(schema)
+    docs = read_docs(spark, path, whole).where(F.col("_corrupt").isNull()).drop("_corrupt")
+    rows = docs.select(F.posexplode(field).alias("pos", "row")).select("pos", "row.*")
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    others = [f.name for f in whole.fields if f.name != field]
+    # the fields of one document without its rows
+    first = docs.select(F.to_json(F.struct(*others)) if others else F.lit("{}")).first()
+    return write_envelope(rows.repartition(tasks, "pos"), out, json.loads(first[0]) if first else {})
+
+
 def stage_summary(df, success):
     """Row, success and failure counts of a stage; ``success`` is a boolean column."""
     ok = F.count_if(success)

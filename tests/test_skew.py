@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import fixtures
-from mainstreet.operators import publication
+from mainstreet.operators import profiling, publication
 from mainstreet.operators import shuffles
 from mainstreet.operators.shuffles import first_rows, global_rank, lookup, number_rows
 
@@ -61,6 +61,45 @@ def test_numbers_follow_the_input(spark):
     assert [r.row_idx - 1 for r in number_rows(rows).orderBy("id").collect()] == list(range(1000))
 
 
+@pytest.mark.parametrize("size", ["300", "1k", "128m"])
+def test_numbers_do_not_depend_on_how_files_are_read(spark, tmp_path, size):
+    rows = [f"{i},v{i}" for i in range(900)]
+    for name, part in (("b", rows[:500]), ("a", rows[500:700]), ("c", rows[700:])):
+        (tmp_path / f"{name}.csv").write_text("\n".join(["id,v", *part]) + "\n")
+    (tmp_path / "empty.csv").write_text("id,v\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        read = spark.read.option("header", True).csv(str(tmp_path)).select("v", c("id").cast("int").alias("id"))
+        got = [(r.row_idx, r.id, r.v) for r in number_rows(read).orderBy("row_idx").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    order = [*range(500, 700), *range(500), *range(700, 900)]
+    assert got == [(n + 1, i, f"v{i}") for n, i in enumerate(order)]
+
+
+def test_null_safe_lookup_of_a_hot_key(spark, shuffled_joins):
+    facts = spark.range(6000).select(
+        "id", F.when(c("id") % 2 == 0, "hot").when(c("id") % 7 > 0, c("id").cast("string")).alias("a"), F.when(c("id") % 4 > 0, c("id") % 5).alias("b")
+    )
+    table = facts.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n % 3 > 0 OR a IS NULL")
+    got = shuffles.null_safe_lookup(facts, table, ["a", "b"], ["id"], counted="n")
+    t = table.select(c("a").alias("ta"), c("b").alias("tb"), "n")
+    want = facts.join(t, c("a").eqNullSafe(c("ta")) & c("b").eqNullSafe(c("tb")), "left").select("id", "a", "b", "n")
+    assert got.columns == want.columns
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_top_rated_with_a_tie_of_half_the_rows(spark, shuffled_joins):
+    rows = spark.range(4000).select(
+        F.format_string("n%d", "id").alias("name"), F.lit("x").alias("city"), F.lit("y").alias("state"), F.lit("Cafe").alias("category"),
+        F.when(c("id") % 2 == 0, 5.0).otherwise(1.0 + c("id") % 7 / 2).alias("rating"), F.when(c("id") % 2 > 0, c("id")).alias("review_count"),
+    )
+    got = profiling.top_rated(rows).collect()
+    assert len(got) == 2000 and {r.category_rank for r in got} == {1} and {r.review_count for r in got} == {None}
+    few = profiling.top_rated(rows.where("id % 2 = 1 OR id < 4")).collect()
+    assert sorted(r.category_rank for r in few) == [1, 1, 3, 4, 5]
+
+
 def test_global_rank(spark):
     rows = spark.range(5000).select("id", (c("id") % 10).alias("score"))
     ranked = global_rank(rows, [c("score").desc(), c("id")], "place").collect()
@@ -127,3 +166,20 @@ def test_publish_list_keeps_little_and_is_in_order(spark, sf, monkeypatch):
     assert len(stored) == 2 and not any("description" in names for names in stored)
     ranks = [r.publication_rank for r in out.select("publication_rank").collect()]
     assert ranks == list(range(1, len(ranks) + 1))
+
+
+def test_repeated_and_null_ids_have_ranks_of_their_own(spark, sf):
+    b = fixtures.businesses(spark, sf)
+    copies = b.where("pos % 4 = 0")
+    none = b.where("pos % 5 = 0").withColumn("business_id", F.lit(None).cast("string"))
+    many = b.unionByName(copies).unionByName(copies).unionByName(none)
+    once = publication.publish_list(b, min_score=15.0)
+    out = publication.publish_list(many, min_score=15.0).collect()
+    listed = {r.business_id: r.pos for r in once.join(b.select("business_id", "pos"), "business_id").collect()}
+    assert len(out) == len(listed) + sum(2 * (p % 4 == 0) + (p % 5 == 0) for p in listed.values())
+    assert [r.publication_rank for r in out] == list(range(1, len(out) + 1))
+    batches = [r.processing_batch for r in out]
+    assert [batches.count(f"BATCH_{k}") for k in ("1_HIGH_PRIORITY", "2_MEDIUM_PRIORITY")] == [25, 50]
+    keys = [(-r.priority_score, -(r.rating or -1), -(r.review_count or -1), r.business_id is None, r.business_id or "") for r in out]
+    assert keys == sorted(keys)
+    assert all(r.local_competition > 0 for r in out)

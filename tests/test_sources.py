@@ -59,6 +59,25 @@ def test_malformed_document_becomes_nulls(spark, tmp_path):
     assert rows[0]._corrupt
 
 
+def test_both_forms_of_an_envelope(spark, tmp_path):
+    doc = {"day": "2024-06-01", "total": 50, "rows": [{"id": f"b{i}", "city": None if i % 7 == 0 else "é\n"} for i in range(50)]}
+    (tmp_path / "doc.json").write_text(json.dumps(doc))
+    schema, row = "day string, total int, rows array<struct<id:string,city:string>>", "id string, city string"
+    one = tables.explode_rows(tables.read_docs(spark, str(tmp_path / "doc.json"), schema), "rows", keep=["day", "total"])
+    path = tables.split_envelope(spark, str(tmp_path / "doc.json"), str(tmp_path / "out"), schema, "rows", tasks=6)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+    try:
+        many = tables.read_envelope(spark, path, row, "day string, total int")
+        assert many.columns == one.columns and many.rdd.getNumPartitions() == 6 and one.rdd.getNumPartitions() == 1
+        assert sorted(map(tuple, many.collect()), key=str) == sorted(map(tuple, one.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tables.read_envelope(spark, path, row).columns == ["pos", "id", "city"]
+    (tmp_path / "bad.json").write_text("{")
+    empty = tables.split_envelope(spark, str(tmp_path / "bad.json"), str(tmp_path / "none"), schema, "rows")
+    assert tables.read_envelope(spark, empty, row, "day string").count() == 0
+
+
 def test_synthetic(spark):
     rows = tables.synthetic_businesses(spark).collect()
     assert len(rows) == 25 and rows[0].business_id == "biz_001"
