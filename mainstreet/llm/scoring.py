@@ -1,15 +1,21 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Word and word-pair counts of the training rows are quantised on a logarithmic scale; an n-gram
-with level j is put into the filter once for each level from 1 to j. To read a count, the levels
-are probed one after the other until one is missing. Probabilities interpolate the pair count with
-the word count, both as read from the filter.
-
-Counting is spread over parts of the hash space: every task sends each part its distinct n-grams
-with their counts, and each part makes its own slice of the filter. The slices together are
-broadcast and have at most ``FILTER_BYTES``; the lowest count that is kept is raised until they
-fit. The exact counts behind ``base_score`` come from a broadcast dictionary of the commonest
-words, at most ``DICTIONARY_WORDS``, and from a join for all other words.
+Counts of word pairs in the training rows are quantised on a logarithmic scale; a pair with level j
+is put into the filter once for each level up to j. To read a count, the levels are probed one after
+the other until one is missing. Probabilities use absolute discounting with a discount of one::
+
+    P(w | h) = (q(h, w) - 1) / c(h) + rest(h) * (c(w) + 1) / (N + V + 1)
+
+``q`` is the least count of the pair's level, so it never exceeds the count; ``rest(h)`` is what the
+discounts and the quantisation of all pairs of ``h`` leave, so the probabilities of all words after
+``h`` and of an unknown one come to 1. A pair seen once leaves all of its count to the rest, at every
+size of the corpus: it counts in ``c(h)`` and ``rest(h)``, and needs no place in the filter. Word
+counts and rests are exact: they come from a broadcast dictionary of the commonest words, at most
+``DICTIONARY_WORDS``, and from joins for all others.
+
+Counting is spread over parts of the hash space of the histories: every task sends each part its
+distinct words and pairs with their counts, and each part makes its own slice of the filter. The
+slices are broadcast in groups of at most ``FILTER_BYTES``; a worker holds one group at a time.
 """
 
 from dataclasses import dataclass
@@ -21,18 +27,21 @@ from pyspark.sql import types as T
 from mainstreet.llm import blocks
 from mainstreet.plans.workspace import materialise
 
-FILTER_BYTES = 64 << 20
+FILTER_BYTES = 64 << 20  # of slices that a worker holds at a time
 DICTIONARY_WORDS = 2_000_000
 PART_BYTES = 8 << 20  # of text, for each part of the hash space
+MOST_PARTS = 4096  # a task sends at most one row to each, so rows grow with the text
 FLUSH_BYTES = 16 << 20  # of text, between two lots of counts from a task
 
 BLOCK = 1 << 20  # of text; longer blocks have fewer distinct words to look up
+LOT = 32 << 20  # of text that is scored with one group of slices after the other
 
-BITS = 10  # of the filter for every entry
-PROBES = 4
+BITS = 14  # of the filter for every level but the first
+PROBES = 6
+FIRST_BITS = 30  # of the filter for the first level: one in a million pairs not stored is found
+FIRST_PROBES = 20
 BASE = 1.5  # of the scale of counts
-LEAST = 2  # an n-gram that occurs once is read as not seen
-PRIOR = 100.0  # occurrences of a word before its pairs weigh as much as the words alone
+LEAST = 2  # the discount takes all of a count of one
 
 _START = np.uint64(0x0123456789ABCDEF)
 _END = np.uint64(0xFEDCBA9876543210)
@@ -86,27 +95,50 @@ def _unplanes(raw):
 
 
 def _count_rows(parts):
-    """Lots of counts of a task: one row per part with its distinct words and pairs."""
+    """Lots of counts of a task: a row for every part that has some, with its distinct words and pairs."""
 
     def lot(gathered):
         import pyarrow as pa
 
-        merged = [_merged(*(np.concatenate(v) for v in zip(*kind))) for kind in zip(*gathered)]
-        cuts = [np.searchsorted(_part(k, parts), np.arange(parts + 1, dtype=np.uint64)) for k, _ in merged]
-        columns = [pa.array(np.arange(parts, dtype=np.int32))]
-        for (keys, counts), cut in zip(merged, cuts):
-            columns.append(pa.array([_planes(keys[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()))
-            columns.append(pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, cut[1:])], pa.binary()))
-        return pa.RecordBatch.from_arrays(columns, ["part", "words", "word_counts", "pairs", "pair_counts"])
+        words = _merged(*(np.concatenate([g[0][i] for g in gathered]) for i in range(2)))
+        pairs = [np.concatenate([g[1][i] for g in gathered]) for i in range(3)]
+        # pairs of one history side by side, in the order of the words' parts
+        order = np.lexsort((pairs[0], pairs[2]))
+        keys, counts, history = (v[order] for v in pairs)
+        new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (history[1:] != history[:-1])])) if len(keys) else order
+        keys, history, counts = keys[new], history[new], np.add.reduceat(counts, new) if len(new) else counts
+        edges = np.arange(parts + 1, dtype=np.uint64)
+        word_cut, pair_cut = np.searchsorted(_part(words[0], parts), edges), np.searchsorted(_part(history, parts), edges)
+        some = np.flatnonzero((np.diff(word_cut) > 0) | (np.diff(pair_cut) > 0))
+
+        def packed(values, cut):
+            return pa.array([values[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())
+
+        def planes(values, cut):
+            return pa.array([_planes(values[cut[p] : cut[p + 1]]) for p in some], pa.binary())
+
+        # a history is told by its number among those of the row, so it costs little
+        begins = np.concatenate([[True], history[1:] != history[:-1]]) if len(history) else np.zeros(0, bool)
+        distinct = history[begins]
+        sizes = np.diff(np.append(np.flatnonzero(begins), len(history))).astype(np.uint32)
+        hist_cut = np.searchsorted(_part(distinct, parts), edges)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(some.astype(np.int32)), planes(words[0], word_cut), packed(words[1].astype(np.uint32), word_cut),
+                planes(keys, pair_cut), packed(counts.astype(np.uint32), pair_cut), planes(distinct, hist_cut), packed(sizes, hist_cut),
+            ],
+            _LOT_COLUMNS,
+        )
 
     def run(batches):
         gathered, size = [], 0
         for batch in batches:
             for _, offsets, data in blocks.text_blocks(batch.column(0), BLOCK):
                 words, _, last = tokens(offsets, data)
-                pairs, _ = pair_hashes(words, last)
-                one = [np.unique(v, return_counts=True) for v in (words, pairs)]
-                gathered.append([(k, c.astype(np.int64)) for k, c in one])
+                pairs, before = pair_hashes(words, last)
+                keys, at, counts = np.unique(pairs, return_index=True, return_counts=True)
+                word_keys, word_counts = np.unique(words, return_counts=True)
+                gathered.append(((word_keys, word_counts.astype(np.int64)), (keys, counts.astype(np.int64), before[at])))
                 size += len(data)
                 if size >= FLUSH_BYTES:
                     yield lot(gathered)
@@ -117,76 +149,84 @@ def _count_rows(parts):
     return run
 
 
+_LOT_COLUMNS = ["part", "words", "word_counts", "pairs", "pair_counts", "histories", "sizes"]
+
+
 def _levels(counts):
     return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
+def _least(levels):
+    """The least count of a level."""
+    return np.ceil(BASE ** (np.maximum(levels, 1) - 1.0) - 1e-9)
+
+
 def _merge_part(table):
+    """A part's words with their counts and rests, and its slice of the filter."""
     import pyarrow as pa
 
-    kinds = []
-    for keys, counts in (("words", "word_counts"), ("pairs", "pair_counts")):
-        k = [_unplanes(v.as_py()) for v in table.column(keys)]
-        c = [np.frombuffer(v.as_py(), np.uint32).astype(np.int64) for v in table.column(counts)]
-        kinds.append(_merged(np.concatenate(k), np.concatenate(c)))
-    (words, word_counts), (pairs, pair_counts) = kinds
-    some = pair_counts >= LEAST
-    pairs, pair_counts = pairs[some], pair_counts[some]
-    # filter entries if only counts of 2 ** i and more are kept, and words that are as common
-    floors = 2 ** np.arange(48)
-    entries = [
-        sum(int(_levels(c[c >= f]).sum()) for c in (word_counts, pair_counts)) if f <= max(word_counts.max(initial=0), pair_counts.max(initial=0)) else 0
-        for f in floors
-    ]
-    common = [int((word_counts >= f).sum()) for f in floors]
+    def all_of(column, kind=None):
+        found = [v.as_py() for v in table.column(column)]
+        return np.concatenate([_unplanes(v) if kind is None else np.frombuffer(v, kind).astype(np.int64) for v in found])
+
+    words, word_counts = _merged(all_of("words"), all_of("word_counts", np.uint32))
+    keys, counts = all_of("pairs"), all_of("pair_counts", np.uint32)
+    history = np.repeat(all_of("histories"), all_of("sizes", np.uint32))
+    order = np.argsort(keys, kind="stable")
+    keys, counts, history = keys[order], counts[order], history[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+    keys, history, counts = keys[first], history[first], np.add.reduceat(counts, first) if len(first) else counts
+
+    # what the words after a history get, and what is left of its count
+    kept = counts >= LEAST
+    levels = _levels(counts[kept])
+    told, number = np.unique(history, return_inverse=True)
+    total = np.bincount(number, counts, len(told))
+    given = np.bincount(number[kept], _least(levels) - 1, len(told))
+    rest = 1 - given / np.maximum(total, 1)
+    at = np.searchsorted(told, words)
+    at[at == len(told)] = 0
+    is_history = told[at] == words if len(told) else np.zeros(len(words), bool)
+    rests = np.where(is_history, rest[at] if len(told) else 1.0, 1.0)
+    start = np.flatnonzero(told == _START)
+
+    bits = _filled(keys[kept], levels)
+    common = [int((word_counts >= f).sum()) for f in 2 ** np.arange(48)]
     return pa.table({
         "part": table.column("part").slice(0, 1),
         "words": pa.array([words.tobytes()], pa.binary()),
         "word_counts": pa.array([word_counts.tobytes()], pa.binary()),
-        "pairs": pa.array([pairs.tobytes()], pa.binary()),
-        "pair_counts": pa.array([pair_counts.tobytes()], pa.binary()),
+        "rests": pa.array([rests.tobytes()], pa.binary()),
+        "bits": pa.array([bits.tobytes()], pa.binary()),
+        "n_bits": pa.array([len(bits)]),
         "tokens": pa.array([int(word_counts.sum())]),
         "types": pa.array([len(words)]),
-        "entries": pa.array([entries], pa.list_(pa.int64())),
+        "start_rest": pa.array([float(rest[start[0]]) if len(start) else None], pa.float64()),
         "common": pa.array([common], pa.list_(pa.int64())),
     })
 
 
-def _positions(keys, level, bits):
-    """The bits of an entry within its slice."""
-    a = blocks.mix(keys + np.uint64(0x9E3779B97F4A7C15) * level.astype(np.uint64))
-    b = (a >> np.uint64(33)) | np.uint64(1)
-    for i in range(PROBES):
-        yield (a + np.uint64(i) * b) % bits
-
+def _probes(level):
+    return FIRST_PROBES if level == 1 else PROBES
 
-def _slice(floor):
-    """A part's slice of the filter, with all n-grams that occur ``floor`` times or more."""
 
-    def run(batches):
-        import pyarrow as pa
+def _positions(keys, level, bits):
+    """The bits of an entry within its slice of less than 2 ** 32 bits."""
+    a = blocks.mix(keys + np.uint64(0x9E3779B97F4A7C15) * level.astype(np.uint64))
+    b = (a << np.uint64(32)) | (a >> np.uint64(32)) | np.uint64(1)
+    for i in range(_probes(int(level[0]))):
+        yield (((a + np.uint64(i) * b) >> np.uint64(32)) * bits) >> np.uint64(32)
 
-        for batch in batches:
-            for i in range(len(batch)):
-                row = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
-                keys, levels = [], []
-                for k, c in (("words", "word_counts"), ("pairs", "pair_counts")):
-                    counts = np.frombuffer(row[c], np.int64)
-                    kept = counts >= floor
-                    keys.append(np.frombuffer(row[k], np.uint64)[kept])
-                    levels.append(_levels(counts[kept]))
-                keys, levels = np.concatenate(keys), np.concatenate(levels)
-                size = max(64, -(-int(levels.sum()) * BITS // 8) * 8)
-                bits = np.zeros(size, bool)
-                for level in range(1, int(levels.max(initial=0)) + 1):
-                    for at in _positions(keys[levels >= level], np.full(1, level), np.uint64(size)):
-                        bits[at.astype(np.int64)] = True
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["part"]], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())],
-                    ["part", "bits"],
-                )
 
-    return run
+def _filled(keys, levels):
+    """A slice of the filter. All its pairs have ``LEAST`` occurrences, so their second level goes without saying."""
+    above = np.maximum(levels - 2, 0)
+    size = min(2**32 - 8, max(4096, -(-(len(keys) * FIRST_BITS + int(above.sum()) * BITS) // 8) * 8))
+    bits = np.zeros(size, bool)
+    for level in [1, *range(3, int(levels.max(initial=0)) + 1)]:
+        for at in _positions(keys[levels >= level], np.full(1, level), np.uint64(size)):
+            bits[at.astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
 
 
 @dataclass
@@ -197,103 +237,211 @@ class Filter:
     first: np.ndarray  # bit at which a part's slice begins
     size: np.ndarray
 
-    def counts(self, keys):
-        """Estimates of the counts of n-grams: 0 if level 1 is missing, else the middle of the last level found."""
-        part = _part(keys, len(self.size)).astype(np.int64)
+    part: np.ndarray = None  # for every part of the hash space, its number here or -1
+    parts: int = 0
+
+    def levels(self, keys, part, sure=1):
+        """The levels of pairs: 0 if the first is missing, else the last one found; up to ``sure`` all have what they need."""
         found = np.zeros(len(keys), np.int64)
         at = np.arange(len(keys))
-        level = 0
+        level = 1
         while len(at):
-            level += 1
-            k, p = keys[at], part[at]
-            there = np.ones(len(at), bool)
-            for position in _positions(k, np.full(1, level), self.size[p]):
-                bit = self.first[p] + position.astype(np.int64)
-                there &= (self.raw[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                if not there.any():
-                    break
-            at = at[there]
-            found[at] = level
-        return np.where(found > 0, BASE ** (found - 1) * (1 + BASE) / 2, 0.0)
+            for position in _positions_of(keys, part, level, self.size):
+                bit = self.first[part[at]] + position(at).astype(np.int64)
+                at = at[(self.raw[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+            found[at] = max(level, sure)
+            level = max(level, sure) + 1
+        return found
+
+    def counts(self, keys):
+        """The least counts of the levels found."""
+        found = self.levels(keys, np.zeros(len(keys), np.int64))
+        return np.where(found > 0, _least(found), 0.0)
+
+
+def _positions_of(keys, part, level, size):
+    """As :func:`_positions`, for the entries that are still in question at each probe."""
+    mixed = blocks.mix(keys + np.uint64(0x9E3779B97F4A7C15) * np.full(1, level, np.uint64))
+
+    def probe(i):
+        def position(at):
+            a = mixed[at]
+            b = (a << np.uint64(32)) | (a >> np.uint64(32)) | np.uint64(1)
+            return (((a + np.uint64(i) * b) >> np.uint64(32)) * size[part[at]]) >> np.uint64(32)
+
+        return position
+
+    return [probe(i) for i in range(_probes(level))]
+
+
+@dataclass
+class Dictionary:
+    """The commonest words in order of their hashes, with counts and rests, and the rest after the start."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    rests: np.ndarray
+    start_rest: float
+    tokens: int
+    types: int
+
+    def find(self, keys):
+        """Place of each key, -1 for words that are not here."""
+        if not len(self.words):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
+        return np.where(self.words[at] == keys, at, -1)
 
 
 @dataclass
 class Model:
-    filter: Filter
-    dictionary: np.ndarray
-    dictionary_counts: np.ndarray
-    floor: int
+    """Broadcasts of the dictionary and of the groups of slices. ``often``: all words that occur as often are in the dictionary."""
+
+    dictionary: object
+    groups: list
     tokens: int
     types: int
+    words: int
+    often: int
+
+    def free(self):
+        for shared in (self.dictionary, *self.groups):
+            shared.unpersist()
+
+
+class Lot:
+    """Texts with their tokens, scored with one group of slices after the other."""
 
-    def score(self, offsets, data):
-        """Per text: tokens, known ones and sum of log10(c + 1) by the dictionary, score, and the rest of its words."""
-        n = len(offsets) - 1
-        words, rows, last = tokens(offsets, data)
+    def __init__(self, offsets, data, dictionary, often):
+        self.n, self.dictionary, self.often = len(offsets) - 1, dictionary, often
+        words, self.rows, last = tokens(offsets, data)
+        self.pairs, before = pair_hashes(words, last)
+        self.words = words
         distinct, inverse = np.unique(words, return_inverse=True)
-        at = np.searchsorted(self.dictionary, distinct)
-        at[at == len(self.dictionary)] = 0
-        inside = self.dictionary[at] == distinct if len(self.dictionary) else np.zeros(len(distinct), bool)
-        exact = np.where(inside, self.dictionary_counts[at] if len(self.dictionary) else 0, 0)
-        count = np.bincount(rows, minlength=n)
-        known = np.bincount(rows, (exact > 0)[inverse], n).astype(np.int64)
-        logs = np.bincount(rows, np.log10(exact + 1.0)[inverse], n)
-        # the model reads all its counts from the filter
-        alone = self.filter.counts(distinct)
-        pairs, before = pair_hashes(words, last)
-        pair = self.filter.counts(pairs)
-        first = np.concatenate([[0], last[:-1] + 1])
-        history = np.empty(len(words))
-        history[1:] = alone[inverse[:-1]]
-        history[first] = self.filter.counts(np.array([_END]))[0]  # there are as many starts as ends
-        history = np.maximum(history, pair)
-        base = (alone[inverse] + 1) / (self.tokens + self.types + 1)
-        weight = history / (history + PRIOR)
-        follows = np.divide(pair, history, out=np.zeros(len(pair)), where=history > 0)
-        probability = np.where(pair > 0, weight * follows + (1 - weight) * base, base * np.where(history > 0, 1 - weight / 2, 1))
-        score = np.bincount(rows, np.log10(np.clip(probability, 1e-300, 1)), n)
-        # words that the dictionary does not have, once per text with their number
-        rest = ~inside[inverse] if self.types > len(self.dictionary) else np.zeros(len(words), bool)
-        key, often = np.unique(np.column_stack([rows[rest].astype(np.uint64), words[rest]]), axis=0, return_counts=True) if rest.any() else (
-            np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
-        )
-        cut = np.searchsorted(key[:, 0], np.arange(n + 1, dtype=np.uint64))
-        return count, known, logs, score, (key[:, 1], often, cut)
+        place = dictionary.find(distinct)
+        exact = np.where(place >= 0, dictionary.counts[place] if len(dictionary.counts) else 0, 0)
+        rest = np.where(place >= 0, dictionary.rests[place] if len(dictionary.rests) else 1.0, 1.0)
+        self.here = (place >= 0)[inverse]
+        self.count = exact[inverse]
+        first = np.concatenate([[0], last[:-1] + 1]) if self.n else last
+        # the history of a token is the one before it
+        self.before, self.total, self.rest, self.history_here = before, np.empty(len(words)), np.empty(len(words)), np.ones(len(words), bool)
+        self.total[1:], self.rest[1:], self.history_here[1:] = self.count[:-1], rest[inverse[:-1]], self.here[:-1]
+        ends = dictionary.find(np.array([_END]))[0]
+        self.total[first], self.rest[first], self.history_here[first] = dictionary.counts[ends] if ends >= 0 else 0, dictionary.start_rest, True
+        # words outside the dictionary are too rare to have pairs if none of them occurs LEAST times
+        self.asked = self.rest < 1
+        if often > LEAST:
+            self.asked |= ~self.history_here
+        self.level = np.zeros(len(words), np.int64)
+
+    def look(self, group):
+        part = group.part[_part(self.before, group.parts).astype(np.int64)]
+        at = np.flatnonzero(self.asked & (part >= 0))
+        self.level[at] = group.levels(self.pairs[at], part[at], LEAST)
+
+    def add(self, values, mask=None):
+        rows = self.rows if mask is None else self.rows[mask]
+        return np.bincount(rows, values if mask is None else values[mask], self.n)
+
+    def listed(self, mask, *keys):
+        """Per text the distinct combinations of keys among the tokens of ``mask`` with their numbers, and the ends of the lists."""
+        if not mask.any():
+            return [np.zeros(0, np.uint64)] * len(keys), np.zeros(0, np.int64), np.zeros(self.n + 1, np.int64)
+        columns = [self.rows[mask].astype(np.uint64), *[k[mask].astype(np.uint64) for k in keys]]
+        order = np.lexsort(columns[::-1])
+        columns = [v[order] for v in columns]
+        new = np.flatnonzero(np.concatenate([[True], np.any([v[1:] != v[:-1] for v in columns], axis=0)]))
+        cut = np.searchsorted(columns[0][new], np.arange(self.n + 1, dtype=np.uint64))
+        return [v[new] for v in columns[1:]], np.diff(np.append(new, len(order))), cut
+
+    def result(self):
+        """Per text: tokens, known ones, sum of log10(c + 1), sum of the logs of what is settled here, and what is left to joins.
+
+        Left are words outside the dictionary, whose base is added to the score as well; histories
+        outside of it, whose rest is; and pairs that are in the filter with either outside.
+        """
+        base = np.log10(self.dictionary.tokens + self.dictionary.types + 1.0)
+        found = self.level > 0
+        if self.often <= LEAST:
+            # words outside the dictionary occur less than LEAST times, so what the filter says of them is chance
+            found &= self.here
+        both = self.here & self.history_here
+        pair = found & both
+        plain = ~found  # log rest + log base
+        score = np.zeros(len(self.words))
+        own = (self.count + 1.0) / 10.0**base
+        score[pair] = np.log10((_least(self.level[pair]) - 1) / self.total[pair] + self.rest[pair] * own[pair])
+        score[plain & self.here] += np.log10(own[plain & self.here])
+        score[plain & ~self.here] -= base
+        score[plain & self.history_here] += np.log10(self.rest[plain & self.history_here])
+        logs = np.log10(self.count + 1.0)
+        columns = [np.bincount(self.rows, minlength=self.n), self.add(self.here * 1.0).astype(np.int64), self.add(logs), self.add(score)]
+        outside = ~self.here
+        lists = [
+            self.listed(outside, self.words, plain * 1),
+            self.listed(plain & ~self.history_here, self.before) if self.often > LEAST else self.listed(np.zeros(len(self.words), bool), self.before),
+            self.listed(found & ~both, self.before, self.words, self.level),
+        ]
+        return columns, lists
 
 
 def fit(docs, text_col="text"):
     """Count the words and pairs of the texts; returns the model and the stored counts, one row per part."""
     texts = docs.select(F.col(text_col).alias("t"))
     size = texts.agg(F.sum(F.octet_length("t") + 1)).first()[0] or 0
-    parts = max(4, -(-size // PART_BYTES))
+    parts = min(MOST_PARTS, max(4, -(-size // PART_BYTES)))
     lots = texts.mapInArrow(
-        _count_rows(parts), "part int, words binary, word_counts binary, pairs binary, pair_counts binary"
+        _count_rows(parts), "part int, words binary, word_counts binary, pairs binary, pair_counts binary, histories binary, sizes binary"
     )
-    counted = lots.groupBy("part").applyInArrow(
+    counted = materialise(lots.groupBy("part").applyInArrow(
         _merge_part,
-        "part int, words binary, word_counts binary, pairs binary, pair_counts binary, tokens bigint, types bigint, "
-        "entries array<bigint>, common array<bigint>",
-    )
-    counted = materialise(counted)
+        "part int, words binary, word_counts binary, rests binary, bits binary, n_bits bigint, tokens bigint, types bigint, "
+        "start_rest double, common array<bigint>",
+    ))
     sums = counted.agg(
-        F.sum("tokens").alias("tokens"), F.sum("types").alias("types"),
-        *[F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in ("entries", "common") for i in range(48)],
+        F.sum("tokens").alias("tokens"), F.sum("types").alias("types"), F.max("start_rest").alias("start_rest"),
+        *[F.sum(F.col("common")[i]).alias(f"common{i}") for i in range(48)],
     ).first()
-    entries = [sums[f"entries{i}"] or 0 for i in range(48)]
-    common = [sums[f"common{i}"] or 0 for i in range(48)]
-    floor = 2 ** next((i for i in range(48) if 2**i >= LEAST and entries[i] * BITS // 8 <= FILTER_BYTES), 47)
-    often = 2 ** next((i for i in range(48) if common[i] <= DICTIONARY_WORDS), 47)
-    slices = counted.select("part", "words", "word_counts", "pairs", "pair_counts").mapInArrow(_slice(floor), "part int, bits binary")
-    found = {r["part"]: np.frombuffer(r["bits"], np.uint8) for r in slices.collect()}  # FILTER_BYTES at most
-    raw = [found.get(p, np.zeros(8, np.uint8)) for p in range(parts)]
-    bits = np.array([len(r) * 8 for r in raw], np.int64)
+    often = 2 ** next((i for i in range(48) if (sums[f"common{i}"] or 0) <= DICTIONARY_WORDS), 47)
+    share = docs.sparkSession.sparkContext.broadcast
     # the commonest words, DICTIONARY_WORDS at most
-    words = counted.select("words", "word_counts").mapInArrow(_common_words(often), "k binary, c binary").collect()
-    keys = np.concatenate([np.frombuffer(r["k"], np.uint64) for r in words] or [np.zeros(0, np.uint64)])
-    counts = np.concatenate([np.frombuffer(r["c"], np.int64) for r in words] or [np.zeros(0, np.int64)])
+    common = counted.select("words", "word_counts", "rests").mapInArrow(_common_words(often), "k binary, c binary, r binary").toArrow()
+    keys, counts, rests = (
+        np.concatenate([np.frombuffer(v, kind) for v in common.column(i).to_pylist()] or [np.zeros(0, kind)])
+        for i, kind in enumerate((np.uint64, np.int64, np.float32))
+    )
+    del common
     order = np.argsort(keys)
-    slots = Filter(np.concatenate(raw), np.cumsum(bits) - bits, bits.astype(np.uint64))
-    return Model(slots, keys[order], counts[order], floor, sums["tokens"] or 0, sums["types"] or 0), counted
+    counts = counts if counts.max(initial=0) >= 2**32 else counts.astype(np.uint32)
+    start_rest = 1.0 if sums["start_rest"] is None else sums["start_rest"]
+    total, types, words = sums["tokens"] or 0, sums["types"] or 0, len(keys)
+    dictionary = share(Dictionary(keys[order], counts[order], rests[order], start_rest, total, types))
+    del keys, counts, rests, order
+    return Model(dictionary, list(_groups(counted, parts, share)), total, types, words, often), counted
+
+
+def _groups(counted, parts, share):
+    """Broadcasts of runs of slices with ``FILTER_BYTES`` at most; the driver holds one run at a time."""
+    runs, size = [[]], 0
+    # one row per part, MOST_PARTS at most
+    for row in counted.select("part", "n_bits").orderBy("part").collect():
+        if runs[-1] and size + row["n_bits"] > FILTER_BYTES:
+            runs.append([])
+            size = 0
+        runs[-1].append((row["part"], row["n_bits"]))
+        size += row["n_bits"]
+    for run in runs:
+        names = [p for p, _ in run]
+        raw, begin = np.zeros(sum(n for _, n in run), np.uint8), dict(zip(names, np.cumsum([0, *[n for _, n in run]])))
+        if run:
+            for part, bits in zip(*counted.where(F.col("part").between(names[0], names[-1])).select("part", "bits").toArrow().columns):
+                raw[begin[part.as_py()] :][: len(bits.as_buffer())] = np.frombuffer(bits.as_buffer(), np.uint8)
+        number = np.full(parts, -1)
+        number[names] = np.arange(len(names))
+        sizes = np.array([n * 8 for _, n in run], np.uint64)
+        yield share(Filter(raw, np.array([begin[p] * 8 for p in names], np.int64), sizes, number, parts))
+        del raw
 
 
 def _common_words(often):
@@ -302,84 +450,140 @@ def _common_words(often):
 
         for batch in batches:
             out = []
-            for k, c in zip(batch.column(0), batch.column(1)):
-                counts = np.frombuffer(c.as_py(), np.int64)
+            for k, c, r in zip(*batch.columns):
+                counts = np.frombuffer(c.as_buffer(), np.int64)
                 kept = counts >= often
-                out.append((np.frombuffer(k.as_py(), np.uint64)[kept].tobytes(), counts[kept].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in zip(*out)] if out else [pa.array([], pa.binary())] * 2, ["k", "c"])
+                out.append((
+                    np.frombuffer(k.as_buffer(), np.uint64)[kept].tobytes(), counts[kept].tobytes(),
+                    np.frombuffer(r.as_buffer(), np.float64)[kept].astype(np.float32).tobytes(),
+                ))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in zip(*out)] if out else [pa.array([], pa.binary())] * 3, ["k", "c", "r"])
 
     return run
 
 
 def _word_rows(batches):
+    """All words, one row each."""
     import pyarrow as pa
 
     for batch in batches:
-        for k, c in zip(batch.column(0), batch.column(1)):
-            keys, counts = np.frombuffer(k.as_py(), np.int64), np.frombuffer(c.as_py(), np.int64)
-            for low in range(0, len(keys), 100_000):
-                part = slice(low, low + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(counts[part])], ["h", "c"])
+        for values in zip(*batch.columns):
+            columns = [np.frombuffer(v.as_buffer(), kind) for v, kind in zip(values, (np.int64, np.int64, np.float64))]
+            for low in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 100_000]) for c in columns], ["h", "c", "r"])
 
 
-def _scorer(shared, width, names):
-    def run(batches):
+_LISTS = [("_words", ["w", "plain"]), ("_histories", ["h"]), ("_pairs", ["h", "w", "level"])]
+
+
+def _scorer(model, width, names):
+    """Scores rows in lots of ``LOT`` bytes, so that every group of slices is loaded once for many texts."""
+    dictionary, groups, often = model.dictionary, model.groups, model.often
+
+    def scored(waiting):
         import pyarrow as pa
 
-        model = shared.value
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        for batch in batches:
-            parts = [model.score(offsets, data) for _, offsets, data in blocks.text_blocks(batch.column(width), BLOCK)]
-            if not parts:
-                continue
+        lots = [[Lot(offsets, data, dictionary.value, often) for _, offsets, data in blocks.text_blocks(b.column(width), BLOCK)] for b in waiting]
+        for group in groups:
+            for lot in (lot for of_batch in lots for lot in of_batch):
+                lot.look(group.value)
+            if len(groups) > 1:
+                group.__dict__.pop("_value", None)  # one group at a time
+        for batch, of_batch in zip(waiting, lots):
+            parts = [lot.result() for lot in of_batch]
             columns = batch.columns[:width]
-            columns += [pa.array(np.concatenate([p[i] for p in parts]), kind) for i, kind in enumerate(kinds)]
-            ends, base = [np.zeros(1, np.int64)], 0
-            for *_, (_, _, cut) in parts:
-                ends.append(cut[1:] + base)
-                base += cut[-1]
-            ends = pa.array(np.concatenate(ends).astype(np.int32))
-            keys = pa.array(np.concatenate([p[4][0] for p in parts]).view(np.int64))
-            often = pa.array(np.concatenate([p[4][1] for p in parts]).astype(np.int64))
-            columns += [pa.ListArray.from_arrays(ends, keys), pa.ListArray.from_arrays(ends, often)]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            columns += [pa.array(np.concatenate([p[0][i] for p in parts]), kind) for i, kind in enumerate(kinds)]
+            for i, (_, fields) in enumerate(_LISTS):
+                ends, base = [np.zeros(1, np.int64)], 0
+                for _, lists in parts:
+                    ends.append(lists[i][2][1:] + base)
+                    base += lists[i][2][-1]
+                values = [np.concatenate([lists[i][0][k] for _, lists in parts]).view(np.int64) for k in range(len(fields))]
+                values.append(np.concatenate([lists[i][1] for _, lists in parts]).astype(np.int64))
+                rows = pa.StructArray.from_arrays([pa.array(v) for v in values], [*fields, "n"])
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), rows))
             yield pa.RecordBatch.from_arrays(columns, names)
 
+    def run(batches):
+        waiting, size = [], 0
+        for batch in batches:
+            if len(batch):
+                waiting.append(batch)
+                size += batch.column(width).nbytes
+            if size >= LOT:
+                yield from scored(waiting)
+                waiting, size = [], 0
+        yield from scored(waiting)
+
     return run
 
 
 def score(docs, model, counted, text_col="text"):
     """The documents without their texts, with n_tokens, n_known, train_tokens, base_score and score.
 
-    Null and empty texts consist of their end only. With nothing learned, all probabilities of the
-    base are 1. Repeated rows and null ids are scored like any others. Columns with these names are
-    replaced.
+    Null and empty texts consist of their end only. With nothing learned, all probabilities are 1.
+    Repeated rows and null ids are scored like any others. Columns with these names are replaced.
     """
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     columns = [c for c in docs.columns if c not in (text_col, *added)]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FILTER_BYTES and 16 bytes a dictionary word at most
+    lists = [
+        T.StructField(name, T.ArrayType(T.StructType([T.StructField(f, T.LongType()) for f in [*fields, "n"]]))) for name, fields in _LISTS
+    ]
     schema = T.StructType([
         *[docs.schema[c] for c in columns], T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType()),
-        T.StructField("_logs", T.DoubleType()), T.StructField("score", T.DoubleType()),
-        T.StructField("_rest", T.ArrayType(T.LongType())), T.StructField("_often", T.ArrayType(T.LongType())),
+        T.StructField("_logs", T.DoubleType()), T.StructField("score", T.DoubleType()), *lists,
     ])
-    scored = docs.select(*columns, F.col(text_col)).mapInArrow(_scorer(shared, len(columns), schema.names), schema)
-    if model.types > len(model.dictionary):
-        # words outside the dictionary: exact counts by a join
+    scored = docs.select(*columns, F.col(text_col)).mapInArrow(_scorer(model, len(columns), schema.names), schema)
+    size = float(model.tokens + model.types + 1)
+    nothing = F.lit(0.0)
+    if model.types > model.words:
+        # words outside the dictionary: exact counts and rests by joins
         scored = materialise(scored.withColumn("_row", F.monotonically_increasing_id()))
-        rest = scored.select("_row", F.explode(F.arrays_zip(F.col("_rest").alias("h"), F.col("_often").alias("n"))).alias("w"))
-        exact = counted.select("words", "word_counts").mapInArrow(_word_rows, "h bigint, c bigint")
-        found = rest.select("_row", "w.h", "w.n").join(exact, "h").groupBy("_row").agg(
-            F.sum("n").alias("_more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("_more_logs")
-        )
-        scored = scored.join(found, "_row", "left").drop("_row")
+        exact = counted.select("words", "word_counts", "rests").mapInArrow(_word_rows, "h bigint, c bigint, r double")
+        if model.often > 1:
+            exact = exact.where(F.col("c") < model.often)
+
+        def rows(name):
+            return scored.select("_row", F.explode(name).alias("x")).select("_row", "x.*")
+
+        own = F.log10(F.col("c") + 1.0) * F.col("n")
+        parts = [
+            rows("_words").join(exact.withColumnRenamed("h", "w"), "w").select(
+                "_row", F.col("n").alias("known"), own.alias("logs"), (own * F.col("plain")).alias("score")
+            )
+        ]
+        if model.often > LEAST:
+            every = counted.select("words", "word_counts", "rests").mapInArrow(_word_rows, "h bigint, c bigint, r double")
+            rest = rows("_histories").join(exact, "h").select(
+                "_row", F.lit(0).cast("long").alias("known"), nothing.alias("logs"), (F.log10("r") * F.col("n")).alias("score")
+            )
+            # a pair of which one word is outside the dictionary; the start has a rest, but no count as a word
+            start = model.dictionary.value.start_rest
+            texts = every.where(F.col("h") == int(_END.view(np.int64))).select(F.lit(int(_START.view(np.int64))).alias("h"), "c", F.lit(start).alias("r"))
+            told = every.unionByName(texts)
+            seen = every.select(F.col("h").alias("w"), F.col("c").alias("cw"))
+            least = F.ceil(F.pow(F.lit(BASE), F.col("level") - 1) - 1e-9)
+            chance = (least - 1) / F.col("c") + F.col("r") * (F.coalesce("cw", F.lit(0)) + 1) / size
+            # a pair that the filter has by chance may have a history that was never seen
+            chance = F.when(F.col("c").isNull(), (F.coalesce("cw", F.lit(0)) + 1) / size).otherwise(F.least(chance, F.lit(1.0)))
+            pairs = rows("_pairs").join(told, "h", "left").join(seen, "w", "left").select(
+                "_row", F.lit(0).cast("long").alias("known"), nothing.alias("logs"), (F.log10(chance) * F.col("n")).alias("score")
+            )
+            parts += [rest, pairs]
+        more = parts[0]
+        for part in parts[1:]:
+            more = more.unionByName(part)
+        more = more.groupBy("_row").agg(F.sum("known").alias("_more"), F.sum("logs").alias("_more_logs"), F.sum("score").alias("_more_score"))
+        scored = scored.join(more, "_row", "left").drop("_row")
     else:
-        scored = scored.withColumn("_more", F.lit(0)).withColumn("_more_logs", F.lit(0.0))
-    logs = F.col("_logs") + F.coalesce("_more_logs", F.lit(0.0))
+        scored = scored.withColumns({"_more": F.lit(0), "_more_logs": nothing, "_more_score": nothing})
+    logs = F.col("_logs") + F.coalesce("_more_logs", nothing)
     return scored.select(
         *columns,
         "n_tokens",
         (F.col("_known") + F.coalesce("_more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.log10(F.lit(float(model.tokens + model.types + 1)))).alias("base_score"),
-        "score",
+        (logs - F.col("n_tokens") * F.log10(F.lit(size))).alias("base_score"),
+        (F.col("score") + F.coalesce("_more_score", nothing)).alias("score"),
     )
