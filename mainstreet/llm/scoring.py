@@ -34,7 +34,7 @@ MOST_PARTS = 4096  # a task sends at most one row to each, so rows grow with the
 FLUSH_BYTES = 16 << 20  # of text, between two lots of counts from a task
 
 BLOCK = 1 << 20  # of text; longer blocks have fewer distinct words to look up
-LOT = 32 << 20  # of text that is scored with one group of slices after the other
+LOT = 4 << 20  # of text that is scored with one group of slices after the other
 
 BITS = 14  # of the filter for every level but the first
 PROBES = 6
@@ -477,44 +477,40 @@ _LISTS = [("_words", ["w", "plain"]), ("_histories", ["h"]), ("_pairs", ["h", "w
 
 
 def _scorer(model, width, names):
-    """Scores rows in lots of ``LOT`` bytes, so that every group of slices is loaded once for many texts."""
+    """Scores the rows of a batch in lots of ``LOT`` bytes, so that every group of slices is loaded once for many texts."""
     dictionary, groups, often = model.dictionary, model.groups, model.often
 
     def scored(waiting):
+        """``waiting``: slices of a batch with the offsets and bytes of their texts."""
         import pyarrow as pa
 
-        lots = [[Lot(offsets, data, dictionary.value, often) for _, offsets, data in blocks.text_blocks(b.column(width), BLOCK)] for b in waiting]
+        lots = [Lot(offsets, data, dictionary.value, often) for _, offsets, data in waiting]
         for group in groups:
-            for lot in (lot for of_batch in lots for lot in of_batch):
+            for lot in lots:
                 lot.look(group.value)
             if len(groups) > 1:
                 group.__dict__.pop("_value", None)  # one group at a time
-        for batch, of_batch in zip(waiting, lots):
-            parts = [lot.result() for lot in of_batch]
-            columns = batch.columns[:width]
+        for i, (rows, _, _) in enumerate(waiting):
+            counts, lists = lots[i].result()
+            lots[i] = None
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            columns += [pa.array(np.concatenate([p[0][i] for p in parts]), kind) for i, kind in enumerate(kinds)]
-            for i, (_, fields) in enumerate(_LISTS):
-                ends, base = [np.zeros(1, np.int64)], 0
-                for _, lists in parts:
-                    ends.append(lists[i][2][1:] + base)
-                    base += lists[i][2][-1]
-                values = [np.concatenate([lists[i][0][k] for _, lists in parts]).view(np.int64) for k in range(len(fields))]
-                values.append(np.concatenate([lists[i][1] for _, lists in parts]).astype(np.int64))
-                rows = pa.StructArray.from_arrays([pa.array(v) for v in values], [*fields, "n"])
-                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), rows))
+            columns = [*rows.columns[:width], *map(pa.array, counts, kinds)]
+            for (_, fields), (keys, often_seen, cut) in zip(_LISTS, lists):
+                values = [pa.array(k.view(np.int64)) for k in keys] + [pa.array(often_seen.astype(np.int64))]
+                listed = pa.StructArray.from_arrays(values, [*fields, "n"])
+                columns.append(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), listed))
             yield pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
-        waiting, size = [], 0
         for batch in batches:
-            if len(batch):
-                waiting.append(batch)
-                size += batch.column(width).nbytes
-            if size >= LOT:
-                yield from scored(waiting)
-                waiting, size = [], 0
-        yield from scored(waiting)
+            waiting, size = [], 0
+            for row, offsets, data in blocks.text_blocks(batch.column(width), BLOCK):
+                waiting.append((batch.slice(row, len(offsets) - 1), offsets, data))
+                size += len(data)
+                if size >= LOT:
+                    yield from scored(waiting)
+                    waiting, size = [], 0
+            yield from scored(waiting)
 
     return run
 
