@@ -31,7 +31,7 @@ FILTER_BYTES = 64 << 20  # of slices that a worker holds at a time
 DICTIONARY_WORDS = 2_000_000
 PART_BYTES = 8 << 20  # of text, for each part of the hash space
 MOST_PARTS = 4096  # a task sends at most one row to each, so rows grow with the text
-FLUSH_BYTES = 16 << 20  # of text, between two lots of counts from a task
+FLUSH_BYTES = 8 << 20  # of text, between two lots of counts from a task
 
 BLOCK = 1 << 20  # of text; longer blocks have fewer distinct words to look up
 LOT = 4 << 20  # of text that is scored with one group of slices after the other
@@ -102,10 +102,12 @@ def _count_rows(parts):
 
         words = _merged(*(np.concatenate([g[0][i] for g in gathered]) for i in range(2)))
         pairs = [np.concatenate([g[1][i] for g in gathered]) for i in range(3)]
+        gathered.clear()
         # pairs of one history side by side, in the order of the words' parts
         order = np.lexsort((pairs[0], pairs[2]))
         keys, counts, history = (v[order] for v in pairs)
-        new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (history[1:] != history[:-1])])) if len(keys) else order
+        del pairs, order
+        new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (history[1:] != history[:-1])])) if len(keys) else np.zeros(0, np.int64)
         keys, history, counts = keys[new], history[new], np.add.reduceat(counts, new) if len(new) else counts
         edges = np.arange(parts + 1, dtype=np.uint64)
         word_cut, pair_cut = np.searchsorted(_part(words[0], parts), edges), np.searchsorted(_part(history, parts), edges)
@@ -507,7 +509,7 @@ def _scorer(model, width, names):
             for row, offsets, data in blocks.text_blocks(batch.column(width), BLOCK):
                 waiting.append((batch.slice(row, len(offsets) - 1), offsets, data))
                 size += len(data)
-                if size >= LOT:
+                if size >= LOT or len(groups) == 1:
                     yield from scored(waiting)
                     waiting, size = [], 0
             yield from scored(waiting)
