@@ -99,7 +99,7 @@ def no_repetition(col, stop_match="substring"):
     """No three-word phrase occurs more than twice. ``col`` has single spaces.
 
     A phrase counts only if it is free of stop words: found anywhere inside it (``substring``)
-    or as one of its words (``token``). The phrases of one text are sorted within its row; a
+    or as one of its words (``token``). The hashes of the phrases of one text are sorted within its row; a
     phrase with three copies then equals the entry two places on, so no shuffle is needed.
     """
     stops = fixed.STOP_WORDS
@@ -109,13 +109,15 @@ def no_repetition(col, stop_match="substring"):
     def plain(w):
         return ~text.holds_any(w, shortest) if stop_match == "substring" else ~w.isin(*stops)
 
-    tokens = F.transform(F.split(F.lower(col), " "), lambda w: F.when((w != "") & plain(w), w))
+    tokens = F.transform(F.split(F.lower(col), " "), lambda w: F.when((w != "") & plain(w), F.xxhash64(w)))
+
+    def phrase(ws, w, i):
+        # 64-bit hashes of the words; most words are null here, so the others are looked at only after them
+        second, third = F.get(ws, i + 1), F.get(ws, i + 2)
+        return F.when(w.isNotNull(), F.when(second.isNotNull(), F.when(third.isNotNull(), F.xxhash64(w, second, third))))
 
     def phrases(ws):
-        trio = F.transform(
-            ws, lambda w, i: F.concat(w, F.lit(" "), F.get(ws, i + 1), F.lit(" "), F.get(ws, i + 2))
-        )
-        return F.sort_array(F.array_compact(trio))
+        return F.sort_array(F.array_compact(F.transform(ws, lambda w, i: phrase(ws, w, i))))
 
     def repeated(s):
         return F.exists(F.transform(s, lambda x, i: _known(x == F.get(s, i + 2))), lambda hit: hit)

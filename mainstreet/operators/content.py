@@ -62,33 +62,34 @@ def check_rates(pages):
 def frequent_words(col, k=5, least=3):
     """Most frequent words of four or more ASCII letters, ties by first occurrence, those below ``least`` left out.
 
-    Words are sorted with their positions inside the row, so equal words form runs; a run's
-    length is its frequency. Nothing is shuffled.
+    The words' 64-bit hashes are sorted inside the row, so equal words form runs. Only runs of ``least``
+    and more are measured, by their first and last places; the words themselves are fetched for
+    the ``k`` longest runs. Nothing is shuffled.
     """
     found = F.filter(
         F.regexp_extract_all(F.lower(col), F.lit(r"(?U)\b[a-z]{4,}\b"), F.lit(0)),
         lambda w: ~w.isin(*[s for s in fixed.STOP_WORDS if len(s) >= 4]),
     )
-    placed = F.sort_array(F.transform(found, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
 
-    def runs(s):
-        starts = F.filter(
-            F.transform(s, lambda x, j: F.struct(x.w.alias("w"), x.i.alias("i"), j.alias("j"))),
-            lambda x: (x.j == 0) | (x.w != F.get(s, x.j - 1).w),
-        )
+    def top(words, hashes):
+        def runs(s):
+            def differs(x, i):
+                return ~F.coalesce(x == F.get(s, i), F.lit(False))
 
-        def counted(r):
-            return F.transform(
-                r,
-                lambda x, n: F.struct(
-                    (x.j - F.coalesce(F.get(r, n + 1).j, F.size(s))).alias("minus"), x.i.alias("i"), x.w.alias("w")
-                ),
-            )
+            def same(x, i):
+                return x == F.get(s, i)
 
-        return text.let(starts, counted)
+            firsts = F.transform(s, lambda x, j: F.when(same(x, j + (least - 1)) & differs(x, j - 1), F.struct(j.alias("j"), x.alias("x"))))
+            lasts = F.transform(s, lambda x, j: F.when(same(x, j - (least - 1)) & differs(x, j + 1), j))
+            # the first places and the last ones of long runs are in the same order
+            return F.arrays_zip(F.array_compact(firsts).alias("a"), F.array_compact(lasts).alias("z"))
+
+        long_runs = F.transform(
+            text.let(F.sort_array(hashes), runs), lambda r: F.struct((r.a.j - r.z).alias("minus"), F.array_position(hashes, r.a.x).alias("i"))
+        )
+        return F.transform(F.slice(F.sort_array(long_runs), 1, k), lambda r: F.element_at(words, r.i.cast("int")))
 
-    top = F.slice(F.sort_array(text.let(placed, runs)), 1, k)
-    return F.transform(F.filter(top, lambda x: x.minus <= -least), lambda x: x.w)
+    return text.let(found, lambda ws: text.let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: top(ws, hs)))
 
 
 def meta_keywords(pages, k=8):
