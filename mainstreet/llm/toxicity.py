@@ -30,6 +30,8 @@ ADDRESS = [
 ]
 
 WINDOW = 6
+FEW = 4  # rows at which the weight of a term is half of what its odds say
+TIMES = 12  # toxic rows to a clean one from which a single clean row counts as chance
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 
 # Latin letters with marks, U+00C0 to U+00FF, without them
@@ -41,21 +43,28 @@ def _tables():
     plain[65:91] += 32
     for a, b in _LEET.items():
         plain[ord(a)] = ord(b)
+    # by the second byte of a Latin letter: its own number, in lower case; signs are spaces
     latin = np.full(256, 32, np.uint8)
-    latin[0x80:0xC0] = np.frombuffer(_LATIN.encode(), np.uint8)
+    latin[0x80:0xC0] = np.arange(0xC0, 0x100)
+    latin[0x80:0x9F] += 0x20
+    latin[[0x97, 0xB7]] = 32
+    unmarked = np.arange(256, dtype=np.uint8)
+    unmarked[0xC0:] = np.frombuffer(_LATIN.encode(), np.uint8)
     word = np.zeros(256, bool)
     word[97:123] = word[128:] = True
-    return plain, latin, word
+    return plain, latin, unmarked, word
 
 
-_PLAIN, _LATIN_TABLE, _IN_WORD = _tables()
+_PLAIN, _LATIN_TABLE, _UNMARKED, _IN_WORD = _tables()
 _QUOTE = 34
 
 
 def fold(offsets, data):
-    """Lower case, no accents, digits that stand for letters read as them, all quotation marks as one.
+    """Lower case, one byte for a Latin letter with a mark, digits that stand for letters read as them, all quotation marks as one.
 
-    Digits without any letter beside them become letters too; the lexicon does not care.
+    Marks stay, because words that differ by them alone may be clean ones; a mark that is left out or
+    put in is one error like any other letter. Digits without any letter beside them become letters
+    too; the lexicon does not care.
     """
     out = _PLAIN[data]
     keep = np.ones(len(data), bool)
@@ -109,7 +118,7 @@ class Automaton:
         for i, t in enumerate(terms):
             node = 0
             budget[0] = max(budget[0], t.errors)
-            for c in t.text.encode():
+            for c in t.text.encode("latin-1"):
                 if c not in children[node]:
                     children[node][c] = len(children)
                     children.append({})
@@ -189,11 +198,20 @@ def _word_sets(offsets, data):
     for a, b in zip(cut[:-1], cut[1:]):
         distinct, first = np.unique(hashes[a:b], return_index=True)
         sets.append(blocks.mix(distinct.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
-        long = [raw[starts[a + i] : ends[a + i]] for i in first if ends[a + i] - starts[a + i] <= 40]
-        words.append(b" ".join(long).decode("utf-8", "replace"))
+        words.append(b" ".join(raw[starts[a + i] : ends[a + i]] for i in first).decode("latin-1"))
     return [np.array(sets, np.int64), words]
 
 
+def _single_bytes(offsets, data):
+    """Words of a vocabulary in the bytes that :func:`fold` makes: their code points are all below 256."""
+    lead = (data == 0xC2) | (data == 0xC3)
+    out = data.copy()
+    out[1:][data[:-1] == 0xC3] += 0x40
+    sums = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(~lead, out=sums[1:])
+    return sums[offsets], out[~lead]
+
+
 def _word_rows(texts):
     """Label and distinct words of the texts; rows of a label with the very same set of words are one row."""
     fields = [T.StructField("_set", T.LongType()), T.StructField("_words", T.StringType())]
@@ -208,7 +226,10 @@ def _vocabulary(rows):
 
 
 def _candidates(vocabulary, support, purity, most):
-    pure = (F.col("toxic") >= support) & (F.col("clean") <= (1 - purity) * F.col("toxic"))
+    """Words and stems that stand in toxic rows: the share of ``purity``, or all but one row if the toxic ones are many times more."""
+    toxic, clean = F.col("toxic"), F.col("clean")
+    chance = (clean <= 1 + (1 - purity) * toxic) & (toxic >= TIMES * (clean + 0.5))
+    pure = (toxic >= support) & ((clean <= (1 - purity) * toxic) | chance)
     whole = vocabulary.where(pure & (F.length("word") >= 4)).select("word", "toxic", F.lit(False).alias("stem"))
     cuts = F.explode(F.transform(F.array(*[F.lit(k) for k in (4, 5, 6)]), lambda k: F.when(
         F.length("word") > k, F.substring("word", F.lit(1), k)
@@ -243,6 +264,7 @@ def lexicon(vocabulary, support, purity=0.98, most=300):
     fields = [T.StructField("_term", T.IntegerType()), T.StructField("_errors", T.IntegerType())]
 
     def match(offsets, data):
+        offsets, data = _single_bytes(offsets, data)
         last = np.zeros(len(offsets) - 1, np.int32)
         some = np.flatnonzero(offsets[:-1] < offsets[1:])
         last[some] = machine.read(data, offsets[:-1][some], offsets[1:][some])
@@ -259,7 +281,8 @@ def lexicon(vocabulary, support, purity=0.98, most=300):
             if more_c > (t + more_t) / 9 - c or more_c > more_t:
                 break
             errors, t, c = errors + 1, t + more_t, c + more_c
-        terms.append(Term(term.text, term.stem, errors, float(np.log((t + 0.5) / (c + 0.5)))))
+        # a term that few rows have may be there by chance, so it weighs less
+        terms.append(Term(term.text, term.stem, errors, float(np.log((t + 0.5) / (c + 0.5)) * t / (t + FEW))))
     return terms
 
 
@@ -293,7 +316,7 @@ class Detector:
         if len(found):
             near = np.clip(found[:, None] + np.arange(-WINDOW, WINDOW + 1), 0, len(starts) - 1)
             own = row[near] == row[found][:, None]
-            names = blocks.span_hashes(data, starts[near].ravel(), ends[near].ravel()).reshape(near.shape)
+            names = blocks.span_hashes(_UNMARKED[data], starts[near].ravel(), ends[near].ravel()).reshape(near.shape)
             windows[:, 1] = (np.isin(names, _signature(REPORTING)) & own).any(1)
             windows[:, 2] = (np.isin(names, _signature(ADDRESS)) & own).any(1)
             # quotation marks between the window's edges and the hit, on both sides
@@ -381,7 +404,7 @@ def spans(docs, detector, id_col="doc_id", text_col="text"):
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_pydict(dict(zip(names, [
                     pa.array([batch.column(0)[first + int(r)].as_py() for r in row], pa.string()),
-                    pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(start, end)], pa.string()),
+                    pa.array([raw[a:b].decode("latin-1") for a, b in zip(start, end)], pa.string()),
                     pa.array([detector.terms[t].text for t in term], pa.string()),
                     pa.array(errors, pa.int32()),
                     *[pa.array(w, pa.bool_()) for w in (windows.T if len(row) else np.zeros((3, 0), bool))],

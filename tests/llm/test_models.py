@@ -173,3 +173,38 @@ def test_pipeline(spark, tmp_path):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", F.col("text").alias("item"))
     clean = spark.read.parquet(str(tmp_path / "decontamination"))
     assert clean.join(F.broadcast(bench), F.contains("text", "item")).count() == 0
+
+
+def test_toxicity_in_every_language(spark):
+    """Recall and false alarms among held-out rows, by language."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    known = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    held = queries.QUERIES["op1_toxicity"](spark, sf).where("held_out").join(known, "doc_id").join(docs, "doc_id")
+    rows = held.groupBy("lang").agg(
+        F.sum("toxic").alias("toxic"), F.sum(F.col("toxic") * F.col("predicted")).alias("found"),
+        F.sum((1 - F.col("toxic")) * F.col("predicted")).alias("wrong"), F.count(F.lit(1)).alias("n"),
+    ).collect()
+    got = {r["lang"]: r for r in rows}
+    print({k: r.asDict() for k, r in got.items()})
+    assert set(got) == {"de", "en", "es", "fr"}
+    assert all(r["found"] >= 0.7 * r["toxic"] for r in rows)
+    assert sum(r["found"] for r in rows) >= 0.85 * sum(r["toxic"] for r in rows)
+    assert sum(r["wrong"] for r in rows) <= 0.005 * sum(r["n"] for r in rows)
+
+
+def test_toxicity_marks_are_letters():
+    """Marks count as letters, and windows read words of reporting without them."""
+    data = np.frombuffer("ÉCRIT réÈß « x » ×".encode(), np.uint8)
+    offsets, out = toxicity.fold(np.array([0, len(data)]), data)
+    assert out.tobytes() == "écrit réèß \" x \"  ".encode("latin-1") and list(offsets) == [0, len(out)]
+    machine = toxicity.Automaton([toxicity.Term("réeux", False, 1, 1.0)])
+    words = ["réeux", "reeux", "rêeux", "reeu"]
+    flat = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    last = machine.read(flat, ends - [len(w) for w in words], ends)
+    assert list(machine.term[last] >= 0) == [True, True, True, False] and list(machine.errors[last][:3]) == [0, 1, 1]
+    data = np.frombuffer("blé日本".encode(), np.uint8)
+    folded = toxicity.fold(np.array([0, len(data)]), data)
+    told = np.frombuffer(folded[1].tobytes().decode("latin-1").encode(), np.uint8)
+    assert toxicity._single_bytes(np.array([0, len(told)]), told)[1].tobytes() == folded[1].tobytes()
