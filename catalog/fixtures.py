@@ -168,8 +168,18 @@ def businesses(spark, sf_dir, description=True):
     return spark.sql(business_sql(description)).withColumn("pos", c("k")).drop("k")
 
 
+def _spread(df, key):
+    """Divide a table by a key if its scan has fewer parts than tasks can run; a larger one stays as it is.
+
+    One task reads a whole row group, so the texts of a small file would all be worked on by one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def flat_pages(spark, sf_dir):
     _views(spark, sf_dir, "customer", "documents")
+    _spread(spark.table("documents"), "doc_id").createOrReplaceTempView("documents")
     spark.sql(business_sql(False)).createOrReplaceTempView("business_core")
     return spark.sql(page_sql()).drop("k")
 

@@ -10,6 +10,16 @@ from mainstreet.functions import fixed, text
 
 c = F.col
 
+# Names of the checks in report order, for callers that need no rules: building those takes seconds.
+METADATA_CHECKS = (
+    "title_length", "title_capitalized", "title_not_all_caps", "meta_length", "meta_compelling", "h1_length",
+    "h1_different_from_title", "slug_format", "slug_not_too_long", "slug_has_keywords", "has_keywords", "keyword_variety",
+)
+CONTENT_CHECKS = (
+    "word_count", "has_introduction", "has_conclusion", "content_flows", "mentions_business_name", "mentions_category",
+    "mentions_location", "varied_sentence_length", "no_repetitive_phrases", "includes_address",
+)
+
 
 def _known(rule):
     return F.coalesce(rule, F.lit(False))

@@ -30,8 +30,8 @@ def _checked(prepared, stop_match):
 
 
 def _as_maps(checked):
-    maps = {"seo_results": _as_map(checks.metadata_checks()), "content_results": _as_map(checks.content_checks())}
-    return checked.withColumns(maps).drop(*[f"_ok_{name}" for name in _rules()])
+    maps = {"seo_results": _as_map(checks.METADATA_CHECKS), "content_results": _as_map(checks.CONTENT_CHECKS)}
+    return checked.withColumns(maps).drop(*[f"_ok_{name}" for name in (*checks.METADATA_CHECKS, *checks.CONTENT_CHECKS)])
 
 
 def check_columns(pages, names=None, stop_match="substring"):
@@ -104,7 +104,7 @@ def meta_keywords(pages, k=8):
 def _violations():
     """Ordered texts for failed checks, missing markup and links, and keyword density out of range."""
     rules = []
-    for kind, names in (("SEO metadata", checks.metadata_checks()), ("Content", checks.content_checks())):
+    for kind, names in (("SEO metadata", checks.METADATA_CHECKS), ("Content", checks.CONTENT_CHECKS)):
         rules += [F.when(~c(f"_ok_{name}"), F.lit(f"{kind} failed: {name}")) for name in names]
     rules += [
         F.when(c("jsonld").isNull(), F.lit("Missing schema.org markup")),

@@ -223,3 +223,8 @@ def test_stars(spark):
 
 def test_escape(spark):
     assert value(spark, text.escape_html, "<a href=\"x\">'&'</a>") == "&lt;a href=&#34;x&#34;&gt;&#39;&amp;&#39;&lt;/a&gt;"
+
+
+def test_names_of_checks_are_in_report_order(spark):
+    assert tuple(checks.metadata_checks()) == checks.METADATA_CHECKS
+    assert tuple(checks.content_checks()) == checks.CONTENT_CHECKS
