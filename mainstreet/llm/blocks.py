@@ -115,6 +115,14 @@ def row_ranges(rows, n):
     return np.searchsorted(rows, np.arange(n + 1))
 
 
+def free_name(df, name):
+    """The name, with as many underscores behind it as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def append_columns(df, text_col, fields, compute):
     """The rows of ``df`` with further columns from their texts; ``compute(offsets, data)`` gives one array per field.
 

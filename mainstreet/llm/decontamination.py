@@ -244,7 +244,8 @@ def clean(docs, benchmark, text_col="text", item_col="item_id", item_text_col="t
 
         return compute
 
-    field = [T.StructField("_leak", T.BooleanType())]
+    leak = blocks.free_name(docs, "_leak")
+    field = [T.StructField(leak, T.BooleanType())]
     for index in indexes(benchmark, item_col, item_text_col):
-        docs = blocks.append_columns(docs, text_col, field, flag(index)).where(~F.col("_leak")).drop("_leak")
+        docs = blocks.append_columns(docs, text_col, field, flag(index)).where(~F.col(leak)).drop(leak)
     return docs

@@ -148,7 +148,8 @@ def predict(docs, model, text_col="text"):
     A text that is null or has no letter gets ``und``, score 0 and is not accepted; so does every
     text if there was nothing to learn from. Columns with these names are replaced.
     """
-    fields = [T.StructField("_best", T.IntegerType()), T.StructField("score", T.DoubleType())]
+    best = blocks.free_name(docs, "_best")
+    fields = [T.StructField(best, T.IntegerType()), T.StructField("score", T.DoubleType())]
 
     def compute(offsets, data):
         n = len(offsets) - 1
@@ -158,12 +159,12 @@ def predict(docs, model, text_col="text"):
         return [p.argmax(1).astype(np.int32), p.max(1).astype(float)]
 
     named = blocks.append_columns(docs, text_col, fields, compute)
-    ok = has_letter(F.col(text_col)) & (F.col("_best") >= 0)
+    ok = has_letter(F.col(text_col)) & (F.col(best) >= 0)
     names = F.array(*[F.lit(v) for v in model.languages]) if model.languages else F.array().cast("array<string>")
     score = F.when(ok, F.col("score")).otherwise(0.0)
     named = named.withColumns({
-        "lang_pred": F.when(ok, F.get(names, F.col("_best"))).otherwise(NO_LANGUAGE),
+        "lang_pred": F.when(ok, F.get(names, F.col(best))).otherwise(NO_LANGUAGE),
         "score": score,
         "accepted": ok & (score >= model.accept),
     })
-    return named.drop("_best")
+    return named.drop(best)
