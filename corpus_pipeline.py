@@ -2,6 +2,10 @@
 
 Every stage but the last returns the columns of ``documents``; ``run`` applies them one after the
 other. Each is stored in the shared folder before the next one reads it.
+
+Columns of ``documents`` that a stage does not know go through it, whatever their names. A null text counts as
+empty. An empty table stays one. Without labels all documents get one score and stay or go together; without benchmark
+items none is dropped.
 """
 
 from pyspark.sql import functions as F
@@ -18,8 +22,8 @@ def quality_stage(spark, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = blocks.remainder(F.col("doc_id"), 4) == 2
     model = quality.fit(docs, labels.where(~held_out))
-    scored = quality.score(docs, model, score_col="_quality")
-    return scored.where(F.col("_quality") >= QUALITY_THRESHOLD).drop("_quality")
+    name = blocks.free_name(docs, "_quality")
+    return quality.score(docs, model, score_col=name).where(F.col(name) >= QUALITY_THRESHOLD).drop(name)
 
 
 def dedup_stage(spark, docs, sf_dir):
@@ -35,13 +39,15 @@ def decontamination_stage(spark, docs, sf_dir):
 def mixing_stage(spark, docs, sf_dir):
     """Bring the sources to their target weights: a document is repeated, or left out, as the mix says.
 
-    Rows without id cannot be told apart and are used once.
+    Rows without id cannot be told apart and are used once; rows that share one are used as often as the most used of
+    them. (The dedup before this stage leaves one row to an id.)
     """
-    uses = mixing.mix(docs).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max(F.size("draws")).alias("_mix_uses"))
+    own, times, use = (blocks.free_name(docs, n) for n in ("_mix_id", "_mix_uses", "_mix_use"))
+    uses = mixing.mix(docs).groupBy(F.col("doc_id").alias(own)).agg(F.max(F.size("draws")).alias(times))
     uses = checked_broadcast(uses)  # so that texts are moved only if the ids are too many for it
-    rows = docs.join(uses, docs["doc_id"] == uses["_mix_id"], "left")
-    again = F.explode(F.array_repeat(F.lit(0), F.coalesce("_mix_uses", F.lit(1))))
-    return rows.select(*[docs[c] for c in docs.columns], again.alias("_mix_use")).drop("_mix_use")
+    rows = docs.join(uses, docs["doc_id"] == uses[own], "left")
+    again = F.explode(F.array_repeat(F.lit(0), F.coalesce(times, F.lit(1))))
+    return rows.select(*[docs[c] for c in docs.columns], again.alias(use)).drop(use)
 
 
 def sharding_stage(spark, docs, sf_dir):
