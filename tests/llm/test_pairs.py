@@ -148,6 +148,49 @@ def test_embeddings_query(spark, sf):
     assert [r["n_links"] for r in got] == list(expected)
 
 
+def test_embeddings_with_sets_of_directions(spark):
+    """With few directions to be had, sets of three of them make the cells."""
+    rng = np.random.default_rng(12)
+    noisy = [c + rng.standard_normal(64) * s for c in rng.standard_normal((30, 64)) for s in np.linspace(0.05, 0.6, 12)]
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate([*noisy, *rng.standard_normal((700, 64))])]
+    assert embeddings.scheme(len(rows), most=256) == (256, 3)
+    assert embeddings.scheme(20_000, most=4096) == (4096, 2)
+    x = np.array([np.array(r[1], np.float32) for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = embeddings.near_duplicates(_vectors(spark, rows), most=256).orderBy("vec_id").collect()
+    assert [r["n_links"] for r in got] == list((x @ x.T >= 0.9).sum(1) - 1)
+
+
+@pytest.mark.parametrize("n_directions, together", [(2048, 1), (1024, 2)])
+def test_embeddings_recall_and_windows(spark, n_directions, together):
+    """Pairs at exactly the threshold are found, and windows keep few of the pairs that share a cell by chance."""
+    half, least = embeddings.calibrated(0.9, 64, n_directions, together)
+    fresh = embeddings.simulated(0.9, 64, n_directions, together, 4000, 99)
+    assert np.mean([(d <= half).sum() >= least for d in fresh]) >= 0.997
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((1500, 64)))]
+    number, x, y = embeddings._cells(embeddings._unit(np.array([r[1] for r in rows])), n_directions, together)
+    flat = [(i, 64, int(c), float(p), float(q)) for i in range(1500) for c, p, q in zip(number[i], x[i], y[i])]
+    cells = spark.createDataFrame(flat, "c long, dims int, cell long, x double, y double")
+    got = sorted(map(tuple, embeddings.collisions(cells, half).collect()))
+    by = {}
+    for i, _, c, p, q in flat:
+        by.setdefault(c, []).append((i, p, q))
+    shared = [(a, b) for rows in by.values() for k, a in enumerate(rows) for b in rows[k + 1 :]]
+    expected = sorted((a[0], b[0]) for a, b in shared if abs(a[1] - b[1]) <= half and abs(a[2] - b[2]) <= half)
+    assert got == expected
+    assert 0 < len(got) < 0.25 * len(shared)
+
+
+def test_embeddings_scheme_keeps_work_per_vector():
+    """Pairs that share a cell by chance, for each vector, do not grow with the number of vectors once sets are used."""
+    for n in (10**6, 10**7, 10**8, 10**9):
+        n_directions, together = embeddings.scheme(n)
+        cells = embeddings.comb(embeddings.TOP, together)
+        met = n * cells**2 * embeddings.factorial(together) / n_directions**together
+        assert n_directions <= embeddings.MOST_DIRECTIONS and met <= cells
+
+
 def _distance(a, b):
     """Edits from ``a`` to the nearest part of ``b``."""
     row = [0] * (len(b) + 1)
