@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,8 +57,9 @@ def test_repeats_small_table(spark, sf, texts):
     assert got == _repeats(list(texts.items()))
 
 
-@pytest.mark.parametrize("most", [2, 16])
-def test_repeats_many_contexts_of_one_passage(spark, monkeypatch, most):
+@pytest.mark.parametrize("most, hot", [(2, repeats.HOT), (16, repeats.HOT), (16, 8), (2, 2)])
+def test_repeats_many_contexts_of_one_passage(spark, monkeypatch, most, hot):
+    """Whether anchors with many contexts are divided where they are sorted, or before they are sent."""
     rng = random.Random(most)
     word = lambda n: "".join(rng.choice("ab") for _ in range(n))
     core = word(30)
@@ -67,12 +69,40 @@ def test_repeats_many_contexts_of_one_passage(spark, monkeypatch, most):
         left, right = rng.choice(lefts)[rng.randrange(30) :], rng.choice(rights)[: rng.randrange(30)]
         rows.append((i, word(rng.randrange(3)) + left + core + right + rng.choice(["", "é", "€", core, "a" * 60])))
     monkeypatch.setattr(repeats, "MOST_PIECES", most)
+    monkeypatch.setattr(repeats, "HOT", hot)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert _digests(frame) == _repeats(rows)
     keys = np.full(2, 7, np.uint64)
     assert repeats.least_ids(keys, np.zeros((2, repeats._PIECE), np.uint8), np.array([5, 4])).shape == (2, repeats.SIDE + 1)
 
 
+def test_repeats_rows_follow_the_text():
+    """What is sent depends on the anchors of the texts, however many parts there are."""
+    text = "".join(random.Random(2).choice("abcdefgh ") for _ in range(3000))
+    batch = pa.RecordBatch.from_pydict({"t": [text, text, text[:1000]]})
+    keys = set(repeats.anchors(np.array([0, 3000]), np.frombuffer(text.encode(), np.uint8))[1].tolist())
+    for parts in (4, 1000, 10**9):
+        rows = [r for out in repeats._anchor_rows(parts)([batch]) for r in out.to_pylist()]
+        assert len(rows) <= min(parts, len(keys))
+        assert {k for r in rows for k in repeats._unplanes(r["keys"]).tolist()} == keys
+        assert sum(len(r["level"]) for r in rows) == len(keys)
+
+
+def test_repeats_hot_anchor_is_spread():
+    """Pieces of one anchor whose contexts differ fall into many groups; those that share a string share one."""
+    rng = np.random.default_rng(6)
+    pieces = rng.integers(97, 100, (4000, repeats._PIECE)).astype(np.uint8)
+    pieces[:, :2] = repeats.SIDE
+    number, keys, cut = repeats._divided(np.full(4000, 9, np.uint64), pieces)
+    assert len(number) == 4000 * repeats.SIDE // repeats.STEP
+    assert np.bincount(np.unique(keys, return_inverse=True)[1]).max() < 10
+    string = np.arange(repeats.SIDE + 1)
+    has = (string >= repeats.SIDE - cut[:, :1].astype(int)) & (string <= cut[:, 1:2])
+    covered = np.zeros((4000, repeats.SIDE + 1), bool)
+    np.logical_or.at(covered, number, has)
+    assert covered.all()
+
+
 def test_repeats_odd_rows(odd, nothing):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     short = [(i, t[:3000] if t else t) for i, t in rows]
