@@ -88,6 +88,14 @@ def test_repeats_rows_follow_the_text():
         assert sum(len(r["level"]) for r in rows) == len(keys)
 
 
+def test_repeats_parts_are_alike():
+    """Anchors are least hashes, yet no part of the hash space gets more of them than others."""
+    data = np.random.default_rng(5).integers(97, 123, 200_000).astype(np.uint8)
+    keys = np.unique(repeats.anchors(np.array([0, len(data)]), data)[1])
+    sizes = np.bincount(repeats._part(keys, 16).astype(int), minlength=16)
+    assert sizes.max() < 1.3 * sizes.mean() and sizes.min() > 0.7 * sizes.mean()
+
+
 def test_repeats_hot_anchor_is_spread():
     """Pieces of one anchor whose contexts differ fall into many groups; those that share a string share one."""
     rng = np.random.default_rng(6)
