@@ -8,6 +8,7 @@ and state, and a tenth of all pages share one business, so heavy keys are part o
 from pyspark.sql import functions as F
 
 from mainstreet import schemas
+from mainstreet.operators.shuffles import lookup
 
 c = F.col
 
@@ -85,13 +86,16 @@ _PAGE_FIELDS = """
 """
 
 
+# Documents with the number of their business.
+KEYED_SQL = (
+    "SELECT doc_id AS x, text, CASE WHEN doc_id % 10 = 0 THEN CAST(1 AS BIGINT) "
+    "ELSE CAST(floor(doc_id / 2) AS BIGINT) END AS bk FROM documents"
+)
+
+
 def page_sql():
     """Pages: one per document, two or more per business; every tenth page belongs to business 1."""
-    keyed = (
-        "SELECT doc_id AS x, text, CASE WHEN doc_id % 10 = 0 THEN CAST(1 AS BIGINT) "
-        "ELSE CAST(floor(doc_id / 2) AS BIGINT) END AS bk FROM documents"
-    )
-    return f"SELECT {_PAGE_FIELDS} FROM ({keyed}) d JOIN (SELECT * FROM business_core) b ON b.k = d.bk"
+    return f"SELECT {_PAGE_FIELDS} FROM ({KEYED_SQL}) d JOIN (SELECT * FROM business_core) b ON b.k = d.bk"
 
 
 def rendered_sql():
@@ -168,20 +172,25 @@ def businesses(spark, sf_dir, description=True):
     return spark.sql(business_sql(description)).withColumn("pos", c("k")).drop("k")
 
 
-def _spread(df, key):
-    """Divide a table by a key if its scan has fewer parts than tasks can run; a larger one stays as it is.
+def _divided(pages, documents):
+    """Pages dealt out by their number to at least as many tasks as can run, and to four for each part of the documents' scan.
 
-    One task reads a whole row group, so the texts of a small file would all be worked on by one core.
+    One task reads a whole row group, so the texts of a small file would all be worked on by one core; of a larger
+    table, a join leaves little more than one task per core, the last of which the others would wait for.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
+    cores, parts = documents.sparkSession.sparkContext.defaultParallelism, documents.rdd.getNumPartitions()
+    return pages.repartition(max(cores, 4 * parts), "x")
 
 
 def flat_pages(spark, sf_dir):
     _views(spark, sf_dir, "customer", "documents")
-    _spread(spark.table("documents"), "doc_id").createOrReplaceTempView("documents")
     spark.sql(business_sql(False)).createOrReplaceTempView("business_core")
-    return spark.sql(page_sql()).drop("k")
+    # ``page_sql`` with its join made by a lookup, since one business may hold much of all pages
+    core = spark.table("business_core")
+    found = lookup(spark.sql(KEYED_SQL), core.withColumn("bk", c("k")), ["bk"], spread=["x"]).where("k IS NOT NULL")
+    _divided(found, spark.table("documents")).createOrReplaceTempView("page_businesses")
+    fields = _PAGE_FIELDS.replace("b.*", ", ".join(f"b.{n}" for n in core.columns))
+    return spark.sql(f"SELECT {fields} FROM page_businesses b").drop("k")
 
 
 def page_specs(spark, sf_dir):

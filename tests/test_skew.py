@@ -183,3 +183,27 @@ def test_repeated_and_null_ids_have_ranks_of_their_own(spark, sf):
     keys = [(-r.priority_score, -(r.rating or -1), -(r.review_count or -1), r.business_id is None, r.business_id or "") for r in out]
     assert keys == sorted(keys)
     assert all(r.local_competition > 0 for r in out)
+
+
+def _page_tables(spark, path):
+    """Documents that nearly all belong to business 1, some twice or without an id; one business stands twice, one has no key."""
+    ids = [*range(10, 20010, 10), 10, 20, None, 4, 5, 6, 7]
+    docs = [(i, f"Text {n}. More of {i}!", "en", "web", 20) for n, i in enumerate(ids)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{path}/documents.parquet")
+    keys = [1, 2, 3, 3, None]
+    customers = [(k, f"c{n}", n, 1.0, "MACHINERY") for n, k in enumerate(keys)]
+    fields = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    spark.createDataFrame(customers, fields).write.parquet(f"{path}/customer.parquet")
+    return str(path)
+
+
+def test_pages_of_one_business_are_divided(spark, shuffled_joins, tmp_path):
+    """Also if the businesses are too many to be sent to every task; the rows are those of the SQL."""
+    pages = fixtures.flat_pages(spark, _page_tables(spark, tmp_path))
+    sizes = [r["count"] for r in pages.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 0.3 * sum(sizes)
+    plain = spark.sql(fixtures.page_sql()).drop("k")
+    assert pages.columns == plain.columns
+    assert pages.schema.simpleString() == plain.schema.simpleString()
+    told = [sorted(map(repr, df.collect())) for df in (pages, plain)]
+    assert told[0] == told[1] and len(told[0]) == 2002 + 2 + 2 * 2
