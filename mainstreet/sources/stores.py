@@ -2,6 +2,7 @@
 
 import json
 import uuid
+from collections import Counter
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,12 @@ from mainstreet.sources import folders
 
 DAY = "gen_date"
 
+# The day as files hold it whose folder is a month's, and the folder of specs without a time.
+IN_FILE, NO_DAY = "_gen_date", "__HIVE_DEFAULT_PARTITION__"
+
+# New days of one write up to which each has a folder of its own, and specs of a month that may share one.
+DAYS_APART, MONTH_SPECS = 100, 10_000
+
 
 def keep_last_spec(df):
     """The last page spec per day and business; later writes replace earlier ones.
@@ -26,17 +33,59 @@ def keep_last_spec(df):
     return dated.join(last, dated["page_pos"].eqNullSafe(F.col("_pos")) & dated[DAY].eqNullSafe(F.col("_day")), "left_semi")
 
 
-def _days(spark, path):
-    """The days that the store holds, oldest first, from the names of its folders."""
+def _places(spark, path):
+    """The days and months that the store holds as folders, oldest first, from their names."""
     mark = f"{DAY}="
     return [name[len(mark) :] for name in folders.subfolders(spark, path) if name.startswith(mark)]
 
 
-def _read_days(spark, path, days):
-    """The specs of the given days only; other folders are neither listed nor opened."""
-    parts = [f"{path}/{DAY}={day}" for day in days]
-    rows = spark.read.option("basePath", path).option("mergeSchema", True).parquet(*parts)
-    return rows.withColumn(DAY, F.col(DAY).cast("string"))
+def _month(day):
+    """The month that a day may be kept in; none for the day of specs without a time."""
+    return day[:6] if len(day) == 8 and day.isdigit() else None
+
+
+def _shared_months(counts, held):
+    """The months among ``counts``, specs by day, whose days share a folder, each with those of its days that have their own.
+
+    A day that the store holds stays where it is. Other days share a folder per month if there are more
+    than ``DAYS_APART`` of them and few specs in the month, since a small file costs far more than its rows.
+    """
+    fresh = [day for day in counts if day not in held and _month(day)]
+    size = Counter()
+    for day in fresh:
+        size[_month(day)] += counts[day]
+    bulk = len(fresh) > DAYS_APART
+    months = {_month(day) for day in counts} - {None}
+    shared = {m: [] for m in months if m in held or (bulk and 0 < size[m] <= MONTH_SPECS)}
+    for day in held:
+        if _month(day) in shared:
+            shared[_month(day)].append(day)
+    return shared
+
+
+def _placed(rows, shared):
+    """Rows with the name of their folder in place of their day, which goes into the file where the folder is a month's."""
+    if not shared:
+        return rows
+    months = rows.sparkSession.createDataFrame(sorted(shared.items()), "_month string, _apart array<string>")
+    found = rows.withColumn("_month", F.left(DAY, F.lit(6))).join(F.broadcast(months), "_month", "left")
+    within = F.coalesce(F.col("_apart").isNotNull() & ~F.array_contains("_apart", F.col(DAY)) & (F.length(DAY) == 8), F.lit(False))
+    named = found.withColumn(IN_FILE, F.when(within, F.col(DAY)))
+    return named.withColumn(DAY, F.when(within, F.col("_month")).otherwise(F.col(DAY))).select(*rows.columns, IN_FILE)
+
+
+def _dated(rows):
+    """Rows as read, with the day that their folder or, where that is a month's, their file names."""
+    day = F.col(DAY).cast("string")
+    if IN_FILE not in rows.columns:
+        return rows.withColumn(DAY, day)
+    return rows.withColumn(DAY, F.coalesce(F.col(IN_FILE), day)).drop(IN_FILE)
+
+
+def _read_places(spark, path, places):
+    """The specs of the given folders only; other folders are neither listed nor opened."""
+    parts = [f"{path}/{DAY}={place}" for place in places]
+    return _dated(spark.read.option("basePath", path).option("mergeSchema", True).parquet(*parts))
 
 
 def write_page_specs(df, path):
@@ -47,22 +96,25 @@ def write_page_specs(df, path):
     put in place of it when all of it is written. A null business_id is a key like any other. Columns that
     only older or only newer specs have are null in the others. Specs without a time share one day
     of their own. Only one run may write at a time. A day is written by as many tasks as its size asks for.
+    Many small days that come at once share a folder per month, ``gen_date=yyyyMM``, which is merged as a whole.
     """
     spark = df.sparkSession
     new = materialise(keep_last_spec(df))
-    held = set(_days(spark, path))
+    held = set(_places(spark, path))
     # one row per day of the new specs
-    touched = [row[0] for row in new.select(DAY).distinct().collect()]
-    again = [day for day in (d or "__HIVE_DEFAULT_PARTITION__" for d in touched) if day in held]
+    counts = {row[0] or NO_DAY: row[1] for row in new.groupBy(DAY).count().collect()}
+    shared = _shared_months(counts, held)
+    again = sorted({day if day in held else _month(day) for day in counts} & held)
     merged = new
     if again:
         key = new.select(F.col(DAY).alias("_day"), F.col("business_id").alias("_id"))
-        old = _read_days(spark, path, again)
+        old = _read_places(spark, path, again)
         same = old[DAY].eqNullSafe(F.col("_day")) & old["business_id"].eqNullSafe(F.col("_id"))
         # stored before the days are replaced, so that nothing is read from a folder that is going
         merged = materialise(old.join(checked_broadcast(key), same, "left_anti").unionByName(new, allowMissingColumns=True))
     (
-        merged.hint("rebalance", F.col(DAY))
+        _placed(merged, shared)
+        .hint("rebalance", F.col(DAY))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(DAY)
@@ -72,7 +124,19 @@ def write_page_specs(df, path):
 
 
 def read_page_specs(spark, path):
-    return spark.read.option("mergeSchema", True).parquet(path).withColumn(DAY, F.col(DAY).cast("string"))
+    return _dated(spark.read.option("mergeSchema", True).parquet(path))
+
+
+def _newest_first(places):
+    """Lists of folders, from the newest day back: a day, or a month that days share with those that have their own."""
+    months = {p for p in places if len(p) == 6 and p.isdigit()}
+    lots = {}
+    for place in places:
+        month = place if place in months else _month(place)
+        lots.setdefault(month if month in months else place, []).append(place)
+    names = sorted(lots, reverse=True)
+    # undated ones come last
+    return [lots[n] for n in names if n.isdigit()] + [lots[n] for n in names if not n.isdigit()]
 
 
 def latest_page_specs(spark, path, n=100):
@@ -82,16 +146,15 @@ def latest_page_specs(spark, path, n=100):
     footers, and older days are not opened. The keys of these days are ranked alone; the texts are
     read for the winners only.
     """
-    days = _days(spark, path)[::-1]
-    days = [d for d in days if d.isdigit()] + [d for d in days if not d.isdigit()]  # undated ones come last
+    days = _newest_first(_places(spark, path))
     if not days or n < 1:
         return read_page_specs(spark, path).limit(0)
     taken, rows, step = 0, 0, 1
     while taken < len(days) and rows < n:
         lot = days[taken : taken + step]
-        rows += _read_days(spark, path, lot).count()
+        rows += _read_places(spark, path, sum(lot, [])).count()
         taken, step = taken + len(lot), 2 * step
-    recent = _read_days(spark, path, days[:taken])
+    recent = _read_places(spark, path, sum(days[:taken], []))
     keys = recent.select(DAY, "business_id").orderBy(F.col(DAY).desc_nulls_last(), F.col("business_id").desc_nulls_last()).limit(n)
     keys = keys.select(F.col(DAY).alias("_day"), F.col("business_id").alias("_id"))
     same = recent[DAY].eqNullSafe(F.col("_day")) & recent["business_id"].eqNullSafe(F.col("_id"))

@@ -82,6 +82,56 @@ def test_latest_of_the_table(spark, sf, tmp_path):
     assert sorted(found) == sorted(every)[-10:]
 
 
+def _opened(found):
+    return {name.split("gen_date=")[1].split("/")[0] for name in found.inputFiles() if "gen_date=" in name}
+
+
+def _turn(spark, path, held, turn, days, ids):
+    """One write of the given days after 2024 began; ``held`` is what the store must hold then."""
+    start = datetime.datetime(2024, 1, 1, 12)
+    times = [None if d is None else start + datetime.timedelta(days=d) for d in days]
+    rows = [(turn, i, t, f"{turn} {i}") for t in times for i in ids]
+    held.update({(None if t is None else t.strftime("%Y%m%d"), i): body for _, i, t, body in rows})
+    stores.write_page_specs(spark.createDataFrame(rows, SPEC), path)
+    assert _held(spark, path) == sorted(((day, i, body) for (day, i), body in held.items()), key=repr)
+
+
+def test_many_small_days_share_a_folder_per_month(spark, tmp_path):
+    path, held = str(tmp_path / "specs"), {}
+    _turn(spark, path, held, 1, [9, None], ["a", "b"])
+    assert folders.subfolders(spark, path) == ["gen_date=20240110", "gen_date=__HIVE_DEFAULT_PARTITION__"]
+    _turn(spark, path, held, 2, [None, *range(150)], ["a", None])
+    months = [f"gen_date=2024{m:02d}" for m in range(1, 6)]
+    undated = "gen_date=__HIVE_DEFAULT_PARTITION__"
+    assert folders.subfolders(spark, path) == sorted([*months, "gen_date=20240110", undated])
+    before = folders.data_files(spark, path)
+    assert len(before) == 7
+    # a day of a shared folder, a day with its own, a new day of a shared month, and a day of a month of its own
+    _turn(spark, path, held, 3, [0, 9, 150, 155], ["a", "c"])
+    assert folders.subfolders(spark, path) == sorted([*months, "gen_date=20240110", "gen_date=20240604", undated])
+    kept = [f for f in before if any(f"{m}/" in f[0] for m in months[1:4])]
+    assert len(kept) == 3 and set(kept) <= set(folders.data_files(spark, path))
+    _turn(spark, path, held, 4, [*range(0, 100, 2), *range(160, 420, 2)], ["b"])
+    order = sorted(held, key=lambda k: (k[0] is not None, k[0] or "", k[1] is not None, k[1] or ""), reverse=True)
+    for n in (1, 40, 700):
+        found = stores.latest_page_specs(spark, path, n)
+        told = sorted(((r.gen_date, r.business_id, r.body) for r in found.collect()), key=repr)
+        assert told == sorted(((*k, held[k]) for k in order[:n]), key=repr)
+    assert _opened(stores.latest_page_specs(spark, path, 1)) == {"202502"}
+
+
+def test_days_of_a_full_month_have_folders_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "MONTH_SPECS", 60)
+    path, held = str(tmp_path / "specs"), {}
+    _turn(spark, path, held, 1, range(120), ["a", "b"])  # 62 specs in January and March, 58 in February and April
+    names = [n.split("=")[1] for n in folders.subfolders(spark, path)]
+    assert len(names) == 31 + 31 + 2 and {"202402", "20240131", "202404"} <= set(names)
+    # the newest lots are April, then days of March
+    assert _opened(stores.latest_page_specs(spark, path, 61)) == {"202404", "20240331", "20240330"}
+    _turn(spark, path, held, 2, [0, 31, 32], ["a", "c"])
+    assert [n.split("=")[1] for n in folders.subfolders(spark, path)] == names
+
+
 STATUS = "execution_id string, stage_no int, updated_at timestamp, stage string"
 
 
