@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 from mainstreet import schemas
 from mainstreet.sources import folders
 
+# Rows of a listing file or of a file of a stage: one that is read as a whole should be a small part of a task.
+ROWS_PER_FILE = 10_000
+
 
 def read_businesses(spark, path, multi_line=False, fmt=None):
     """Business listings, all columns as text and matched by name.
@@ -51,6 +54,7 @@ def write_businesses_csv(df, path):
     (
         df.select(*schemas.BUSINESS_COLUMNS)
         .write.mode("overwrite")
+        .option("maxRecordsPerFile", ROWS_PER_FILE)
         .option("header", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
@@ -112,8 +116,8 @@ def append_traces(df, path):
 
 
 def save_result(df, path, fmt="parquet"):
-    """Keep the result of a query under an output location."""
-    df.write.mode("overwrite").format(fmt).save(path)
+    """Keep the result of a query under an output location, in files that pack evenly into the tasks that read them."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).format(fmt).save(path)
     return path
 
 

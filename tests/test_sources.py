@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures
 from mainstreet import schemas
-from mainstreet.operators import site
+from mainstreet.operators import quality, site
 from mainstreet.plans import stages, workspace
-from mainstreet.sources import tables
+from mainstreet.sources import folders, tables
 
 c = F.col
 HEADER = ",".join(schemas.BUSINESS_COLUMNS)
@@ -127,6 +127,28 @@ def test_run(spark, sf, tmp_path):
     assert [r.stage for r in last.orderBy("stage_no").collect()] == ["ingest", "generate", "qc", "render", "publish"]
 
 
+def test_run_checks_a_page_once_and_keeps_small_files(spark, sf, tmp_path, monkeypatch):
+    listed = fixtures.businesses(spark, sf).coalesce(1)
+    source = tables.write_businesses_csv(listed, str(tmp_path / "in"))
+    whole = stages.run_stages(spark, source, str(tmp_path / "out"), "r1", day="2024-06-01", multi_line=True)
+    pages = spark.read.parquet(str(tmp_path / "out/generated_pages"))
+    twice = quality.qc_route(pages, stages.rule_feedback(pages.where("generation_successful")), on=("business_id", "page_pos"))
+    assert sorted(map(repr, whole["qc_results"].select(twice.columns).collect())) == sorted(map(repr, twice.collect()))
+
+    def again(*_):
+        raise AssertionError("the checks were made before")
+
+    monkeypatch.setattr(stages, "with_checks", again)
+    monkeypatch.setattr(tables, "ROWS_PER_FILE", 20)
+    source = tables.write_businesses_csv(listed, str(tmp_path / "in2"))
+    assert len(folders.data_files(spark, source)) == 8  # 150 rows
+    small = stages.run_stages(spark, source, str(tmp_path / "out2"), "r1", day="2024-06-01", multi_line=True)
+    assert len(folders.data_files(spark, str(tmp_path / "out2/checked"))) >= 8
+    for name in ("businesses", "rejected", "generated_pages", "qc_results", "rendered_pages"):
+        # the order of the rows is that of the listing
+        assert sorted(map(repr, whole[name].collect())) == sorted(map(repr, small[name].collect()))
+
+
 def test_run_stops_when_nothing_is_generated(spark, sf, tmp_path):
     def broken(row):
         raise RuntimeError("no model")
